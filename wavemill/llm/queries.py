@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk
+from .decontam import op7_decontam
 from .dedup import op1_neardup
 from .langid import op2_langid
+from .license import op9_licenses
+from .mixing import op8_mixing
+from .sharding import op3_sharding
+from .topk import op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_langid": op2_langid,
+    "op3_sharding": op3_sharding,
+    "op7_decontam": op7_decontam,
+    "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
+    "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_topk": topk.ORACLE}

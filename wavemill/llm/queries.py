@@ -13,12 +13,14 @@ from .langid import op2_langid
 from .license import op9_licenses
 from .mixing import op8_mixing
 from .sharding import op3_sharding
+from .substrings import op5_substrings
 from .topk import op10_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
+    "op5_substrings": op5_substrings,
     "op7_decontam": op7_decontam,
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,

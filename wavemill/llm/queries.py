@@ -12,6 +12,7 @@ from .dedup import op1_neardup
 from .langid import op2_langid
 from .license import op9_licenses
 from .mixing import op8_mixing
+from .pii import op6_pii
 from .sharding import op3_sharding
 from .substrings import op5_substrings
 from .topk import op10_topk
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
     "op5_substrings": op5_substrings,
+    "op6_pii": op6_pii,
     "op7_decontam": op7_decontam,
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,

@@ -11,6 +11,7 @@ from .decontam import op7_decontam
 from .dedup import op1_neardup
 from .langid import op2_langid
 from .license import op9_licenses
+from .lines import op4_lines
 from .mixing import op8_mixing
 from .pii import op6_pii
 from .sharding import op3_sharding
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_langid": op2_langid,
     "op3_sharding": op3_sharding,
+    "op4_lines": op4_lines,
     "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
     "op7_decontam": op7_decontam,

@@ -1 +1,10 @@
-"""A Spark-native analytics engine for long multichannel biosignal recordings."""
+"""A Spark-native analytics engine for long multichannel biosignal recordings.
+
+Functions that run in tasks are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

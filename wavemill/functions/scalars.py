@@ -22,7 +22,7 @@ def nan_to_null(x: Column) -> Column:
 
 def seconds_to_samples(seconds: Column, rate: Column) -> Column:
     """Decimal product, halves away from zero."""
-    return F.round(seconds.cast("decimal(18,6)") * rate.cast("decimal(18,6)"), 0).cast("bigint")
+    return F.round(seconds.cast("decimal(20,9)") * rate.cast("decimal(12,6)"), 0).cast("bigint")
 
 
 def round_half_even(x: Column) -> Column:

@@ -27,7 +27,7 @@ def cumulative(df: DataFrame, keys: Sequence[str], label: str, score: str, range
     (p_above, q_above), and the totals (p_all, q_all)."""
     points = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
     ends = points.groupBy(*keys).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"), F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
-    joined = points.join(F.broadcast(ends), list(keys)) if keys else points.crossJoin(F.broadcast(ends))
+    joined = points.join(ends, list(keys)) if keys else points.crossJoin(F.broadcast(ends))
     at = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (ranges - 1))).otherwise(0)
     joined = joined.withColumn("__range", at.cast("int"))
     sums = joined.groupBy(*keys, "__range").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))

@@ -63,7 +63,7 @@ def parse_summaries(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     twice = pairs.groupBy("path", "block", "seizure_index").agg(F.count("*").alias("c")).where("c > 1")
     problems = problems.unionByName(problem(twice, "duplicate_index", F.col("seizure_index"))).unionByName(problem(blocks.where(~clock["valid"]), "invalid_clock", F.concat_ws(" ", "start_clock", "end_clock")))
     bad = problems.select("path").distinct()
-    good = blocks.join(F.broadcast(bad), "path", "left_anti").withColumn("case_id", case_id(F.col("path"))).withColumn("recording_id", path_stem(F.col("edf_filename")))
+    good = blocks.join(bad, "path", "left_anti").withColumn("case_id", case_id(F.col("path"))).withColumn("recording_id", path_stem(F.col("edf_filename")))
     recordings = good.select("path", "case_id", "recording_id", "edf_filename", "start_clock", "end_clock", clock["duration_seconds"].alias("duration_seconds"), clock["crosses_midnight"].alias("crosses_midnight"), F.coalesce("declared", "n_starts").cast("int").alias("n_seizures"))
     seizures = good.join(pairs, ["path", "block"]).select("case_id", "recording_id", "edf_filename", "seizure_index", F.col("start_at").alias("onset_seconds"), F.col("end_at").alias("offset_seconds"), (F.col("end_at") - F.col("start_at")).alias("duration_seconds"))
-    return channels.join(F.broadcast(bad), "path", "left_anti"), recordings, seizures, problems
+    return channels.join(bad, "path", "left_anti"), recordings, seizures, problems

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer document is taken alone.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -66,14 +70,14 @@ def ascii_words_table(word_digits: bool = True) -> bytes:
     return bytes(out)
 
 
-def text_blocks(texts: list[str | None], limit: int = TEXT_BLOCK):
-    """(first, last) index ranges of ``texts`` of about ``limit`` characters each."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > at and size + n > limit:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+def text_lists(*columns: pa.Array, limit: int = TEXT_BLOCK, also: tuple[pa.Array, ...] = ()) -> Iterator[list[list]]:
+    """The values of text columns of equal length, and of other columns beside them, as
+    Python lists of about ``limit`` bytes of text at a time: a task never holds a whole
+    batch as Python strings."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        last = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield [c.slice(at, last - at).to_pylist() for c in (*columns, *also)]
+        at = last

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_clashes, text_blocks, unit_hash
+from .common import drop_clashes, text_lists, unit_hash
 
 #: Symbols 0 and 1: any run of non-letters, and letters that the training text lacks.
 GAP, UNKNOWN = 0, 1
@@ -202,10 +202,9 @@ def language_column(spark: SparkSession, model: LanguageModel, text: Column | st
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = LanguageModel(**held.value)
         for batch in batches:
-            texts = batch.to_pylist()
             langs, scores, bits = [], [], []
-            for a, b in text_blocks(texts):
-                x, y, z = predict(texts[a:b], own, block)
+            for (texts,) in text_lists(batch):
+                x, y, z = predict(texts, own, block)
                 langs += x
                 scores += y
                 bits += z

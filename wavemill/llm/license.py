@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words_table, drop_clashes, text_blocks
+from .common import ascii_words_table, drop_clashes, text_lists
 
 #: The base phrases and their labels.
 BASE_PHRASES = {
@@ -156,8 +156,7 @@ def license_column(text: Column | str, phrases: dict[str, str] | None = None) ->
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = automaton(known)
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([scan_text(t, machine) for a, b in text_blocks(texts) for t in texts[a:b]], RESULT_TYPE)
+            yield pa.array([scan_text(t, machine) for (texts,) in text_lists(batch) for t in texts], RESULT_TYPE)
 
     return scan(text)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, text_blocks
+from .common import stored, text_lists
 from .dedup import _BASE, _BYTE, _INVERSE, constants, mix, powers
 
 LENGTH, ANCHOR = 400, 128
@@ -124,8 +124,7 @@ def segment_udf(length: int, k: int):
     @F.arrow_udf(SEGMENTS)
     def segments(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([s for a, b in text_blocks(texts) for s in segments_of([raw(t) for t in texts[a:b]], length, k)], SEGMENT_TYPE)
+            yield pa.array([s for (texts,) in text_lists(batch) for s in segments_of([raw(t) for t in texts], length, k)], SEGMENT_TYPE)
 
     return segments
 
@@ -136,8 +135,7 @@ def anchor_udf(length: int, k: int):
     @F.arrow_udf("array<long>")
     def anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([[x["h"] for x in s] for a, b in text_blocks(texts) for s in segments_of([raw(t) for t in texts[a:b]], length, k)], pa.list_(pa.int64()))
+            yield pa.array([[x["h"] for x in s] for (texts,) in text_lists(batch) for s in segments_of([raw(t) for t in texts], length, k)], pa.list_(pa.int64()))
 
     return anchors
 
@@ -338,7 +336,7 @@ def window_udf(length: int):
         with np.errstate(over="ignore"):
             for texts, marks in batches:
                 out = []
-                for text, own in zip(texts.to_pylist(), marks.to_pylist()):
+                for text, own in ((t, m) for x, y in text_lists(texts, also=(marks,)) for t, m in zip(x, y)):
                     data, rows = np.frombuffer(raw(text), dtype=np.uint8), []
                     for m in own:
                         part = data[m["lo"] : m["lo"] + m["n"] - 1 + length]
@@ -354,22 +352,27 @@ def window_udf(length: int):
     return windows
 
 
-@F.arrow_udf("struct<n_removed:long,spans:array<struct<start:long,end:long>>,kept_sha256:string,kept:binary>")
-def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
-        rows = []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist()):
-            data, runs = raw(text), []
-            for start, end in sorted((s["start"], s["end"]) for s in own or []):
-                if runs and start <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], end)
-                else:
-                    runs.append([start, end])
-            edges = [0, *(x for r in runs for x in r), len(data)]
-            left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append({"n_removed": len(data) - len(left), "spans": [{"start": a, "end": b} for a, b in runs], "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left})
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.array(rows, pa.struct([("n_removed", pa.int64()), ("spans", span), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+def cut_udf():
+    """What is left of a text without the spans, and the spans merged."""
+
+    @F.arrow_udf("struct<n_removed:long,spans:array<struct<start:long,end:long>>,kept_sha256:string,kept:binary>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            rows = []
+            for text, own in ((t, m) for x, y in text_lists(texts, also=(spans,)) for t, m in zip(x, y)):
+                data, runs = raw(text), []
+                for start, end in sorted((s["start"], s["end"]) for s in own or []):
+                    if runs and start <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], end)
+                    else:
+                        runs.append([start, end])
+                edges = [0, *(x for r in runs for x in r), len(data)]
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                rows.append({"n_removed": len(data) - len(left), "spans": [{"start": a, "end": b} for a, b in runs], "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left})
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.array(rows, pa.struct([("n_removed", pa.int64()), ("spans", span), ("kept_sha256", pa.string()), ("kept", pa.binary())]))
+
+    return cut
 
 
 def content_keys(text: Column) -> list[Column]:
@@ -393,8 +396,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     anchors = base.where(long_enough).select(F.explode(anchor_udf(length, k)("text")).alias("h"))
     repeated = anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     found = base.where(long_enough).select("k1", "k2", F.explode(segment_udf(length, k)("text")).alias("s")).select("k1", "k2", "s.*")
-    segments = found.join(repeated, "h", "left_semi").groupBy("h", "c", "n", "off", "k1", "k2", "lo").agg(F.count("*").alias("copies"))
-    segments = stored(segments)
+    # Stored before it is aggregated: a frequent anchor's rows are then split among tasks.
+    shared = stored(found.join(repeated, "h", "left_semi"))
+    segments = stored(shared.groupBy("h", "c", "n", "off", "k1", "k2", "lo").agg(F.count("*").alias("copies")))
     same = segments.groupBy("h", "c", "n", "off").agg(F.sum("copies").alias("all"), F.min(F.struct("k1", "k2", "lo")).alias("first"))
     same = stored(same)
     classes = same.groupBy("h").agg(F.count("*").alias("distinct"))
@@ -424,7 +428,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     grouped = stored(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     alone = held.where("text IS NOT NULL AND copies = 1").join(grouped, ["k1", "k2"], "left")
     whole = F.transform(F.filter("marks", lambda m: m["whole"]), lambda m: F.struct(m["lo"].alias("start"), (m["lo"] + m["n"] - 1 + length).alias("end")))
-    done = alone.select(F.col("__id"), "n_bytes", cut(F.col("text"), F.concat(whole, F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))).alias("r"))
+    done = alone.select(F.col("__id"), "n_bytes", cut_udf()(F.col("text"), F.concat(whole, F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))).alias("r"))
     done = done.select("__id", "n_bytes", "r.n_removed", "r.spans", "r.kept_sha256", F.when(F.col("r.n_removed") > 0, F.col("r.kept")).alias("kept"))
     empty = F.array().cast("array<struct<start:long,end:long>>")
     rest = held.where("copies IS NULL OR copies > 1")

@@ -33,7 +33,7 @@ RESULT = "struct<lang_pred:string,score:double,bits:double>"
 @dataclass(frozen=True)
 class LanguageModel:
     """Languages, code point to symbol, and the flattened automata: ``table[s + c]``
-    is twice the next state's row offset, plus one where a phrase ends."""
+    is twice the next state's row offset, plus one where a phrase begins."""
 
     langs: list[str]
     symbols: np.ndarray
@@ -108,7 +108,8 @@ def train(samples: dict[str, str], max_symbols: int = 250) -> LanguageModel:
             base[c] = 2 * (offset + t * width) + 1
         table = np.tile(base, (len(states), 1))
         for s, out in enumerate(states):
-            if out:
+            # Any step from the root starts a phrase; other states' own steps go on with one.
+            if out and s:
                 table[s, list(out)] = [2 * (offset + t * width) for t in out.values()]
         rows.append(table.ravel())
         roots.append(offset)
@@ -135,7 +136,7 @@ def count_phrases(docs: list[np.ndarray], model: LanguageModel, block: int) -> n
         grid[: sizes[j], lane] = docs[d][i : i + block]
     ordered = sizes[order]
     active = np.searchsorted(-ordered, -np.arange(grid.shape[0]), side="left")
-    phrases = np.ones((k, len(cuts)), dtype=np.int64)
+    phrases = np.zeros((k, len(cuts)), dtype=np.int64)
     for lang in range(k):
         state = np.full(len(cuts), model.roots[lang], dtype=model.table.dtype)
         count = np.zeros(len(cuts), dtype=model.table.dtype)

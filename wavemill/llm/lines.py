@@ -26,12 +26,13 @@ WILD = "<*>"
 VARIABLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*"
 
 
-def masked(line: Column) -> Column:
-    """Tokens with a digit or @ as wildcards, one blank between tokens.  Most lines need
-    neither replacement, which two searches tell more cheaply."""
-    even = F.translate(line, "\t\r\x0b\x0c", "    ")
-    even = F.when(F.contains(even, F.lit("  ")), F.regexp_replace(even, " {2,}", " ")).otherwise(even)
-    return F.trim(F.when(even.rlike("[0-9@]"), F.regexp_replace(even, VARIABLE, WILD)).otherwise(even))
+def masked_lines(text: Column) -> Column:
+    """A text's lines, in order, with wildcards for tokens that hold a digit or @ and one
+    blank between tokens.  Each step is a pass of its own over the array, so that what a
+    line needs is worked out once; most lines need neither replacement."""
+    even = F.transform(F.split(text, "\n"), lambda x: F.translate(x, "\t\r\x0b\x0c", "    "))
+    single = F.transform(even, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    return F.transform(single, lambda x: F.trim(F.when(x.rlike("[0-9@]"), F.regexp_replace(x, VARIABLE, WILD)).otherwise(x)))
 
 
 def two_hashes(x: Column) -> Column:
@@ -39,14 +40,9 @@ def two_hashes(x: Column) -> Column:
     return F.struct(F.xxhash64(F.lit("a"), x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b"))
 
 
-def line_keys(text: Column) -> Column:
-    """The keys of a text's lines, in order; null for a blank line."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(masked(x) != "", two_hashes(masked(x))))
-
-
 def recurring_lines(docs: DataFrame, key: str, text: str, min_docs: int, depth: int, min_constant: float) -> DataFrame:
     """(key, m): the masked lines of each document whose template recurs."""
-    lines = docs.select(F.col(key).alias("d"), F.explode(F.split(F.col(text), "\n")).alias("line")).select("d", masked(F.col("line")).alias("s")).where("s <> ''")
+    lines = docs.select(F.col(key).alias("d"), F.explode(masked_lines(F.col(text))).alias("s")).where("s <> ''")
     # The path is cut from the line's start; only its count looks at all of it.
     path = F.xxhash64(F.length("s") - F.length(F.translate("s", " ", "")), F.substring_index("s", " ", depth))
     placed = lines.select("d", two_hashes(F.col("s")).alias("m"), path.alias("leaf"), "s")
@@ -85,9 +81,9 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     gone = recurring_lines(kept, key, text, min_docs, depth, min_constant).groupBy("d").agg(F.collect_set("m").alias("__gone"))
     joined = kept.join(gone, F.col(key).eqNullSafe(F.col("d")), "left").drop("d")
     lines = F.split(F.col(text), "\n")
-    paired = joined.withColumn("__keys", F.when(F.col("__gone").isNotNull(), line_keys(F.col(text))))
-    left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("__gone"), F.get(F.col("__keys"), i)), F.lit(False)))
-    cut = paired.withColumn("__left", F.when(F.col("__gone").isNotNull(), left).otherwise(lines))
+    keyed = F.arrays_zip(lines.alias("x"), F.transform(masked_lines(F.col(text)), two_hashes).alias("k"))
+    left = F.transform(F.filter(keyed, lambda s: ~F.array_contains(F.col("__gone"), s["k"])), lambda s: s["x"])
+    cut = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), left).otherwise(lines))
     n_lines, n_left = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__left"), F.lit(0))
     n_lines, n_left = F.when(F.col(text).isNull(), 0).otherwise(n_lines), F.when(F.col(text).isNull(), 0).otherwise(n_left)
     return cut.select(*kept.columns, n_lines.cast("long").alias("n_lines"), (n_lines - n_left).cast("long").alias("n_dropped"), F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n")).alias("kept_text"))
@@ -96,3 +92,32 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH l AS (
+    SELECT doc_id, generate_subscripts(a, 1) AS p, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+), m AS (
+    SELECT doc_id, p, line, array_to_string(list_transform(string_split(trim(regexp_replace(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' {2,}', ' ', 'g'), ' '), ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9@]') THEN '<*>' ELSE t END), ' ') AS s FROM l
+), f AS (
+    SELECT s, count(DISTINCT doc_id) AS docs, string_split(s, ' ') AS ts, CAST(len(string_split(s, ' ')) AS VARCHAR) || '|' || array_to_string(string_split(s, ' ')[1:3], ' ') AS leaf FROM m WHERE s <> '' GROUP BY s
+), lv AS (
+    SELECT leaf, count(DISTINCT doc_id) AS n FROM m JOIN f ON m.s = f.s GROUP BY leaf
+), w AS (
+    SELECT f.leaf, s, docs, generate_subscripts(ts, 1) AS q, unnest(ts) AS t FROM f JOIN lv ON f.leaf = lv.leaf WHERE n >= 5
+), sup AS (
+    SELECT leaf, q, t FROM w GROUP BY leaf, q, t HAVING sum(docs) >= 5
+), ge AS (
+    SELECT w.leaf, w.s, any_value(w.docs) AS docs, list(CASE WHEN sup.t IS NOT NULL THEN w.t ELSE '<*>' END ORDER BY w.q) AS gs
+    FROM w LEFT JOIN sup ON w.leaf = sup.leaf AND w.q = sup.q AND w.t = sup.t GROUP BY w.leaf, w.s
+), te AS (
+    SELECT s, CASE WHEN docs >= 5 THEN s ELSE leaf || '#' || array_to_string(gs, ' ') END AS template FROM ge WHERE len(list_filter(gs, lambda x: x <> '<*>')) / len(gs) >= 0.5
+), ok AS (
+    SELECT template FROM te JOIN m ON te.s = m.s GROUP BY template HAVING count(DISTINCT doc_id) >= 5
+), gone AS (
+    SELECT DISTINCT s FROM te JOIN ok ON te.template = ok.template
+), k AS (
+    SELECT doc_id, count(*) AS n_lines, count(gone.s) AS n_dropped, string_agg(line, chr(10) ORDER BY p) FILTER (gone.s IS NULL) AS kept FROM m LEFT JOIN gone ON m.s = gone.s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, topk
+from . import decontam, dedup, lines, topk
 from .decontam import op7_decontam
 from .dedup import op1_neardup
 from .langid import op2_langid
@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {"op1_neardup": dedup.ORACLE, "op7_decontam": decontam.ORACLE, "op10_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_neardup": dedup.ORACLE, "op4_lines": lines.ORACLE, "op7_decontam": decontam.ORACLE, "op10_topk": topk.ORACLE}

@@ -23,7 +23,7 @@ def test_stages(spark, bench_dir):
     docs = frame(spark)
     stage = dict(cp.STAGES)
     told = stage["language_id"](spark, docs, bench_dir)
-    assert told.columns == docs.columns
+    assert told.columns == docs.columns and {(r.score, r.copies, r.spans) for r in told.collect()} == {("x", "y", "z")}
     assert told.count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in documents())
     kept = stage["near_dedup"](spark, told, bench_dir).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]

@@ -394,17 +394,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     base = docs.select(F.col(key).alias("__id"), full.alias("text"), *content_keys(full))
     long_enough = F.octet_length("text") >= length
     anchors = base.where(long_enough).select(F.explode(anchor_udf(length, k)("text")).alias("h"))
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    # Stored: an aggregation under a join would keep a frequent anchor's rows in one task.
+    repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
     found = base.where(long_enough).select("k1", "k2", F.explode(segment_udf(length, k)("text")).alias("s")).select("k1", "k2", "s.*")
     # Stored before it is aggregated: a frequent anchor's rows are then split among tasks.
     shared = stored(found.join(repeated, "h", "left_semi"))
     segments = stored(shared.groupBy("h", "c", "n", "off", "k1", "k2", "lo").agg(F.count("*").alias("copies")))
     same = segments.groupBy("h", "c", "n", "off").agg(F.sum("copies").alias("all"), F.min(F.struct("k1", "k2", "lo")).alias("first"))
     same = stored(same)
-    classes = same.groupBy("h").agg(F.count("*").alias("distinct"))
-    sized = same.join(classes, "h")
+    classes = stored(same.groupBy("h").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1))
     # Sorted: one segment of each kind, where the anchor has several kinds.
-    chosen = sized.where("distinct > 1").select("first.*", "h", "n", "off", (F.col("distinct") > max_class).alias("wide"))
+    chosen = same.join(classes, "h").select("first.*", "h", "n", "off", (F.col("distinct") > max_class).alias("wide"))
     twice = segments.join(same.where("all > 1").select("h", "c", "n", "off"), ["h", "c", "n", "off"], "left_semi")
     marks = chosen.select("k1", "k2", F.struct("h", "lo", "n", "off", "wide", F.lit(False).alias("whole")).alias("m"))
     marks = marks.unionByName(twice.select("k1", "k2", F.struct("h", "lo", "n", "off", F.lit(False).alias("wide"), F.lit(True).alias("whole")).alias("m")))

@@ -30,8 +30,9 @@ def masked_lines(text: Column) -> Column:
     """A text's lines, in order, with wildcards for tokens that hold a digit or @ and one
     blank between tokens.  Each step is a pass of its own over the array, so that what a
     line needs is worked out once; most lines need neither replacement."""
-    even = F.transform(F.split(text, "\n"), lambda x: F.translate(x, "\t\r\x0b\x0c", "    "))
-    single = F.transform(even, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    for c in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    single = F.transform(F.split(text, "\n"), lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
     return F.transform(single, lambda x: F.trim(F.when(x.rlike("[0-9@]"), F.regexp_replace(x, VARIABLE, WILD)).otherwise(x)))
 
 
@@ -44,7 +45,7 @@ def recurring_lines(docs: DataFrame, key: str, text: str, min_docs: int, depth:
     """(key, m): the masked lines of each document whose template recurs."""
     lines = docs.select(F.col(key).alias("d"), F.explode(masked_lines(F.col(text))).alias("s")).where("s <> ''")
     # The path is cut from the line's start; only its count looks at all of it.
-    path = F.xxhash64(F.length("s") - F.length(F.translate("s", " ", "")), F.substring_index("s", " ", depth))
+    path = F.xxhash64(F.length("s") - F.length(F.replace("s", F.lit(" "))), F.substring_index("s", " ", depth))
     placed = lines.select("d", two_hashes(F.col("s")).alias("m"), path.alias("leaf"), "s")
     held = stored(placed.select("leaf", "m", "d").distinct())
     leaves = stored(held.select("leaf", "d").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))

@@ -10,6 +10,10 @@ integers themselves.
 
 Rows and queries are packed into blocks of bounded size, every block of queries meets every
 block of rows once, and only k rows a query and block go on to the final ranking.
+
+Vectors with a component too large for the index have blocks of their own.  Their scores are
+bounded by floating point and its rounding error, and what is left is resolved on Python's
+integers, which have no largest value.
 """
 
 from __future__ import annotations
@@ -22,23 +26,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Largest quantised component: products over 8192 dimensions still fit a long.
+#: Quantised components of the index are below this: products over 8192 dimensions fit a long.
 LIMIT = 1 << 25
-PACKED = "n long, dims int, ids binary, numbers binary"
+PACKED = "n long, dims int, wide boolean, ids binary, numbers binary"
+LONG = 1 << 63
 
 
-def usable(vector: str, scale: int) -> Column:
-    """No null, no component that is null, not finite, or too large for a long score."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT))
+def usable(vector: str) -> Column:
+    """No null, and no component that is null or not finite."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def quantised(vector: str, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+def order_of(vector: str, scale: int) -> Column:
+    """What orders vectors as their quantised forms; beyond 2**53, doubles are whole numbers."""
+
+    def part(x: Column) -> Column:
+        y = x * scale
+        return F.struct(F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y).alias("y"), F.when(F.abs(y) == float("inf"), x).alias("x"))
 
+    return F.transform(vector, part)
 
-def pack(block: int):
-    """Rows (id, v) into blocks of up to ``block`` rows; shorter vectors are filled with zeros."""
+
+def pack(block: int, scale: int):
+    """Rows (id, v) into blocks of up to ``block`` rows; shorter vectors are filled with zeros.
+    Numbers are quantised, but in blocks of ``wide`` rows, which hold the vectors themselves."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,14 +59,39 @@ def pack(block: int):
                 v = part["v"]
                 sizes = np.diff(v.offsets.to_numpy())
                 dims = int(sizes.max(initial=1)) or 1
-                numbers = np.zeros((part.num_rows, dims), dtype=np.int32)
-                numbers[np.arange(dims) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+                x = np.zeros((part.num_rows, dims))
+                x[np.arange(dims) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
                 ids = part["id"].to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int64()), "dims": pa.array([dims], pa.int32()), "ids": pa.array([ids.tobytes()]), "numbers": pa.array([numbers.tobytes()])})
+                with np.errstate(over="ignore"):
+                    large = (np.abs(x * scale) >= LIMIT).any(axis=1)
+                for wide in (False, True):
+                    if (own := large == wide).any():
+                        numbers = x[own] if wide else np.floor(x[own] * scale).astype(np.int32)
+                        yield pa.RecordBatch.from_pydict({"n": pa.array([int(own.sum())], pa.int64()), "dims": pa.array([dims], pa.int32()), "wide": pa.array([wide]), "ids": pa.array([ids[own].tobytes()]), "numbers": pa.array([numbers.tobytes()])})
 
     return packed
 
 
+def unpack(numbers: bytes, wide: bool, n: int, own: int, dims: int) -> np.ndarray:
+    """A block's numbers, filled from its ``own`` to ``dims`` dimensions."""
+    out = np.zeros((n, dims), dtype=np.float64 if wide else np.int32)
+    out[:, :own] = np.frombuffer(numbers, dtype=out.dtype).reshape(n, -1)
+    return out
+
+
+def floats(numbers: np.ndarray, scale: int) -> np.ndarray:
+    """The quantised numbers as floats; infinite where a product with ``scale`` is."""
+    with np.errstate(over="ignore"):
+        return np.floor(numbers * scale) if numbers.dtype == np.float64 else numbers.astype(np.float64)
+
+
+def whole(numbers: np.ndarray, scale: int) -> list[int]:
+    """The quantised numbers of one vector."""
+    if numbers.dtype != np.float64:
+        return numbers.tolist()
+    return [int(y) if np.isfinite(y) else int(x) * scale for x, y in zip(numbers.tolist(), floats(numbers, scale).tolist())]
+
+
 def slices(numbers: np.ndarray, bits: int) -> np.ndarray:
     """(bit, row, word): the two's-complement bits of the components, packed over dimensions."""
     rows, dims = numbers.shape
@@ -94,7 +131,31 @@ def best_rows(index: np.ndarray, query_bits: np.ndarray, query: np.ndarray, allo
     return alive
 
 
-def search(k: int):
+def best_wide(rows: np.ndarray, query: np.ndarray, ids: np.ndarray, own: int, k: int, scale: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best rows, of any magnitude."""
+    alive = np.flatnonzero(ids != own)
+    if len(alive) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            v, q = floats(rows[alive], scale), floats(query, scale)
+            # Far above the rounding error of a sum of products, in whatever order.
+            score, slack = v @ q, (np.abs(v) @ np.abs(q)) * ((len(q) + 8) * 2.0**-51)
+            low, high = score - slack, score + slack
+        if np.isfinite(low).all() and np.isfinite(high).all():
+            alive = alive[high >= np.partition(low, len(low) - k)[len(low) - k]]
+    q = whole(query, scale)
+    exact = [(sum(a * b for a, b in zip(whole(rows[i], scale), q)), int(ids[i])) for i in alive]
+    return sorted(exact, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def as_long(score: int, query_id: int, vec_id: int) -> int | None:
+    """A score above a long is among the k best of all rows, or k larger ones are; one below
+    may yet be outranked, and is null till then."""
+    if score >= LONG:
+        raise OverflowError(f"the score of query {query_id} and row {vec_id}, {score}, exceeds a long")
+    return score if score >= -LONG else None
+
+
+def search(k: int, scale: int):
     """For blocks of rows and of queries side by side: (query_id, vec_id, score), the k best
     of each query within the block."""
 
@@ -103,9 +164,12 @@ def search(k: int):
             for r in batch.to_pylist():
                 ids, own = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["q_ids"], dtype=np.int64)
                 dims = max(r["dims"], r["q_dims"])
-                rows, queries = (np.zeros((len(i), dims), dtype=np.int32) for i in (ids, own))
-                rows[:, : r["dims"]] = np.frombuffer(r["numbers"], dtype=np.int32).reshape(len(ids), -1)
-                queries[:, : r["q_dims"]] = np.frombuffer(r["q_numbers"], dtype=np.int32).reshape(len(own), -1)
+                rows = unpack(r["numbers"], r["wide"], len(ids), r["dims"], dims)
+                queries = unpack(r["q_numbers"], r["q_wide"], len(own), r["q_dims"], dims)
+                if r["wide"] or r["q_wide"]:
+                    best = [(int(o), i, as_long(s, int(o), i)) for q, o in zip(queries, own) for s, i in best_wide(rows, q, ids, o, k, scale)]
+                    yield pa.RecordBatch.from_arrays([pa.array([b[c] for b in best], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+                    continue
                 index, asked = slices(rows, width(rows)), slices(queries, width(queries))
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for j, q in enumerate(queries):
@@ -124,18 +188,23 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     product of the vectors ``floor(scale * x)``, ties to the smaller key, without the
     query's own key.
 
-    Vectors that are null, hold a null or non-finite component, or one of ``2**25 / scale``
-    or more, and rows with a null key take no part.  Vectors of different length are
-    compared over the shorter one's length.  A key repeated among queries asks once, with
-    its smallest vector; repeated rows are ranked each.  No usable row, no result.
+    Vectors that are null or hold a null or non-finite component and rows with a null key
+    take no part.  Vectors of different length are compared over the shorter one's length.
+    A key repeated among queries asks once, with its smallest vector; repeated rows are
+    ranked each.  No usable row, no result.  Fails if a score of the result exceeds a long.
     """
-    usable_rows = rows.where(usable(vector, scale) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v"))
-    asked = queries.where(usable(vector, scale) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    left = usable_rows.mapInArrow(pack(block), PACKED)
-    right = asked.mapInArrow(pack(query_block), PACKED).select(*[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "ids", "numbers")])
-    near = left.crossJoin(right).mapInArrow(search(k), "query_id long, vec_id long, score long")
+
+    def vectors(df: DataFrame) -> DataFrame:
+        return df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    asked = vectors(queries).groupBy("id").agg(F.min_by("v", order_of("v", scale)).alias("v"))
+    left = vectors(rows).mapInArrow(pack(block, scale), PACKED)
+    right = asked.mapInArrow(pack(query_block, scale), PACKED).select(*[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "wide", "ids", "numbers")])
+    near = left.crossJoin(right).mapInArrow(search(k, scale), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    beyond = F.raise_error(F.concat(F.lit("the score of query "), F.col("query_id").cast("string"), F.lit(" and row "), F.col("vec_id").cast("string"), F.lit(" is below a long")))
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("score").isNotNull(), F.col("score")).otherwise(beyond.cast("long")).alias("score"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavemill.llm import topk
+from wavemill.llm import license, topk
 
 
 def test_topk_of_large_components(spark):
@@ -42,3 +42,21 @@ def test_topk_beyond_a_long(spark):
         topk.top_k(rows, ask, k=3).collect()
     with pytest.raises(Exception, match="exceeds a long"):
         topk.top_k(spark.createDataFrame([(5, big[0])], ask.schema), ask, k=2).collect()
+
+
+def test_long_license_expressions():
+    names = [f"Lic-{i}.0-only" for i in range(400)]
+    plain, mixed = " OR ".join(names), " AND ".join(f"({a} OR {b} WITH Exc-1)" for a, b in zip(names[::2], names[1::2]))
+    machine = license.automaton({})
+    for text in (plain, mixed):
+        assert len(text) > 5_000
+        for form in (text, f"({text})"):
+            got = license.scan_text(f"# SPDX-License-Identifier: {form}\nOR GPL-2.0 mit license", machine)
+            assert got["labels"] == sorted(n.lower() for n in names) and got["expressions"] == [text] and got["score"] > 0
+    # The id at character 400 is whole.
+    assert license.scan_text("license-expression: " + "MIT OR " * 56 + "GPL-2.0-only", machine)["labels"] == ["gpl-2.0-only", "mit"]
+    # Long and nested ones take linear time, and no recursion.
+    n = 100_000
+    assert license.parse_expression(" AND ".join(["A"] * n)) == (["a"], " AND ".join(["A"] * n))
+    assert license.parse_expression("A AND (B OR " * n + "C" + ")" * n)[0] == ["a", "b", "c"]
+    assert license.parse_expression("(" * n + "A" + ")" * (n - 1)) is None

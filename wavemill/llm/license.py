@@ -44,8 +44,7 @@ MORE_PHRASES = {
 }
 #: Tags before an SPDX expression, in lower case.
 TAGS = ("spdx-license-identifier:", "license-expression:")
-EXPRESSION = re.compile(r"[A-Za-z0-9.+()\- \t]{1,400}")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+TOKEN = re.compile(r"[ \t]*+([()]|[A-Za-z0-9.+-]++)")
 RANK = {"OR": 1, "AND": 2, "WITH": 3}
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = ascii_words_table()
@@ -55,15 +54,15 @@ RESULT_TYPE = pa.struct(
 )
 
 
-def parse_expression(text: str) -> tuple[list[str], str] | None:
-    """Licence ids (lower case, sorted) and the normalised form of the longest prefix of
-    ``text`` that is a licence expression; None if there is no such prefix.  Operators are
-    upper case (or all lower case), as the specification has them."""
+def parse_expression(text: str, at: int = 0) -> tuple[list[str], str] | None:
+    """Licence ids (lower case, sorted) and the normalised form of the longest part of
+    ``text`` from ``at`` on that is a licence expression on one line; None if there is none.
+    Text is read up to the first token that can't go on with it, so the time is linear in
+    what is read.  Operators are upper case (or all lower case), as the specification has
+    them."""
     tokens, depth, good, operand = [], 0, 0, True
-    for m in TOKEN.finditer(text):
-        t = m.group()
-        if text[tokens[-1][1] if tokens else 0 : m.start()].strip():
-            break
+    while m := TOKEN.match(text, at):
+        t, at = m.group(1), m.end()
         name = t.upper() if t in (t.upper(), t.lower()) and t.upper() in RANK else None
         if operand and t == "(":
             depth += 1
@@ -75,23 +74,20 @@ def parse_expression(text: str) -> tuple[list[str], str] | None:
             operand = True
         else:
             break
-        tokens.append((name or t, m.end()))
+        tokens.append(name or t)
         if not operand and not depth:
             good = len(tokens)
     if not good:
         return None
-    out: list[tuple[list[str], str, int]] = []
+    # Operands are an id, or a tuple (left, operator, right).
+    out: list = []
     ops: list[str] = []
 
     def reduce() -> None:
-        op = ops.pop()
-        (right, rt, rr), (left, lt, lr) = out.pop(), out.pop()
-        rank = RANK[op]
-        lt, rt = (f"({lt})" if lr < rank else lt), (f"({rt})" if rr < rank else rt)
-        # An exception qualifies its licence and is no licence of its own.
-        out.append((left if op == "WITH" else left + right, f"{lt} {op} {rt}", rank))
-
-    for t, _ in tokens[:good]:
+        right, left = out.pop(), out.pop()
+        out.append((left, ops.pop(), right))
+
+    for t in tokens[:good]:
         if t == "(":
             ops.append(t)
         elif t == ")":
@@ -103,11 +99,22 @@ def parse_expression(text: str) -> tuple[list[str], str] | None:
                 reduce()
             ops.append(t)
         else:
-            out.append(([t.lower()], t, 9))
+            out.append(t)
     while ops:
         reduce()
-    ids, form, _ = out[0]
-    return sorted(set(ids)), form
+    # An exception qualifies its licence and is no licence of its own.
+    ids, form, todo = set(), [], [(out[0], True, 0)]
+    while todo:
+        part, named, rank = todo.pop()
+        if isinstance(part, str):
+            form.append(part)
+            if named:
+                ids.add(part.lower())
+        else:
+            left, op, right = part
+            inner = [(right, named and op != "WITH", RANK[op]), (f" {op} ", False, 0), (left, named, RANK[op])]
+            todo += [(")", False, 0), *inner, ("(", False, 0)] if RANK[op] < rank else inner
+    return sorted(ids), "".join(form)
 
 
 def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
@@ -141,7 +148,7 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> dict:
             base.add(label)
     if "license-" in (low := text.translate(LOWER)):
         for end, (kind, *_) in machine.iter(low):
-            if kind == "tag" and (m := EXPRESSION.match(text, end + 1)) and (got := parse_expression(m.group())):
+            if kind == "tag" and (got := parse_expression(text, end + 1)):
                 labels.update(got[0])
                 out["expressions"].append(got[1])
     labels -= {""}

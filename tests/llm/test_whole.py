@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavemill.llm import license, topk
+from wavemill.llm import license, pii, topk
 
 
 def test_topk_of_large_components(spark):
@@ -60,3 +60,17 @@ def test_long_license_expressions():
     assert license.parse_expression(" AND ".join(["A"] * n)) == (["a"], " AND ".join(["A"] * n))
     assert license.parse_expression("A AND (B OR " * n + "C" + ")" * n)[0] == ["a", "b", "c"]
     assert license.parse_expression("(" * n + "A" + ")" * (n - 1)) is None
+
+
+def test_long_candidates(spark):
+    """Candidates have no largest length; a model that takes them all puts them into spans."""
+    long = {"secret": ["aB3x" * n for n in (32, 33, 10_000)] + ["1" * 50_000 + "x"], "number": ["12-34 5678 90"], "long_number": ["7" * 25, "12-34 5678 " * 3 + "90", "12-34 5678 " * 1_000 + "90"]}
+    rows = [(f"{kind}{i}", [kind], [t], f"see {t}, thanks") for kind, texts in long.items() for i, t in enumerate(texts)]
+    # A long number that touches a card goes; the number after the card stays.
+    rows += [("card", ["card", "number"], ["4111 1111 1111 1111", "123-45-6789"], "see 4111 1111 1111 1111 -- -- -- 123-45-6789 end")]
+    # Long runs without a candidate, which a pattern must not try from every character.
+    rows += [(f"none{i}", [], [], t) for i, t in enumerate(("a" * 50_000, "1" + " " * 50_000 + "x"))]
+    docs = spark.createDataFrame(rows, "id string, kinds array<string>, want array<string>, text string")
+    for r in pii.find_pii(docs, pii.SpanModel([], [], 0.0)).collect():
+        assert ([s.kind for s in r.spans], [s.text for s in r.spans]) == (r.kinds, r.want), r.id
+        assert all(r.text[s.start : s.end] == s.text for s in r.spans)

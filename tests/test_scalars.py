@@ -40,3 +40,10 @@ def test_ids_and_reasons(spark):
 
 def test_runs(spark):
     assert one(spark, sc.longest_true_run(F.array(*[F.lit(x) for x in (True, False, True, True, True, False)]))) == 3
+
+
+def test_ids_are_never_cut(spark):
+    assert one(spark, sc.seizure_id(F.lit("c"), F.lit("r"), F.lit(123))) == "c__r__sz123"
+    assert one(spark, sc.window_id(F.lit("c"), F.lit("r"), F.lit(1_234_567))) == "c__r__w1234567"
+    assert one(spark, sc.chunk_id(F.lit("r"), F.lit(123_456))) == "r__chunk123456"
+    assert [one(spark, sc.seizure_id(F.lit("c"), F.lit("r"), F.lit(x).cast(t))) for x, t in ((7, "bigint"), (None, "int"))] == ["c__r__sz07", "c__r"]

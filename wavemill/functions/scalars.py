@@ -101,16 +101,22 @@ def path_stem(path: Column) -> Column:
     return F.regexp_replace(path_name(path), r"\.[^.]+$", "")
 
 
+def padded(index: Column, width: int) -> Column:
+    """With zeros to ``width`` digits; longer numbers stay whole."""
+    digits = index.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+
+
 def seizure_id(case: Column, recording: Column, index: Column) -> Column:
-    return F.concat_ws("__", case, recording, F.concat(F.lit("sz"), F.lpad(index.cast("string"), 2, "0")))
+    return F.concat_ws("__", case, recording, F.concat(F.lit("sz"), padded(index, 2)))
 
 
 def window_id(case: Column, recording: Column, index: Column) -> Column:
-    return F.concat_ws("__", case, recording, F.concat(F.lit("w"), F.lpad(index.cast("string"), 6, "0")))
+    return F.concat_ws("__", case, recording, F.concat(F.lit("w"), padded(index, 6)))
 
 
 def chunk_id(recording: Column, index: Column) -> Column:
-    return F.concat_ws("__", recording, F.concat(F.lit("chunk"), F.lpad(index.cast("string"), 5, "0")))
+    return F.concat_ws("__", recording, F.concat(F.lit("chunk"), padded(index, 5)))
 
 
 def clock_seconds(text: Column) -> Column:

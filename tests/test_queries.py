@@ -36,3 +36,14 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_summaries_hold_one_day(spark, sf, monkeypatch):
+    """No text grows with all the events of a user."""
+    from wavemill.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "parse_summaries", lambda texts: seen.append(texts) or [texts.selectExpr("*", *[f"1 AS {c}" for c in "case_id recording_id seizure_index onset_seconds offset_seconds duration_seconds".split()])] * 3)
+    QUERIES["str_parse_blocks"](spark, sf)
+    texts = seen[0].selectExpr("path", "size(split(text, 'File Name:')) - 1 AS n").toPandas()
+    assert len(texts) and texts["n"].eq(1).all() and texts["path"].is_unique

@@ -304,15 +304,14 @@ def mth_rounding(spark, sf_dir):
 @query(f"""WITH {EVENTS}, p AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, day ORDER BY s, event_id) AS INTEGER) AS seizure_index, CAST(floor(s / 1000000) AS DOUBLE) AS onset_seconds, CAST(floor(t / 1000000) AS DOUBLE) AS offset_seconds, day FROM iv)
 SELECT 'chb' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') AS case_id, 'r' || CAST(user_id AS VARCHAR) || '_' || CAST(day AS VARCHAR) AS recording_id, seizure_index, onset_seconds, offset_seconds, offset_seconds - onset_seconds AS duration_seconds FROM p""")
 def str_parse_blocks(spark, sf_dir):
-    """Writes annotation summaries from the intervals, and parses them back."""
+    """Writes annotation summaries from the intervals, one a user and day, and parses them back."""
     lines = su.error_intervals(spark, sf_dir)
     number = F.row_number().over(W.partitionBy("user_id", "day").orderBy("start", "event_id"))
     seizure = F.format_string("Seizure %d Start Time: %d seconds\nSeizure %d End Time: %d seconds", "i", F.floor(F.col("start") / 1_000_000), "i", F.floor(F.col("end") / 1_000_000))
     blocks = lines.withColumn("i", number).groupBy("user_id", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", seizure.alias("t")))), lambda x: x["t"]), "\n").alias("t"), F.count("*").alias("n"))
     block = F.concat(F.lit("File Name: r"), "user_id", F.lit("_"), "day", F.lit(".edf\nFile Start Time: 00:00:00\nFile End Time: 23:59:59\nNumber of Seizures in File: "), "n", F.lit("\n"), "t")
-    path = F.concat(F.lit("/data/chb"), F.lpad((F.col("user_id") % 100).cast("string"), 2, "0"), F.lit("/u"), "user_id", F.lit("-summary.txt"))
-    texts = blocks.groupBy(path.alias("path")).agg(F.array_join(F.array_sort(F.collect_list(block)), "\n\n").alias("text"))
-    return parse_summaries(texts)[2].select("case_id", "recording_id", "seizure_index", "onset_seconds", "offset_seconds", "duration_seconds")
+    path = F.concat(F.lit("/data/chb"), F.lpad((F.col("user_id") % 100).cast("string"), 2, "0"), F.lit("/u"), "user_id", F.lit("_"), "day", F.lit("-summary.txt"))
+    return parse_summaries(blocks.select(path.alias("path"), block.alias("text")))[2].select("case_id", "recording_id", "seizure_index", "onset_seconds", "offset_seconds", "duration_seconds")
 
 
 # Channels.

@@ -57,11 +57,27 @@ def test_long_license_expressions():
     assert license.scan_text("license-expression: " + "MIT OR " * 56 + "GPL-2.0-only", machine)["labels"] == ["gpl-2.0-only", "mit"]
     # Long and nested ones take linear time, and no recursion.
     n = 100_000
-    assert license.parse_expression(" AND ".join(["A"] * n)) == (["a"], " AND ".join(["A"] * n))
-    assert license.parse_expression("A AND (B OR " * n + "C" + ")" * n)[0] == ["a", "b", "c"]
+    chain = license.parse_expression(" AND ".join(["A"] * n))
+    assert (chain.named, license.written(chain.form)) == ({"a"}, " AND ".join(["A"] * n))
+    assert license.parse_expression("A AND (B OR " * n + "C" + ")" * n).named == {"a", "b", "c"}
     assert license.parse_expression("(" * n + "A" + ")" * (n - 1)) is None
 
 
+@pytest.mark.parametrize(
+    "text,required,kind",
+    [
+        ("MIT", {"mit"}, "permissive"), ("MIT OR GPL-3.0-only", set(), "permissive"), ("MIT AND GPL-3.0-only", {"mit", "gpl-3.0-only"}, "strong-copyleft"), ("(MIT OR GPL-2.0) AND LGPL-2.1", {"lgpl-2.1"}, "weak-copyleft"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0-only"}, "weak-copyleft"), ("LGPL-3.0 WITH e", {"lgpl-3.0"}, "permissive"), ("MIT WITH e", {"mit"}, "permissive"), ("(A OR B) AND (A OR C)", set(), "unknown"), ("A AND B OR A AND C", {"a"}, "unknown"),
+        ("AGPL-3.0 OR MPL-2.0", set(), "weak-copyleft"), ("CC-BY-NC-4.0", {"cc-by-nc-4.0"}, "unknown"),
+    ],
+)
+def test_expressions_are_evaluated(text, required, kind):
+    got = license.parse_expression(text)
+    assert (got.required, license.STRICTNESS[got.rank]) == (required, kind)
+    scanned = license.scan_text(f"a\nspdx-license-identifier: {text}\nb", license.automaton({}))
+    assert (scanned["required"], scanned["strictness"]) == (sorted(required), kind)
+
+
 def test_long_candidates(spark):
     """Candidates have no largest length; a model that takes them all puts them into spans."""
     long = {"secret": ["aB3x" * n for n in (32, 33, 10_000)] + ["1" * 50_000 + "x"], "number": ["12-34 5678 90"], "long_number": ["7" * 25, "12-34 5678 " * 3 + "90", "12-34 5678 " * 1_000 + "90"]}

@@ -17,12 +17,14 @@ TEXT_BLOCK = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a
-    temporary folder where that is unset (local runs and tests only)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.  Where it is
+    unset, a temporary folder on a local master; elsewhere that can't be shared: ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavemill-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()

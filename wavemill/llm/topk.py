@@ -8,8 +8,11 @@ each slice, what the lower ones can still add is bounded, and rows whose upper b
 below the k-th lower bound are dropped.  The few rows at the boundary are resolved on the
 integers themselves.
 
-Rows and queries are packed into blocks of bounded size, every block of queries meets every
-block of rows once, and only k rows a query and block go on to the final ranking.
+The index is built once: rows and queries are packed into blocks of bounded size, with their
+slices, and stored.  Blocks of rows are dealt to groups, and the blocks of queries, which are
+few, are copied to each group, so that an equi-join on the group's number brings every block
+of queries to every block of rows once.  A task carries each query's k best scores from block
+to block as the bound to beat, and only what beats it goes on to the final ranking.
 
 Vectors with a component too large for the index have blocks of their own.  Their scores are
 bounded by floating point and its rounding error, and what is left is resolved on Python's
@@ -26,9 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Quantised components of the index are below this: products over 8192 dimensions fit a long.
 LIMIT = 1 << 25
-PACKED = "n long, dims int, wide boolean, ids binary, numbers binary"
+PACKED = "n long, dims int, wide boolean, bits int, ids binary, numbers binary, slices binary"
+#: Blocks of rows in a group, and bytes of query blocks up to which they are broadcast.
+GROUP_BLOCKS, BROADCAST_BYTES = 64, 64 << 20
 LONG = 1 << 63
 
 
@@ -50,7 +57,8 @@ def order_of(vector: str, scale: int) -> Column:
 
 def pack(block: int, scale: int):
     """Rows (id, v) into blocks of up to ``block`` rows; shorter vectors are filled with zeros.
-    Numbers are quantised, but in blocks of ``wide`` rows, which hold the vectors themselves."""
+    Numbers are quantised and sliced, but in blocks of ``wide`` rows, which hold the vectors
+    themselves."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +75,10 @@ def pack(block: int, scale: int):
                 for wide in (False, True):
                     if (own := large == wide).any():
                         numbers = x[own] if wide else np.floor(x[own] * scale).astype(np.int32)
-                        yield pa.RecordBatch.from_pydict({"n": pa.array([int(own.sum())], pa.int64()), "dims": pa.array([dims], pa.int32()), "wide": pa.array([wide]), "ids": pa.array([ids[own].tobytes()]), "numbers": pa.array([numbers.tobytes()])})
+                        bits = 0 if wide else width(numbers)
+                        sliced = b"" if wide else slices(numbers, bits).tobytes()
+                        columns = {"n": pa.array([int(own.sum())], pa.int64()), "dims": pa.array([dims], pa.int32()), "wide": pa.array([wide]), "bits": pa.array([bits], pa.int32())}
+                        yield pa.RecordBatch.from_pydict(columns | {c: pa.array([v], pa.binary()) for c, v in (("ids", ids[own].tobytes()), ("numbers", numbers.tobytes()), ("slices", sliced))})
 
     return packed
 
@@ -107,15 +118,16 @@ def width(numbers: np.ndarray) -> int:
     return max(int(numbers.max(initial=0)), -int(numbers.min(initial=0)) - 1, 1).bit_length() + 1
 
 
-def best_rows(index: np.ndarray, query_bits: np.ndarray, query: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-    """Rows that may be among the k best: attribute slices from the top, with bounds."""
+def best_rows(index: np.ndarray, query_bits: np.ndarray, query: np.ndarray, allowed: np.ndarray, k: int, known: int | None) -> np.ndarray:
+    """Rows that may be among the k best: attribute slices from the top, with bounds.  Rows
+    below ``known``, the k-th best score of earlier blocks, are not among them."""
     bits, rows, _ = index.shape
     negative, positive = int(query[query < 0].sum()), int(query[query > 0].sum())
     alive = np.flatnonzero(allowed)
     score = np.zeros(len(alive), dtype=np.int64)
     signs = [-(1 << c) if c == len(query_bits) - 1 else 1 << c for c in range(len(query_bits))]
     for b in range(bits - 1, -1, -1):
-        if len(alive) <= 4 * k:
+        if len(alive) <= 4 * k and (known is None or not len(alive)):
             break
         own = index[b] if len(alive) == rows else index[b, alive]
         part = np.zeros(len(alive), dtype=np.int64)
@@ -124,8 +136,10 @@ def best_rows(index: np.ndarray, query_bits: np.ndarray, query: np.ndarray, allo
         score += (-(1 << b) if b == bits - 1 else 1 << b) * part
         rest = (1 << b) - 1
         low = score + rest * negative
-        bound = np.partition(low, len(low) - k)[len(low) - k]
-        stay = score + rest * positive >= bound
+        bound = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else None
+        if known is not None:
+            bound = known if bound is None else max(bound, known)
+        stay = score + rest * positive >= bound if bound is not None else np.ones(len(alive), dtype=bool)
         if not stay.all():
             alive, score = alive[stay], score[stay]
     return alive
@@ -156,12 +170,15 @@ def as_long(score: int, query_id: int, vec_id: int) -> int | None:
 
 
 def search(k: int, scale: int):
-    """For blocks of rows and of queries side by side: (query_id, vec_id, score), the k best
-    of each query within the block."""
+    """For blocks of rows and of queries side by side: (query_id, vec_id, score), the rows of
+    the block that may be among the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The k best scores so far of the queries of a block, by the block's ids.
+        carried: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 ids, own = np.frombuffer(r["ids"], dtype=np.int64), np.frombuffer(r["q_ids"], dtype=np.int64)
                 dims = max(r["dims"], r["q_dims"])
                 rows = unpack(r["numbers"], r["wide"], len(ids), r["dims"], dims)
@@ -170,12 +187,16 @@ def search(k: int, scale: int):
                     best = [(int(o), i, as_long(s, int(o), i)) for q, o in zip(queries, own) for s, i in best_wide(rows, q, ids, o, k, scale)]
                     yield pa.RecordBatch.from_arrays([pa.array([b[c] for b in best], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
                     continue
-                index, asked = slices(rows, width(rows)), slices(queries, width(queries))
+                index, asked = (words(r[f"{p}slices"], r[f"{p}bits"], n, dims) for p, n in (("", len(ids)), ("q_", len(own))))
+                seen = carried.setdefault(r["q_ids"], np.full((len(own), k), -LONG, dtype=np.int64))
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for j, q in enumerate(queries):
-                    left = best_rows(index, asked[:, j], q, ids != own[j], k)
+                    known = int(seen[j, 0]) if seen[j, 0] > -LONG else None
+                    left = best_rows(index, asked[:, j], q, ids != own[j], k, known)
                     exact = rows[left].astype(np.int64) @ q.astype(np.int64)
                     top = np.lexsort((ids[left], -exact))[:k]
+                    top = top[exact[top] >= seen[j, 0]]
+                    seen[j] = np.sort(np.concatenate((seen[j], exact[top])))[-k:]
                     found.append((np.full(len(top), own[j]), ids[left][top], exact[top]))
                 columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
@@ -183,7 +204,14 @@ def search(k: int, scale: int):
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def words(sliced: bytes, bits: int, n: int, dims: int) -> np.ndarray:
+    """Stored slices, filled up to the words of ``dims`` dimensions."""
+    own = np.frombuffer(sliced, dtype=np.uint64).reshape(bits, n, -1)
+    wanted = -(-dims // 64)
+    return own if own.shape[2] == wanted else np.concatenate((own, np.zeros((bits, n, wanted - own.shape[2]), np.uint64)), axis=2)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 1024, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` rows of highest integer inner
     product of the vectors ``floor(scale * x)``, ties to the smaller key, without the
     query's own key.
@@ -198,9 +226,15 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         return df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     asked = vectors(queries).groupBy("id").agg(F.min_by("v", order_of("v", scale)).alias("v"))
-    left = vectors(rows).mapInArrow(pack(block, scale), PACKED)
-    right = asked.mapInArrow(pack(query_block, scale), PACKED).select(*[F.col(c).alias(f"q_{c}") for c in ("n", "dims", "wide", "ids", "numbers")])
-    near = left.crossJoin(right).mapInArrow(search(k, scale), "query_id long, vec_id long, score long")
+    left = stored(vectors(rows).mapInArrow(pack(block, scale), PACKED))
+    right = stored(asked.mapInArrow(pack(query_block, scale), PACKED))
+    groups = max(1, -(-left.count() // group_blocks))
+    size = F.sum(F.octet_length("ids") + F.octet_length("numbers") + F.octet_length("slices"))
+    sent = groups * (right.agg(size.alias("n")).first()["n"] or 0)
+    copied = right.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *[F.col(c).alias(f"q_{c}") for c in right.columns])
+    dealt = left.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    paired = dealt.join(copied.hint("broadcast" if sent <= BROADCAST_BYTES else "merge"), "g").drop("g")
+    near = paired.mapInArrow(search(k, scale), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
     beyond = F.raise_error(F.concat(F.lit("the score of query "), F.col("query_id").cast("string"), F.lit(" and row "), F.col("vec_id").cast("string"), F.lit(" is below a long")))
@@ -208,6 +242,7 @@ def top_k(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of every query, over all embeddings."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
 

@@ -169,6 +169,13 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_passages(texts, width):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    own = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in words]
+    count = collections.Counter(p for o in own for p in o)
+    return [any(count[p] > 1 for p in o) for o in own]
+
+
 @pytest.mark.parametrize("max_class", [20_000, 3])
 def test_substrings(spark, max_class):
     rng = random.Random(3)
@@ -178,9 +185,10 @@ def test_substrings(spark, max_class):
     texts += ["ab" * 200, "ab" * 120, "a" * 130, "a" * 64]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     got = substrings.remove_repeats(df, length=100, k=32, max_class=max_class).collect()
-    want = brute_repeats(texts, 100)
+    want, shares = brute_repeats(texts, 100), brute_passages(texts, 51)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], texts[r.doc_id][:80]
+        assert r.shares_passage == shares[r.doc_id], texts[r.doc_id][:80]
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 

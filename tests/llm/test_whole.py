@@ -1,9 +1,13 @@
 """Inputs on which operators once did less than the whole job."""
 
+import random
+
 import numpy as np
 import pytest
 
-from wavemill.llm import license, pii, topk
+from wavemill.llm import license, pii, substrings, topk
+
+from .test_operators import brute_passages, brute_repeats
 
 
 def test_topk_of_large_components(spark):
@@ -90,3 +94,40 @@ def test_long_candidates(spark):
     for r in pii.find_pii(docs, pii.SpanModel([], [], 0.0)).collect():
         assert ([s.kind for s in r.spans], [s.text for s in r.spans]) == (r.kinds, r.want), r.id
         assert all(r.text[s.start : s.end] == s.text for s in r.spans)
+
+
+@pytest.mark.parametrize("chunk", [substrings.CHUNK, 700])
+def test_substrings_of_long_texts(spark, monkeypatch, chunk):
+    """Texts over a chunk, repeats across its seams, short passages of many words, classes
+    beyond the size that is compared pair by pair."""
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+
+    part, few = noise(900), " ".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = [noise(rng.randint(0, 60)) + part[rng.randint(0, 300) : rng.randint(500, 900)] + noise(rng.randint(0, 60)) for _ in range(70)]
+    texts += [noise(300) + " " + few[:110] + " " + noise(200), noise(50) + " " + few.upper() + "\n" + noise(90), noise(30) + " " + few[:90] + " x", few[:80]]
+    if chunk > 1000:
+        long = noise(1 << 19)
+        texts += [long + part, noise(5000) + long[-300_000:] + noise(4000), long[(1 << 18) - 500 : (1 << 18) + 700]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    short = [t for t in texts if len(t) < 3000]
+    got = {r.doc_id: r for r in substrings.remove_repeats(df.where(f"doc_id < {len(short)}") if chunk < 1000 else df, length=150, k=32).collect()}
+    want, shares = brute_repeats(texts, 150), brute_passages(texts, 51)
+    assert len(got) == len(texts)
+    for i, r in got.items():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.shares_passage) == (*want[i], shares[i]), i
+
+
+def test_classes_by_common_prefixes():
+    """Large classes give the windows that comparing pair by pair gives."""
+    rng = random.Random(4)
+    rights = sorted("".join(rng.choice("ab") for _ in range(rng.randint(10, 40))).encode() for _ in range(60))
+    lefts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 8))).encode() for _ in rights]
+    lcps = [0, *(substrings.common_prefix(a, b) for a, b in zip(rights, rights[1:]))]
+    got = substrings.equal_windows(rights, lefts, lcps, 10)
+    for x in range(60):
+        want = {i for i in range(len(lefts[x]) + 1) for y in range(60) if y != x and len(lefts[y]) >= i and lefts[x][:i] == lefts[y][:i] and len(rights[x]) >= 10 - i and len(rights[y]) >= 10 - i and rights[x][: 10 - i] == rights[y][: 10 - i]}
+        assert {i for a, b in got[x] for i in range(a, b + 1)} == want

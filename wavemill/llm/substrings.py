@@ -6,7 +6,8 @@ equal windows have equal anchors at equal offsets.  Runs of windows with one anc
 segment.  Only segments whose anchor string occurs elsewhere can hold a repeat:
 
 1. anchors are counted, and segments with a unique anchor are dropped;
-2. equal segments are collapsed; all windows of a segment with a copy are repeats;
+2. equal segments (by a 128-bit cryptographic digest of their bytes) are collapsed; all
+   windows of a segment with a copy are repeats;
 3. the suffixes at the anchors of the distinct segments are sorted in tasks into front-coded
    runs, dealt to ranges, and each range's runs are combined by a loser tree that carries
    the prefix lengths known so far and never compares a known prefix again;
@@ -15,6 +16,10 @@ segment.  Only segments whose anchor string occurs elsewhere can hold a repeat:
 
 Anchors with more than ``MAX_CLASS`` distinct segments are not sorted in one task: their
 windows are counted one by one under partial aggregation, which gives the same answer.
+
+Beside the bytes, a text is marked if it shares a passage of over 50 words with another
+one, however few bytes these have.  Passages are found alike: windows of words, anchors of
+``GRAM`` words, equal segments first, single windows of what is left.
 """
 
 from __future__ import annotations
@@ -28,27 +33,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, text_lists
-from .dedup import _BASE, _BYTE, _INVERSE, constants, mix, powers
+from .dedup import _BASE, _BYTE, _INVERSE, constants, mix, powers, word_hashes
 
 LENGTH, ANCHOR = 400, 128
+#: Words of a shared passage, and of the anchors in it (a power of two).
+PASSAGE, GRAM = 51, 16
 #: Distinct segments of one anchor that a single task compares.
 MAX_CLASS = 20_000
 #: Window starts that are looked at together; positions within must fit 20 bits.
 CHUNK = 1 << 19
 _U = np.uint64
 
-SEGMENTS = "array<struct<h:long,c:long,lo:long,n:int,off:int>>"
-SEGMENT_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("off", pa.int32())]))
+FOUND = "struct<s:array<struct<h:long,a:long,b:long,lo:long,n:int,off:int>>,p:array<struct<h:long,c:long>>>"
+SEGMENT_TYPE = {"h": pa.int64(), "a": pa.int64(), "b": pa.int64(), "lo": pa.int64(), "n": pa.int32(), "off": pa.int32()}
+SPANS = "array<struct<start:long,end:long>>"
+MARKS = "array<struct<h:long,lo:long,n:int,off:int,wide:boolean,whole:boolean>>"
 
 
 def raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """The hash of every ``k``-byte string, by doubling; ``k`` is a power of two."""
+def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every ``k`` consecutive values, by doubling; ``k`` is a power of two."""
     with np.errstate(over="ignore"):
-        h, m, by = _BYTE[data], 1, constants(32, 17)
+        m, by = 1, constants(32, 17)
         for step in range(k.bit_length() - 1):
             h = h[:-m] * by[step] + h[m:]
             m *= 2
@@ -64,80 +73,132 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - m)], values[width - m :]) if width > m else values
 
 
-def find_segments(data: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
-    """Segments of the texts ``data[bounds[i]:bounds[i + 1]]``: owner, first window start
-    (within the text), windows, anchor's distance from the first start, and two hashes."""
-    names = ("owner", "lo", "n", "off", "h", "c")
-    if len(data) < length:
-        return {x: np.zeros(0, np.int64) for x in names}
+def find_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
+    """Segments of the sequences ``values[bounds[i]:bounds[i + 1]]``: owner, first window
+    start in ``values``, windows, anchor's distance from the first start, anchor's hash."""
+    names = ("owner", "lo", "n", "off", "h")
+    none = {x: np.zeros(0, np.int64) for x in names}
+    if len(values) < length:
+        return none
+    grams = gram_hashes(values, k)
+    keyed = (grams & ~_U(0xFFFFF)) | np.arange(len(grams), dtype=np.uint64)
+    anchor = (window_min(keyed, length - k + 1) & _U(0xFFFFF)).astype(np.int64)
+    starts = np.arange(len(anchor))
+    owner = np.searchsorted(bounds, starts, side="right") - 1
+    inside = starts + length <= bounds[owner + 1]
+    starts, owner, anchor = starts[inside], owner[inside], anchor[inside]
+    if not len(starts):
+        return none
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(starts)))
+    lo, own, pos = starts[at], owner[at], anchor[at]
+    return {"owner": own, "lo": lo, "n": n, "off": pos - lo, "h": grams[pos].view(np.int64)}
+
+
+def in_chunks(bounds: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences in groups of about ``CHUNK`` values: (owners, starts, ends) of their parts.
+    A longer one is cut into parts that overlap so that each has all its windows."""
+    own, low, high, held = [], [], [], 0
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        for at in range(a, max(a + 1, b - length + 1), CHUNK):
+            end = min(b, at + CHUNK + length - 1)
+            if end - at < length:
+                continue
+            if held and held + end - at > CHUNK:
+                yield np.array(own), np.array(low), np.array(high)
+                own, low, high, held = [], [], [], 0
+            own.append(i), low.append(at), high.append(end)
+            held += end - at
+    if own:
+        yield np.array(own), np.array(low), np.array(high)
+
+
+def all_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
+    """``find_segments`` of sequences of any size, a chunk at a time."""
+    found = []
+    for own, low, high in in_chunks(bounds, length):
+        sizes = np.concatenate(([0], np.cumsum(high - low)))
+        part = find_segments(np.concatenate([values[a:b] for a, b in zip(low, high)]), sizes, length, k)
+        inner = part["owner"]
+        found.append(part | {"owner": own[inner], "lo": part["lo"] - sizes[inner] + low[inner]})
+    names = ("owner", "lo", "n", "off", "h")
+    return {x: np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in names}
+
+
+def segments_of(texts: list[bytes], length: int, k: int) -> dict[str, np.ndarray]:
+    """The segments of texts, in order of their owners; ``lo`` counts from the text's start,
+    and ``a`` and ``b`` are a digest of the bytes of all the segment's windows."""
+    data = b"".join(texts)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    found = all_segments(_BYTE[np.frombuffer(data, dtype=np.uint8)], bounds, length, k)
+    view = memoryview(data)
+    ends = found["lo"] + found["n"] + length - 1
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(found["lo"].tolist(), ends.tolist()))
+    both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+    return found | {"lo": found["lo"] - bounds[found["owner"]], "a": both[:, 0], "b": both[:, 1]}
+
+
+def passages_of(texts: list[bytes], width: int, gram: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Segments of word windows, with ``c``, a hash of all their words, and the hash of the
+    ``width`` words from each word on."""
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+    words, at = word_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8), bounds)
+    found = all_segments(words, at, width, gram)
     with np.errstate(over="ignore"):
-        grams = gram_hashes(data, k)
-        keyed = (grams & ~_U(0xFFFFF)) | np.arange(len(grams), dtype=np.uint64)
-        anchor = (window_min(keyed, length - k + 1) & _U(0xFFFFF)).astype(np.int64)
-        starts = np.arange(len(anchor))
-        owner = np.searchsorted(bounds, starts, side="right") - 1
-        inside = starts + length <= bounds[owner + 1]
-        starts, owner, anchor = starts[inside], owner[inside], anchor[inside]
-        if not len(starts):
-            return {x: np.zeros(0, np.int64) for x in names}
-        new = np.ones(len(starts), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(starts)))
-        lo, own, pos = starts[at], owner[at], anchor[at]
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-        content = mix((total[lo + n - 1 + length] - total[lo]) * powers(_INVERSE, len(data) + 1)[lo])
-    return {"owner": own, "lo": lo - bounds[own], "n": n, "off": pos - lo, "h": grams[pos].view(np.int64), "c": content.view(np.int64)}
-
-
-def segments_of(texts: list[bytes], length: int, k: int) -> list[list[dict]]:
-    """The segments of each text; longer texts are looked at in overlapping chunks."""
-    parts = [(i, at, t[at : at + CHUNK + length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), CHUNK)]
-    out: list[list[dict]] = [[] for _ in texts]
-    group: list[tuple[int, int, bytes]] = []
-
-    def flush() -> None:
-        bounds = np.zeros(len(group) + 1, dtype=np.int64)
-        np.cumsum([len(p) for *_, p in group], out=bounds[1:])
-        found = find_segments(np.frombuffer(b"".join(p for *_, p in group), dtype=np.uint8), bounds, length, k)
-        for o, lo, n, off, h, c in zip(*(found[x].tolist() for x in ("owner", "lo", "n", "off", "h", "c"))):
-            i, at, _ = group[o]
-            out[i].append({"h": h, "c": c, "lo": at + lo, "n": n, "off": off})
-        group.clear()
-
-    size = 0
-    for p in parts:
-        if len(p[2]) < length:
-            continue
-        if group and size + len(p[2]) > CHUNK:
-            flush()
-            size = 0
-        group.append(p)
-        size += len(p[2])
-    if group:
-        flush()
-    return out
+        total = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * powers(_BASE, len(words)), out=total[1:])
+        back = powers(_INVERSE, len(words) + 1)
+        lo, end = found["lo"], found["lo"] + found["n"] + width - 1
+        content = mix((total[end] - total[lo]) * back[lo] + found["n"].astype(np.uint64)).view(np.int64)
+        windows = mix((total[width:] - total[: max(0, len(words) + 1 - width)]) * back[: max(0, len(words) + 1 - width)]).view(np.int64)
+    return found | {"c": content}, windows
+
+
+def as_lists(owner: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.ListArray:
+    """One list of structs for each of ``n`` owners, from rows in their order."""
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
 
+def segment_udf(length: int, k: int, width: int, gram: int):
+    """Byte segments and word segments of each text."""
 
-def segment_udf(length: int, k: int):
-    @F.arrow_udf(SEGMENTS)
+    @F.arrow_udf(FOUND)
     def segments(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([s for (texts,) in text_lists(batch) for s in segments_of([raw(t) for t in texts], length, k)], SEGMENT_TYPE)
+            s, p = [], []
+            for (texts,) in text_lists(batch):
+                own = [raw(t) for t in texts]
+                found = segments_of(own, length, k)
+                s.append(as_lists(found["owner"], len(own), {x: pa.array(found[x], t) for x, t in SEGMENT_TYPE.items()}))
+                found, _ = passages_of(own, width, gram)
+                p.append(as_lists(found["owner"], len(own), {x: pa.array(found[x], pa.int64()) for x in ("h", "c")}))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(s), pa.concat_arrays(p)], ["s", "p"]) if s else pa.array([], pa.struct([("s", pa.list_(pa.struct(list(SEGMENT_TYPE.items())))), ("p", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))]))
 
     return segments
 
 
-def anchor_udf(length: int, k: int):
-    """The anchor hashes alone."""
+def passage_udf(width: int, gram: int):
+    """(h, c, w) of every word window of the marked word segments."""
 
-    @F.arrow_udf("array<long>")
-    def anchors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([[x["h"] for x in s] for (texts,) in text_lists(batch) for s in segments_of([raw(t) for t in texts], length, k)], pa.list_(pa.int64()))
+    @F.arrow_udf("array<struct<h:long,c:long,w:long>>")
+    def windows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, marks in batches:
+            out = []
+            for x, y in text_lists(texts, also=(marks,)):
+                for text, own in zip(x, y):
+                    found, hashes = passages_of([raw(text)], width, gram)
+                    wanted = {(m["h"], m["c"]) for m in own or []}
+                    rows = {}
+                    for h, c, lo, n in zip(*(found[z].tolist() for z in ("h", "c", "lo", "n"))):
+                        if (h, c) in wanted:
+                            rows[h, c] = [{"h": h, "c": c, "w": w} for w in set(hashes[lo : lo + n].tolist())]
+                    out.append([r for own_rows in rows.values() for r in own_rows])
+            yield pa.array(out, pa.list_(pa.struct([(z, pa.int64()) for z in "hcw"])))
 
-    return anchors
+    return windows
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -272,27 +333,23 @@ def equal_windows(suffixes: list[bytes], lefts: list[bytes], lcps: list[int], le
                     out[x].append((length - right, left))
                     out[y].append((length - right, left))
         return out
-    # Larger classes: the hashes of all members' windows, for a few distances at a time.
-    most = max(map(len, lefts))
-    data = np.zeros((g, most + length), dtype=np.uint8)
+    # Larger classes: what shares the bytes up to a distance is a range of the sorted suffixes,
+    # and of the sorted left contexts; two members of both ranges have the same window.
     left_size, right_size = np.array([len(x) for x in lefts]), np.array([len(x) for x in suffixes])
-    for x in range(g):
-        data[x, most - left_size[x] : most] = np.frombuffer(lefts[x][::-1], dtype=np.uint8)
-        data[x, most : most + right_size[x]] = np.frombuffer(suffixes[x], dtype=np.uint8)
-    power, back = powers(_BASE, most + length), powers(_INVERSE, most + length)
+    order = sorted(range(g), key=lefts.__getitem__)
+    rank = np.empty(g, dtype=np.int64)
+    rank[order] = np.arange(g)
+    left_lcps = np.array([0, *(common_prefix(lefts[x], lefts[y]) for x, y in zip(order, order[1:]))])
+    right_lcps = np.array([0, *lcps[1:]])
+    most = int(left_size.max())
     repeat = np.zeros((g, most + 1), dtype=bool)
-    with np.errstate(over="ignore"):
-        total = np.zeros((g, most + length + 1), dtype=np.uint64)
-        for x in range(g):
-            np.cumsum(_BYTE[data[x]] * power, out=total[x, 1:])
-        for i in range(most + 1):
-            fit = np.flatnonzero((left_size >= i) & (right_size >= length - i))
-            at = most - i
-            key = (total[fit, at + length] - total[fit, at]) * back[at]
-            order = np.argsort(key)
-            same = key[order[1:]] == key[order[:-1]]
-            repeat[fit[order[1:][same]], i] = True
-            repeat[fit[order[:-1][same]], i] = True
+    for i in range(most + 1):
+        fit = np.flatnonzero((left_size >= i) & (right_size >= length - i))
+        if len(fit) > 1:
+            right, left = np.cumsum(right_lcps < length - i), np.cumsum(left_lcps < i)
+            both = right[fit] * (g + 1) + left[rank[fit]]
+            _, kind, often = np.unique(both, return_inverse=True, return_counts=True)
+            repeat[fit, i] = often[kind] > 1
     for x in np.flatnonzero(repeat.any(axis=1)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], repeat[x].astype(np.int8), [0]))))
         out[x] = [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2])]
@@ -375,71 +432,93 @@ def cut_udf():
     return cut
 
 
-def content_keys(text: Column) -> list[Column]:
-    """Two hashes that stand for a text; copies share them."""
-    return [F.xxhash64(F.lit("one"), text).alias("k1"), F.xxhash64(F.lit("two"), text).alias("k2")]
+def content_keys(sha: Column) -> list[Column]:
+    """Two numbers of 60 bits each, from the SHA-256 of a text; copies share them."""
+    return [F.conv(F.substring(sha, at, 15), 16, 10).cast("long").alias(name) for name, at in (("k1", 1), ("k2", 16))]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, max_class: int = MAX_CLASS, range_bytes: int = 12 << 20) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, spans, kept_sha256, kept) of every row.
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, max_class: int = MAX_CLASS, range_bytes: int = 12 << 20, passage: int = PASSAGE, gram: int = GRAM
+) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, spans, kept_sha256, kept, shares_passage) of every row.
 
     Texts are their UTF-8 bytes, null as empty.  A text shorter than ``length`` loses
     nothing.  Copies of a longer text lose all their bytes, repeated rows and rows with one
     key or a null key included: each row is a text of its own.  ``kept`` is null where
-    nothing was removed (the text itself stands).
+    nothing was removed (the text itself stands).  ``shares_passage`` says that another row
+    has ``passage`` consecutive words of the text (blank-separated, A-Z lower-cased), whether
+    or not these make ``length`` bytes.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("__id"), full.alias("text"), *content_keys(full))
-    long_enough = F.octet_length("text") >= length
-    anchors = base.where(long_enough).select(F.explode(anchor_udf(length, k)("text")).alias("h"))
+    base = docs.select(F.col(key).alias("__id"), full.alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).select("*", *content_keys(F.col("sha")))
+    long_enough = F.octet_length("text") >= min(length, 2 * passage - 1)
+    found = stored(base.where(long_enough).select("__id", "k1", "k2", F.octet_length("text").alias("size"), segment_udf(length, k, passage, gram)("text").alias("u")).select("__id", "k1", "k2", "size", "u.*"))
     # Stored: an aggregation under a join would keep a frequent anchor's rows in one task.
+    anchors = found.select(F.explode("s.h").alias("h"))
     repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
-    found = base.where(long_enough).select("k1", "k2", F.explode(segment_udf(length, k)("text")).alias("s")).select("k1", "k2", "s.*")
     # Stored before it is aggregated: a frequent anchor's rows are then split among tasks.
-    shared = stored(found.join(repeated, "h", "left_semi"))
-    segments = stored(shared.groupBy("h", "c", "n", "off", "k1", "k2", "lo").agg(F.count("*").alias("copies")))
-    same = segments.groupBy("h", "c", "n", "off").agg(F.sum("copies").alias("all"), F.min(F.struct("k1", "k2", "lo")).alias("first"))
-    same = stored(same)
+    shared = stored(found.select("k1", "k2", F.explode("s").alias("s")).select("k1", "k2", "s.*").join(repeated, "h", "left_semi"))
+    kind = ["h", "a", "b", "n", "off"]
+    segments = stored(shared.groupBy(*kind, "k1", "k2", "lo").agg(F.count("*").alias("copies")))
+    same = stored(segments.groupBy(*kind).agg(F.sum("copies").alias("all"), F.min(F.struct("k1", "k2", "lo")).alias("first")))
     classes = stored(same.groupBy("h").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1))
     # Sorted: one segment of each kind, where the anchor has several kinds.
     chosen = same.join(classes, "h").select("first.*", "h", "n", "off", (F.col("distinct") > max_class).alias("wide"))
-    twice = segments.join(same.where("all > 1").select("h", "c", "n", "off"), ["h", "c", "n", "off"], "left_semi")
+    twice = segments.join(same.where("all > 1").select(*kind), kind, "left_semi")
     marks = chosen.select("k1", "k2", F.struct("h", "lo", "n", "off", "wide", F.lit(False).alias("whole")).alias("m"))
     marks = marks.unionByName(twice.select("k1", "k2", F.struct("h", "lo", "n", "off", F.lit(False).alias("wide"), F.lit(True).alias("whole")).alias("m")))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list("m").alias("marks"))
-    counts = base.where(long_enough).groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("__id").alias("rep"))
-    marks = marks.join(counts, ["k1", "k2"])
+    # Word segments: which of them other texts have as they are, and which need a closer look.
+    spoken = stored(found.select("k1", "k2", F.explode(F.array_distinct("p")).alias("p")).select("k1", "k2", "p.*").distinct())
+    alike = stored(spoken.groupBy("h", "c").agg(F.count("*").alias("texts"), F.min(F.struct("k1", "k2")).alias("first")))
+    several = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("texts").alias("least")).where("kinds > 1 AND least = 1").select("h")
+    looked = alike.join(several, "h", "left_semi").select("first.*", F.struct("h", "c").alias("m")).groupBy("k1", "k2").agg(F.collect_list("m").alias("words"))
+    counts = found.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("__id").alias("rep"), F.any_value("size").alias("size"))
+    marks = counts.join(marks, ["k1", "k2"], "left").join(looked, ["k1", "k2"], "left")
     joined = base.join(marks, ["k1", "k2"], "left")
     lead = (F.col("copies") == 1) | F.col("rep").eqNullSafe(F.col("__id"))
-    held = stored(joined.select("__id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha"), F.when(F.col("marks").isNotNull() & lead, F.col("text")).alias("text"), "marks", "copies"))
+    gone = (F.coalesce("copies", F.lit(1)) > 1) & (F.octet_length("text") >= length)
+    wanted = lead & (F.col("marks").isNotNull() | F.col("words").isNotNull())
+    held = stored(joined.select("__id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), "sha", F.when(wanted, F.col("text")).alias("text"), "marks", "words", F.coalesce("copies", F.lit(1)).alias("copies"), gone.alias("gone")))
     texts = held.where(F.col("text").isNotNull())
-    kinds = texts.select("k1", "k2", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0)
+    kinds = texts.where("marks IS NOT NULL").select("k1", "k2", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0)
     narrow = kinds.withColumn("marks", F.filter("marks", lambda m: ~m["wide"])).where(F.size("marks") > 0)
     n = narrow.agg(F.sum(F.size("marks")).alias("n")).first()["n"] or 0
     ranges = max(parts, -(-n * (length + 200) // range_bytes))
-    runs = narrow.mapInArrow(write_runs(length, ranges), RUN).repartition(ranges, "r")
+    # Stored: dealing the runs evenly looks at their ranges first.
+    runs = stored(narrow.mapInArrow(write_runs(length, ranges), RUN)).repartitionByRange(ranges, "r")
     spans = runs.groupBy("r").applyInArrow(merge_runs(length, k), SPAN)
     wide = kinds.withColumn("marks", F.filter("marks", lambda m: m["wide"])).where(F.size("marks") > 0)
     single = wide.select("k1", "k2", F.explode(window_udf(length)("text", "marks")).alias("w")).select("k1", "k2", "w.*")
     often = single.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
     spans = spans.unionByName(single.join(often, ["a", "b"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end")))
-    grouped = stored(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    alone = held.where("text IS NOT NULL AND copies = 1").join(grouped, ["k1", "k2"], "left")
-    whole = F.transform(F.filter("marks", lambda m: m["whole"]), lambda m: F.struct(m["lo"].alias("start"), (m["lo"] + m["n"] - 1 + length).alias("end")))
-    done = alone.select(F.col("__id"), "n_bytes", cut_udf()(F.col("text"), F.concat(whole, F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")))).alias("r"))
-    done = done.select("__id", "n_bytes", "r.n_removed", "r.spans", "r.kept_sha256", F.when(F.col("r.n_removed") > 0, F.col("r.kept")).alias("kept"))
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    rest = held.where("copies IS NULL OR copies > 1")
-    gone = F.col("copies").isNotNull()
+    grouped = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    heard = texts.where("words IS NOT NULL").select(F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("w.*").distinct()
+    met = heard.join(heard.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"), "w", "left_semi").select("h", "c")
+    met = met.unionByName(alike.where("texts > 1").select("h", "c")).distinct()
+    sharing = spoken.join(met, ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
+    told = stored(grouped.join(sharing, ["k1", "k2"], "full"))
+    none = F.array().cast(SPANS)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    # Copies share their words with one another, if they have enough of them.
+    worded = spoken.select("k1", "k2").distinct().withColumn("worded", F.lit(True))
+    full = held.join(told, ["k1", "k2"], "left").join(worded, ["k1", "k2"], "left").withColumn("shares_passage", F.coalesce(F.col("shares"), F.lit(False)) | ((F.col("copies") > 1) & F.coalesce("worded", F.lit(False))))
+    cut = full.where("text IS NOT NULL AND NOT gone")
+    whole = F.transform(F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: m["whole"]), lambda m: F.struct(m["lo"].alias("start"), (m["lo"] + m["n"] - 1 + length).alias("end")))
+    done = cut.select("__id", "n_bytes", "shares_passage", cut_udf()(F.col("text"), F.concat(whole, F.coalesce("spans", none))).alias("r"))
+    done = done.select("__id", "n_bytes", "r.n_removed", "r.spans", "r.kept_sha256", F.when(F.col("r.n_removed") > 0, F.col("r.kept")).alias("kept"), "shares_passage")
+    rest = full.where("text IS NULL OR gone")
     rest = rest.select(
-        "__id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, all_of_it).otherwise(empty).alias("spans"), F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.col("whole_sha")).alias("kept_sha256"), F.when(gone, F.lit(b"")).alias("kept")
-    )
-    out = done.unionByName(rest)
-    return out.select(F.col("__id").alias(key), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "kept_sha256", "kept")
+        "__id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(F.col("gone"), all_of_it).otherwise(none).alias("spans"), F.when(F.col("gone"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(F.col("gone"), F.lit(b"")).alias("kept"), "shares_passage",
+    )
+    return done.unionByName(rest).select(F.col("__id").alias(key), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "kept_sha256", "kept", "shares_passage")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What is left of every document without the 400-byte strings that occur twice, and
+    whether it shares a passage of over 50 words, in whatever bytes, with another one."""
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage")

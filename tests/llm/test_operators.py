@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -91,14 +92,17 @@ def test_components(spark):
 
 def test_langid(spark):
     docs = frame(spark)
-    model = langid.train(langid.training_sample(langid.learned(docs)))
+    samples = langid.training_sample(langid.learned(docs))
+    model = langid.train_all(samples)
     got = [r for r in langid.identify_languages(docs, model).collect()]
     assert len(got) == len(documents())
     by = {r.doc_id: r for r in got}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (74, 75, 76, 77))
     assert sum(by[i].lang_pred == ("en" if i % 3 else "fr") for i in range(60)) >= 58
     assert all(0 <= r.score <= 1 for r in got)
-    nothing = langid.train({})
+    apart = langid.identify_languages(docs, langid.train_all(samples, per_model=1)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, apart))
+    nothing = langid.train_all({})
     assert {r.lang_pred for r in langid.identify_languages(docs, nothing).collect()} == {"und"}
     assert langid.identify_languages(empty(spark), model).count() == 0
 
@@ -115,9 +119,28 @@ def test_phrases_by_hand():
             n, i = n + 1, j
         return n
 
-    for text in ("abcabd", "dcba", "abxyzabc", "zzz"):
-        s = langid.to_symbols(langid.code_points(text), model.symbols)
-        assert langid.count_phrases([s], model, 1 << 20)[0].tolist() == [phrases(text, "abcabcabd"), phrases(text, "xyz")]
+    texts = ["abcabd", "dcba", "abxyzabc", "zzz", "", "abc" * 900, "xyz" * 2_000 + "a"]
+    for docs in ([t] for t in texts), (texts * 9,):
+        for own in docs:
+            got = langid.count_phrases([langid.to_symbols(langid.code_points(t), model.symbols, model.numbers, model.first_digit) for t in own], model)
+            assert got.tolist() == [[phrases(t, "abcabcabd"), phrases(t, "xyz")] for t in own]
+
+
+def test_thousands_of_letters():
+    """Letters beyond the symbols are spelt, and stay apart."""
+    first, second = "".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0x5200, 0x5600)))
+    model = langid.train({"a": first * 2, "b": second * 2, "c": "plain latin text"})
+    assert model.width <= 252 and langid.predict([first[500:800], second[100:300], "latin", first[:9] + second[:2]], model)[0] == ["a", "b", "c", "a"]
+
+
+def test_ties_of_languages():
+    model = langid.train({"b": "same text", "a": "same text"})
+    assert langid.predict(["same"], model)[:3] == (["a"], [math.log2(9)], [math.log2(9)])
+
+
+def test_shares():
+    assert langid.shares(["a" * 100, "b" * 3, "c" * 100], 30) == ["a" * 17, "b" * 3, "c" * 10]
+    assert langid.shares(["ab", "c"], 30) == ["ab", "c"]
 
 
 def test_sharding(spark):

@@ -260,9 +260,21 @@ def test_pii(spark):
     got = pii.find_pii(many, model).select("doc_id", F.size("spans").alias("n")).collect()
     assert all(r.n == r.doc_id % 2 for r in got)
     assert pii.fit_spans(df.where("doc_id < 2")).trees == []
+    # Bare numbers that look like cards but fail the check have no cue: the trees can't tell them from cards, and none is taken.
+    numbers = [(1000 + i, f"see {4111111111111111 if i % 2 else 4111111111111112 + 10 * i} there", None) for i in range(300)]
+    both = many.unionByName(spark.createDataFrame(numbers, df.schema))
+    got = pii.find_pii(both, pii.fit_spans(both)).select("doc_id", pii.counted("spans", "secret").alias("s"), pii.counted("spans", "number").alias("n"), pii.counted("base_spans", "card").alias("c")).collect()
+    luhn = {i for i, t, _ in numbers if brute_pii(t)}
+    assert all((r.s, r.n, r.c) == (int(r.doc_id < 1000 and r.doc_id % 2), 0, int(r.doc_id in luhn)) for r in got)
     assert pii.find_pii(df.limit(0), model).count() == 0
 
 
+def test_thresholds():
+    assert pii.calibrate([(0.9, 1.0), (0.8, 1.0), (0.8, 0.0), (0.7, 1.0)], 0.7) == 0.7
+    assert pii.calibrate([(0.9, 1.0), (0.8, 1.0), (0.8, 0.0)], 0.9) == 0.9
+    assert pii.calibrate([(0.9, 0.0), (0.4, 1.0)], 0.5) == pii.calibrate([], 0.5) == 2.0
+
+
 @pytest.mark.parametrize("block_bytes", [32 << 20, 600])
 def test_decontam(spark, block_bytes):
     rng = random.Random(9)

@@ -325,6 +325,17 @@ def test_mixing(spark):
     assert mixing.repeated(mixing.mix_sources(docs, n_blocks=8)).count() == sum(r.copies for r in mixing.mix_sources(docs, n_blocks=8).collect())
 
 
+def test_more_sources_than_are_held(spark):
+    """Aggregates over the sources give the plan that the driver's list gives, ties of places too."""
+    docs = frame(spark)
+    for how in ({"max_repeats": 1.5}, {"max_repeats": None, "target_entropy": 1.2, "budget_tokens": 9000.0}, {"max_repeats": None, "target_entropy": 5.0}):
+        few, many = (sorted((str(r.doc_id), r.text or "", r.copies, r.block, round(r.weight, 9)) for r in mixing.mix_sources(docs, n_blocks=8, max_sources=n, **how).collect()) for n in (20_000, 1))
+        assert few == many
+    assert mixing.mix_sources(empty(spark), max_sources=0).count() == 0
+    counted = docs.withColumn("n", mixing.word_count(F.col("text")))
+    assert sorted(r.copies for r in mixing.mix_sources(counted, tokens="n").collect()) == sorted(r.copies for r in mixing.mix_sources(docs).collect())
+
+
 def test_exponent():
     tokens = [1000.0, 100.0, 10.0]
     a = mixing.bisect_exponent(tokens, 0.9, None)

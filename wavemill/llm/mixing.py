@@ -7,7 +7,9 @@ source's documents are permuted by a keyed hash and cut into blocks of equal has
 every full epoch takes all blocks, and the last, partial epoch takes blocks in order until
 its token budget is met, the block at the boundary document by document.
 
-What reaches the driver is one row a source; documents are never shuffled.
+Documents are never shuffled.  Up to ``max_sources`` sources, their totals are held by the
+driver and the weights are broadcast; beyond, the exponent is found by aggregates over the
+totals, and the planner chooses how weights are joined.
 """
 
 from __future__ import annotations
@@ -57,10 +59,39 @@ def bisect_exponent(tokens: list[float], target_entropy: float | None, max_repea
     return max(by_limit, by_entropy)
 
 
+def bisect_by_aggregates(totals: DataFrame, target_entropy: float | None, max_repeats: float | None, steps: int = 16) -> float:
+    """``bisect_exponent`` of the column ``t``: each job looks at ``steps`` exponents at once."""
+    full = totals.where("t > 0")
+    top, least = full.agg(F.max("t"), F.min("t")).first()
+    if top is None:
+        return 1.0
+    by_limit = bisect_exponent([top, least], None, max_repeats) if max_repeats else 0.0
+    if target_entropy is None:
+        return by_limit
+    share = F.col("t") / F.lit(top)
+
+    def entropies(exponents: list[float]) -> list[float]:
+        raw = [F.pow(share, F.lit(a)) for a in exponents]
+        sums = full.agg(*[x for r in raw for x in (F.sum(r), F.sum(r * F.log(r)))]).first()
+        return [math.log(z) - s / z for z, s in zip(sums[::2], sums[1::2])]
+
+    low, high = 0.0, 1.0
+    if entropies([0.0])[0] <= target_entropy:
+        return by_limit
+    while high - low > 2.0**-52:
+        inner = [low + (high - low) * (i + 1) / (steps + 1) for i in range(steps)]
+        fits = [x <= target_entropy for x in entropies(inner)]
+        first = fits.index(True) if True in fits else steps
+        edges = (inner[first - 1] if first else low), (inner[first] if first < steps else high)
+        if edges == (low, high):
+            break
+        low, high = edges
+    return max(by_limit, high)
+
+
 def word_count(text: Column) -> Column:
     """Blank-separated words; none in a null or blank text."""
-    trimmed = F.regexp_replace(text, r"^\s+", "")
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) > 0, F.size(F.split(trimmed, r"\s+")) - F.when(trimmed.rlike(r"\s$"), 1).otherwise(0)).otherwise(0).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def source_key(source: str) -> Column:
@@ -68,48 +99,36 @@ def source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
-def plan_mix(
-    docs: DataFrame, key: str, text: str, source: str, target_entropy: float | None, max_repeats: float | None, budget_tokens: float | None, n_blocks: int, seed: int, max_sources: int
-) -> list[dict]:
-    """One dict a source: tokens, weight, full epochs and the hash up to which documents
-    are in the partial epoch (below 0: none)."""
-    narrow = stored(docs.select(source_key(source).alias("s"), order_hash(key, seed).alias("h"), word_count(F.col(text)).alias("n")))
+def plan_mix(narrow: DataFrame, target_entropy: float | None, max_repeats: float | None, budget_tokens: float | None, n_blocks: int, max_sources: int) -> tuple[DataFrame, bool]:
+    """(s, weight, full, cut) of each source: full epochs, and the hash up to which documents
+    are in the partial epoch (below 0: none); and whether there are few sources.
+    ``narrow`` has the source ``s``, the place ``h`` and the tokens ``n`` of each document."""
     blocks = stored(narrow.groupBy("s", F.floor(F.col("h") * n_blocks).cast("int").alias("b")).agg(F.sum("n").alias("n")))
-    totals = {r["s"]: float(r["n"]) for r in blocks.groupBy("s").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()}
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    names = sorted(totals)
-    tokens = [totals[s] for s in names]
-    weights = tempered(tokens, bisect_exponent(tokens, target_entropy, max_repeats))
+    totals = stored(blocks.groupBy("s").agg(F.sum("n").cast("double").alias("t")))
+    held = [r["t"] for r in totals.limit(max_sources + 1).collect()]
+    few = len(held) <= max_sources
+    exponent = bisect_exponent(held, target_entropy, max_repeats) if few else bisect_by_aggregates(totals, target_entropy, max_repeats)
+    top = totals.agg(F.max("t").alias("t")).first()["t"] or 0.0
+    raw = F.when(F.col("t") > 0, F.pow(F.col("t") / F.lit(top or 1.0), F.lit(exponent))).otherwise(0.0)
+    sum_raw = totals.agg(F.sum(raw).alias("z")).first()["z"] or 0.0
+    weight = raw / F.lit(sum_raw or 1.0)
     # Without a budget, the most plentiful source is seen just once.
-    budget = budget_tokens if budget_tokens is not None else max((t / w for t, w in zip(tokens, weights) if w > 0), default=0.0)
-    plan = []
-    for s, t, w in zip(names, tokens, weights):
-        epochs = w * budget / t if t > 0 else 1.0
-        if max_repeats:
-            epochs = min(epochs, float(max_repeats)) if budget_tokens is not None else epochs
-        epochs = float(round(epochs)) if abs(epochs - round(epochs)) < 1e-9 else epochs
-        plan.append({"s": s, "tokens": t, "weight": w, "full": int(epochs), "rest": (epochs - int(epochs)) * t, "cut": -1.0})
-    spark = docs.sparkSession
-    if not any(p["rest"] > 0 for p in plan):
-        return plan
-    asked = F.broadcast(spark.createDataFrame([(p["s"], p["rest"]) for p in plan], "s string, rest double"))
+    budget = budget_tokens if budget_tokens is not None else top * sum_raw
+    epochs = F.when(F.col("t") > 0, F.col("weight") * F.lit(float(budget)) / F.col("t")).otherwise(1.0)
+    epochs = F.least(epochs, F.lit(float(max_repeats))) if max_repeats and budget_tokens is not None else epochs
+    plan = totals.withColumn("weight", weight).withColumn("e", epochs).withColumn("e", F.when(F.abs(F.col("e") - F.round("e")) < 1e-9, F.round("e")).otherwise(F.col("e")))
+    plan = stored(plan.withColumn("full", F.floor("e").cast("long")).withColumn("rest", (F.col("e") - F.col("full")) * F.col("t")))
+    asked = plan.where("rest > 0").select("s", "rest")
     run = F.sum("n").over(W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow))
     edge = blocks.withColumn("upto", run).join(asked, "s").where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
-    edge = edge.groupBy("s").agg(F.min_by(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "rest"), "b").alias("e")).select("s", "e.*")
-    inside = narrow.withColumn("b", F.floor(F.col("h") * n_blocks).cast("int")).join(F.broadcast(edge), ["s", "b"])
+    edge = stored(edge.groupBy("s").agg(F.min_by(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "rest"), "b").alias("e")).select("s", "e.*"))
+    inside = narrow.withColumn("b", F.floor(F.col("h") * n_blocks).cast("int")).join(F.broadcast(edge) if few else edge, ["s", "b"])
     ties = inside.groupBy("s", "h").agg(F.sum("n").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     run = F.sum("n").over(W.partitionBy("s").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow))
-    taken = ties.withColumn("upto", F.col("before") + run).where(F.col("upto") <= F.col("rest"))
-    last = {r["s"]: r["h"] for r in taken.groupBy("s").agg(F.max("h").alias("h")).collect()}
-    ends = {r["s"]: r["b"] for r in edge.collect()}
-    for p in plan:
-        if p["rest"] > 0 and p["s"] in ends:
-            # All blocks before the boundary block, and its documents that still fit.
-            p["cut"] = last.get(p["s"], math.nextafter(ends[p["s"]] / n_blocks, -1.0))
-        elif p["rest"] > 0:
-            p["cut"] = 1.0
-    return plan
+    last = ties.withColumn("upto", F.col("before") + run).where(F.col("upto") <= F.col("rest")).groupBy("s").agg(F.max("h").alias("last"))
+    # All blocks before the boundary block, and its documents that still fit; hashes have 52 bits.
+    cut = F.when(F.col("rest") <= 0, -1.0).when(F.col("b").isNull(), 1.0).otherwise(F.coalesce("last", F.col("b") / n_blocks - 2.0**-53))
+    return stored(plan.join(edge.select("s", "b"), "s", "left").join(last, "s", "left").select("s", "weight", "full", cut.alias("cut"))), few
 
 
 def order_hash(key: str, seed: int) -> Column:
@@ -127,6 +146,7 @@ def mix_sources(
     n_blocks: int = 4096,
     seed: int = 0,
     max_sources: int = 20_000,
+    tokens: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_tokens``, ``weight`` (of its source), ``block`` (in its source's
     permutation) and ``copies`` (times the document is seen).
@@ -134,17 +154,19 @@ def mix_sources(
     A null source is a source of its own; a null or blank text has no tokens and takes part
     in whole epochs; rows with one key share a place in the permutation, so repeated rows
     are taken together.  Without ``budget_tokens`` the budget is the one at which the most
-    plentiful source is seen once, so nothing is dropped.  Raises ValueError beyond
-    ``max_sources`` sources, the bound of what is broadcast and held by the driver.
+    plentiful source is seen once, so nothing is dropped.  ``max_sources`` bounds what is
+    broadcast and held by the driver; there may be more.  ``tokens`` names a column with
+    counts made before; null counts as 0.
     """
-    spark = docs.sparkSession
-    kept = drop_clashes(docs, "n_tokens", "weight", "block", "copies")
-    plan = plan_mix(kept, key, text, source, target_entropy, max_repeats, budget_tokens, n_blocks, seed, max_sources)
-    table = spark.createDataFrame([(p["s"], p["weight"], p["full"], p["cut"]) for p in plan], "__s string, weight double, __full long, __cut double")
+    kept = drop_clashes(docs, *({"n_tokens", "weight", "block", "copies"} - {tokens}))
+    n_tokens = F.coalesce(F.col(tokens), F.lit(0)).cast("long") if tokens else word_count(F.col(text))
+    narrow = stored(kept.select(source_key(source).alias("s"), order_hash(key, seed).alias("h"), n_tokens.alias("n")))
+    plan, few = plan_mix(narrow, target_entropy, max_repeats, budget_tokens, n_blocks, max_sources)
+    table = plan.select(F.col("s").alias("__s"), F.col("weight").alias("__weight"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
     hashed = kept.withColumn("__s", source_key(source)).withColumn("__h", order_hash(key, seed))
-    joined = hashed.join(F.broadcast(table), "__s", "left")
+    joined = hashed.join(F.broadcast(table) if few else table, "__s", "left")
     copies = F.coalesce(F.col("__full") + F.when(F.col("__h") <= F.col("__cut"), 1).otherwise(0), F.lit(1)).cast("long")
-    return joined.select(*[F.col(c) for c in kept.columns], word_count(F.col(text)).alias("n_tokens"), F.col("weight"), F.floor(F.col("__h") * n_blocks).cast("long").alias("block"), copies.alias("copies"))
+    return joined.select(*[F.col(c) for c in kept.columns if c != tokens], n_tokens.alias("n_tokens"), F.col("__weight").alias("weight"), F.floor(F.col("__h") * n_blocks).cast("long").alias("block"), copies.alias("copies"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -153,5 +175,8 @@ def repeated(mixed: DataFrame) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix_sources(docs).select("doc_id", "source", "n_tokens", "weight", "block", "copies")
+    """How often each document is seen in the flattest mix that repeats no source more than
+    twice and cuts none.  Words are counted once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counted = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")))
+    return mix_sources(counted, tokens="n").select("doc_id", "source", "n_tokens", "weight", "block", "copies")

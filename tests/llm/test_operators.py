@@ -51,8 +51,10 @@ def test_neardup(spark):
     assert dedup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_large_family_in_blocks(spark, monkeypatch):
-    """A bucket beyond the size that is joined natively gives the same pairs."""
+@pytest.mark.parametrize("most", [16_384, 4])
+def test_large_family_in_blocks(spark, monkeypatch, most):
+    """A bucket beyond the size that is joined natively gives the same pairs, and so does one
+    that is banded again."""
     rng, words = random.Random(1), [f"w{i}" for i in range(400)]
     base = [rng.choice(words) for _ in range(150)]
     texts = []
@@ -79,7 +81,7 @@ def test_large_family_in_blocks(spark, monkeypatch):
         return x if parent[x] == x else find(parent[x])
 
     whole = dedup.candidates
-    monkeypatch.setattr(dedup, "candidates", lambda rest, percent, bits: whole(rest, percent, bits, small=8, block=16))
+    monkeypatch.setattr(dedup, "candidates", lambda rest, percent, bits: whole(rest, percent, bits, small=8, block=16, most=most))
     got = {r.doc_id: r.component_id for r in dedup.near_duplicates(df).collect()}
     assert got == {i: find(i) for i in range(120)}
 

@@ -91,6 +91,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its recurring lines."""
     cut = drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -59,5 +59,6 @@ def shard_names(n: int) -> list[str]:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard, one of 64, of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return assign_shards(docs, shard_names(64))

@@ -6,8 +6,8 @@ equal windows have equal anchors at equal offsets.  Runs of windows with one anc
 segment.  Only segments whose anchor string occurs elsewhere can hold a repeat:
 
 1. anchors are counted, and segments with a unique anchor are dropped;
-2. equal segments (by a 128-bit cryptographic digest of their bytes) are collapsed; all
-   windows of a segment with a copy are repeats;
+2. equal segments (by their anchor's hash and a cryptographic digest of their bytes, 64 bits
+   each) are collapsed; all windows of a segment with a copy are repeats;
 3. the suffixes at the anchors of the distinct segments are sorted in tasks into front-coded
    runs, dealt to ranges, and each range's runs are combined by a loser tree that carries
    the prefix lengths known so far and never compares a known prefix again;
@@ -44,10 +44,9 @@ MAX_CLASS = 20_000
 CHUNK = 1 << 19
 _U = np.uint64
 
-FOUND = "struct<s:array<struct<h:long,a:long,b:long,lo:long,n:int,off:int>>,p:array<struct<h:long,c:long>>>"
-SEGMENT_TYPE = {"h": pa.int64(), "a": pa.int64(), "b": pa.int64(), "lo": pa.int64(), "n": pa.int32(), "off": pa.int32()}
+FOUND = "struct<s:array<struct<h:long,c:long,lo:long,n:int,off:int>>,p:array<struct<h:long,c:long>>>"
+SEGMENT_TYPE = {"h": pa.int64(), "c": pa.int64(), "lo": pa.int64(), "n": pa.int32(), "off": pa.int32()}
 SPANS = "array<struct<start:long,end:long>>"
-MARKS = "array<struct<h:long,lo:long,n:int,off:int,wide:boolean,whole:boolean>>"
 
 
 def raw(text: str | None) -> bytes:
@@ -129,15 +128,14 @@ def all_segments(values: np.ndarray, bounds: np.ndarray, length: int, k: int) ->
 
 def segments_of(texts: list[bytes], length: int, k: int) -> dict[str, np.ndarray]:
     """The segments of texts, in order of their owners; ``lo`` counts from the text's start,
-    and ``a`` and ``b`` are a digest of the bytes of all the segment's windows."""
+    and ``c`` is a digest of the bytes of all the segment's windows."""
     data = b"".join(texts)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     found = all_segments(_BYTE[np.frombuffer(data, dtype=np.uint8)], bounds, length, k)
     view = memoryview(data)
     ends = found["lo"] + found["n"] + length - 1
-    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(found["lo"].tolist(), ends.tolist()))
-    both = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-    return found | {"lo": found["lo"] - bounds[found["owner"]], "a": both[:, 0], "b": both[:, 1]}
+    digests = b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(found["lo"].tolist(), ends.tolist()))
+    return found | {"lo": found["lo"] - bounds[found["owner"]], "c": np.frombuffer(digests, dtype=np.int64)}
 
 
 def passages_of(texts: list[bytes], width: int, gram: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -453,14 +451,13 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key).alias("__id"), full.alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).select("*", *content_keys(F.col("sha")))
-    long_enough = F.octet_length("text") >= min(length, 2 * passage - 1)
-    found = stored(base.where(long_enough).select("__id", "k1", "k2", F.octet_length("text").alias("size"), segment_udf(length, k, passage, gram)("text").alias("u")).select("__id", "k1", "k2", "size", "u.*"))
+    found = base.select("__id", "sha", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), segment_udf(length, k, passage, gram)("text").alias("u"))
+    found = stored(found.select("__id", "sha", "k1", "k2", "n_bytes", "u.*"))
     # Stored: an aggregation under a join would keep a frequent anchor's rows in one task.
-    anchors = found.select(F.explode("s.h").alias("h"))
-    repeated = stored(anchors.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    repeated = stored(found.select(F.explode("s.h").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
     # Stored before it is aggregated: a frequent anchor's rows are then split among tasks.
     shared = stored(found.select("k1", "k2", F.explode("s").alias("s")).select("k1", "k2", "s.*").join(repeated, "h", "left_semi"))
-    kind = ["h", "a", "b", "n", "off"]
+    kind = ["h", "c", "n", "off"]
     segments = stored(shared.groupBy(*kind, "k1", "k2", "lo").agg(F.count("*").alias("copies")))
     same = stored(segments.groupBy(*kind).agg(F.sum("copies").alias("all"), F.min(F.struct("k1", "k2", "lo")).alias("first")))
     classes = stored(same.groupBy("h").agg(F.count("*").alias("distinct")).where(F.col("distinct") > 1))
@@ -470,20 +467,19 @@ def remove_repeats(
     marks = chosen.select("k1", "k2", F.struct("h", "lo", "n", "off", "wide", F.lit(False).alias("whole")).alias("m"))
     marks = marks.unionByName(twice.select("k1", "k2", F.struct("h", "lo", "n", "off", F.lit(False).alias("wide"), F.lit(True).alias("whole")).alias("m")))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list("m").alias("marks"))
-    # Word segments: which of them other texts have as they are, and which need a closer look.
-    spoken = stored(found.select("k1", "k2", F.explode(F.array_distinct("p")).alias("p")).select("k1", "k2", "p.*").distinct())
-    alike = stored(spoken.groupBy("h", "c").agg(F.count("*").alias("texts"), F.min(F.struct("k1", "k2")).alias("first")))
-    several = alike.groupBy("h").agg(F.count("*").alias("kinds"), F.min("texts").alias("least")).where("kinds > 1 AND least = 1").select("h")
-    looked = alike.join(several, "h", "left_semi").select("first.*", F.struct("h", "c").alias("m")).groupBy("k1", "k2").agg(F.collect_list("m").alias("words"))
-    counts = found.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("__id").alias("rep"), F.any_value("size").alias("size"))
-    marks = counts.join(marks, ["k1", "k2"], "left").join(looked, ["k1", "k2"], "left")
-    joined = base.join(marks, ["k1", "k2"], "left")
-    lead = (F.col("copies") == 1) | F.col("rep").eqNullSafe(F.col("__id"))
-    gone = (F.coalesce("copies", F.lit(1)) > 1) & (F.octet_length("text") >= length)
-    wanted = lead & (F.col("marks").isNotNull() | F.col("words").isNotNull())
-    held = stored(joined.select("__id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), "sha", F.when(wanted, F.col("text")).alias("text"), "marks", "words", F.coalesce("copies", F.lit(1)).alias("copies"), gone.alias("gone")))
-    texts = held.where(F.col("text").isNotNull())
-    kinds = texts.where("marks IS NOT NULL").select("k1", "k2", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0)
+    spoken, sure, unsure = word_segments(found)
+    looked = unsure.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c")).alias("words"))
+    counts = found.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    worded = found.where(F.size("p") > 0).groupBy("k1", "k2").agg((F.count("*") > 1).alias("spoken_twice"))
+    reps = found.groupBy("k1", "k2").agg(F.min("__id").alias("__id"))
+    info = stored(marks.join(looked, ["k1", "k2"], "full").join(counts, ["k1", "k2"], "left").join(reps, ["k1", "k2"]))
+    # A text is needed if it stands for a kind of segments, or loses something of its own.
+    wanted = F.col("words").isNotNull() | F.exists("marks", lambda m: ~m["whole"]) | (F.col("copies") == 1)
+    leads = info.where(wanted).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("__id").alias("rep"), "marks", "words", (F.col("copies") == 1).alias("alone"))
+    # The id is one of the keys, so that the copies of a text don't meet in one task.
+    own = (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & F.col("__id").eqNullSafe(F.col("rep"))
+    held = stored(base.select("__id", "k1", "k2", "text").join(leads, own).drop("__id", "rep", "l1", "l2"))
+    kinds = held.where("marks IS NOT NULL").select("k1", "k2", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0)
     narrow = kinds.withColumn("marks", F.filter("marks", lambda m: ~m["wide"])).where(F.size("marks") > 0)
     n = narrow.agg(F.sum(F.size("marks")).alias("n")).first()["n"] or 0
     ranges = max(parts, -(-n * (length + 200) // range_bytes))
@@ -494,27 +490,44 @@ def remove_repeats(
     single = wide.select("k1", "k2", F.explode(window_udf(length)("text", "marks")).alias("w")).select("k1", "k2", "w.*")
     often = single.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
     spans = spans.unionByName(single.join(often, ["a", "b"], "left_semi").select("k1", "k2", "start", (F.col("start") + length).alias("end")))
-    grouped = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    heard = texts.where("words IS NOT NULL").select(F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("w.*").distinct()
-    met = heard.join(heard.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"), "w", "left_semi").select("h", "c")
-    met = met.unionByName(alike.where("texts > 1").select("h", "c")).distinct()
-    sharing = spoken.join(met, ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
-    told = stored(grouped.join(sharing, ["k1", "k2"], "full"))
+    grouped = stored(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     none = F.array().cast(SPANS)
+    whole = F.transform(F.filter("marks", lambda m: m["whole"]), lambda m: F.struct(m["lo"].alias("start"), (m["lo"] + m["n"] - 1 + length).alias("end")))
+    cut = held.where("alone AND marks IS NOT NULL").join(grouped, ["k1", "k2"], "left")
+    done = cut.select("k1", "k2", cut_udf()(F.col("text"), F.concat(whole, F.coalesce("spans", none))).alias("r"))
+    sharing = sharing_texts(spoken, sure, held, passage, gram)
+    # One row a text; whatever nothing was found about has none.
+    told = done.join(counts.where("copies > 1"), ["k1", "k2"], "full").join(sharing, ["k1", "k2"], "full").join(worded.where("spoken_twice"), ["k1", "k2"], "full")
+    out = found.select("__id", "sha", "k1", "k2", "n_bytes").join(told, ["k1", "k2"], "left")
+    gone, some = F.col("copies").isNotNull(), F.col("r.n_removed") > 0
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    # Copies share their words with one another, if they have enough of them.
-    worded = spoken.select("k1", "k2").distinct().withColumn("worded", F.lit(True))
-    full = held.join(told, ["k1", "k2"], "left").join(worded, ["k1", "k2"], "left").withColumn("shares_passage", F.coalesce(F.col("shares"), F.lit(False)) | ((F.col("copies") > 1) & F.coalesce("worded", F.lit(False))))
-    cut = full.where("text IS NOT NULL AND NOT gone")
-    whole = F.transform(F.filter(F.coalesce("marks", F.array().cast(MARKS)), lambda m: m["whole"]), lambda m: F.struct(m["lo"].alias("start"), (m["lo"] + m["n"] - 1 + length).alias("end")))
-    done = cut.select("__id", "n_bytes", "shares_passage", cut_udf()(F.col("text"), F.concat(whole, F.coalesce("spans", none))).alias("r"))
-    done = done.select("__id", "n_bytes", "r.n_removed", "r.spans", "r.kept_sha256", F.when(F.col("r.n_removed") > 0, F.col("r.kept")).alias("kept"), "shares_passage")
-    rest = full.where("text IS NULL OR gone")
-    rest = rest.select(
-        "__id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(F.col("gone"), all_of_it).otherwise(none).alias("spans"), F.when(F.col("gone"), F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
-        F.when(F.col("gone"), F.lit(b"")).alias("kept"), "shares_passage",
-    )
-    return done.unionByName(rest).select(F.col("__id").alias(key), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans", "kept_sha256", "kept", "shares_passage")
+    removed = F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("r.n_removed", F.lit(0))).cast("long")
+    spans = F.when(gone, all_of_it).otherwise(F.coalesce("r.spans", none))
+    left = F.when(gone, F.sha2(F.lit(b""), 256)).when(some, F.col("r.kept_sha256")).otherwise(F.col("sha"))
+    shares = F.coalesce("shares", "spoken_twice", F.lit(False))
+    return out.select(F.col("__id").alias(key), "n_bytes", removed.alias("n_removed"), F.size(spans).cast("long").alias("n_spans"), spans.alias("spans"), left.alias("kept_sha256"), F.when(gone, F.lit(b"")).when(some, F.col("r.kept")).alias("kept"), shares.alias("shares_passage"))
+
+
+def word_segments(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The word segments (k1, k2, h, c) whose anchor has several texts or forms; those (h, c)
+    of them that several texts have; and, one text each, the forms of anchors of which some
+    form is in one text only, which has no other segment in common with a text."""
+    all_of_them = found.select("k1", "k2", F.explode("p").alias("p")).select("k1", "k2", "p.*")
+    text, form = F.struct("k1", "k2"), F.col("c")
+    often = all_of_them.groupBy("h").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("h")
+    spoken = stored(all_of_them.join(stored(often), "h", "left_semi"))
+    alike = stored(spoken.groupBy("h", form).agg(F.min(text).alias("x"), F.max(text).alias("y")))
+    sure = alike.where("x <> y").select("h", "c")
+    known = spoken.join(sure, ["h", "c"], "left_semi").select("k1", "k2").distinct()
+    lonely = alike.where("x = y").select("h", "x.*").join(known, ["k1", "k2"], "left_anti").select("h").distinct()
+    return spoken, sure, alike.join(lonely, "h", "left_semi").select("x.*", "h", "c")
+
+
+def sharing_texts(spoken: DataFrame, sure: DataFrame, held: DataFrame, passage: int, gram: int) -> DataFrame:
+    """(k1, k2, shares) of the texts that have a passage of another text."""
+    heard = stored(held.where("words IS NOT NULL").select(F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("w.*").distinct())
+    met = heard.join(heard.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"), "w", "left_semi").select("h", "c")
+    return spoken.join(met.unionByName(sure).distinct(), ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from wavemill import schemas
 from wavemill.sources import edf, summary, tables
 
 
@@ -20,14 +21,34 @@ def test_edf_round_trip(spark, tmp_path):
     assert [r.original_name for r in channels.orderBy("channel_index").collect()] == ["FP1-F7", "T8-P8-0", "T8-P8-1"]
     assert {r.base_name for r in channels.collect()} == {"FP1-F7", "T8-P8"}
     assert failures.count() == 1
-    got = edf.read_signals(spark, str(tmp_path), 4).where("channel_index = 0").orderBy("block_index").collect()
+    blocks, broken = edf.read_signals(spark, str(tmp_path), 4)
+    got = blocks.where("channel_index = 0").orderBy("block_index").collect()
     assert [len(r.samples) for r in got] == [256, 256, 128]
     assert np.abs(np.concatenate([r.samples for r in got]) - a).max() < 0.06
-    spark.dataSource.register(edf.EdfDataSource)
+    assert [(r.item.split("/")[-1], r.error_type) for r in broken.collect()] == [("broken.edf", "ValueError")]
+    # The data source: parts of a file, a URI, and filters that are pushed down.
+    write(tmp_path, "chb02/chb02_07.edf", edf.encode(["FP1-F7"], [b], 64))
     (tmp_path / "chb01/broken.edf").unlink()
-    source = spark.read.format("edf").option("blockSeconds", 2).option("records", 4).load(str(tmp_path)).where("channel_index = 1").orderBy("start_sample").collect()
-    assert [r.start_sample for r in source] == [0, 128, 256, 384, 512]
+    spark.dataSource.register(edf.EdfDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    load = spark.read.format("edf").option("blockSeconds", 2).option("partBytes", 1000)
+    source = load.load(str(tmp_path)).where("recording_id = 'chb01_01' AND channel_index = 1").orderBy("start_sample").collect()
+    assert [r.start_sample for r in source] == [0, 128, 256, 384, 512] and [r.block_index for r in source] == [0, 1, 2, 3, 4]
     assert np.abs(np.concatenate([r.samples for r in source]) - b).max() < 0.06
+    late = load.load(f"file://{tmp_path}").where("start_sample >= 256 AND start_sample < 500 AND recording_id IN ('chb01_01', 'chb02_07')").collect()
+    assert sorted((r.recording_id, r.channel_index, r.start_sample) for r in late) == [("chb01_01", c, s) for c in range(3) for s in (256, 384)] + [("chb02_07", 0, s) for s in (256, 384)]
+
+
+def test_pushed_filters(tmp_path):
+    write(tmp_path, "chb01/chb01_01.edf", edf.encode(["A", "B"], [np.zeros(640)] * 2, 64))
+    write(tmp_path, "chb02/chb02_07.edf", edf.encode(["A", "B"], [np.zeros(640)] * 2, 64))
+    reader = edf.EdfReader(str(tmp_path), 2.0, 1000)
+    filters = [edf.EqualTo(("recording_id",), "chb02_07"), edf.In(("channel_name",), ("B", "C")), edf.GreaterThanOrEqual(("start_sample",), 256)]
+    assert list(reader.pushFilters(filters)) == filters
+    parts = reader.partitions()
+    assert len(parts) > 1 and {p.path.split("/")[-1] for p in parts} == {"chb02_07.edf"}
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["channel_name"], r["start_sample"]) for r in rows] == [("B", 256), ("B", 384), ("B", 512)]
 
 
 GOOD = "Channel 1: FP1-F7\nChannel 2: F7-T7\n\nFile Name: chb01_03.edf\nFile Start Time: 13:43:04\nFile End Time: 14:43:04\nNumber of Seizures in File: 1\nSeizure Start Time: 2996 seconds\nSeizure End Time: 3036 seconds\n\nFile Name: chb01_04.edf\nFile Start Time: 23:30:00\nFile End Time: 00:30:00\nNumber of Seizures in File: 0\n"
@@ -57,3 +78,23 @@ def test_tables(spark, tmp_path):
     tables.write_partitions(spark.createDataFrame([(1, 9)], "f int, v int"), part, "f")
     assert sorted((r.f, r.v) for r in spark.read.parquet(part).collect()) == [(0, 1), (1, 9)]
     assert tables.file_inventory(spark, path).count() > 0
+    # A run that ended between the two renames loses nothing.
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    tables.write_upsert(spark, path, spark.createDataFrame([(4, "e")], "k int, v string"), ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")] and not (tmp_path / "t.old").exists()
+    tables.write_sorted(spark.read.parquet(path), str(tmp_path / "s"), ["k"])
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "s")).sort("k").collect()] == [1, 2, 3, 4]
+    blocks = spark.createDataFrame([("r", 0, "c", 0, 0, 8.0, [1.0])], schemas.SIGNAL_BLOCKS)
+    written = tables.write_signals(spark, blocks, str(tmp_path / "b")).collect()
+    assert len(written) == 1 and written[0].length > 0 and len(written[0].sha256) == 64
+    assert [r.k for r in tables.first_files(spark.createDataFrame([("b", 2), ("a", 1), ("c", 3)], "path string, k int"), 2).collect()] == [1, 2]
+
+
+def test_bad_bytes_are_replaced(spark, tmp_path):
+    write(tmp_path, "chb01/chb01-summary.txt", GOOD.replace("Channel 2: F7-T7", "Channel 2: F7\xff").encode("latin-1"))
+    texts = summary.read_summaries(spark, str(tmp_path))
+    assert "F7\ufffd" in texts.first().text
+    channels, recordings, *_ = summary.parse_summaries(texts)
+    assert recordings.count() == 2 and {r.channel_name for r in channels.collect()} == {"FP1-F7", "F7\ufffd"}
+    write(tmp_path, "chb02/chb02-summary.txt", GOOD.replace("chb01_03.edf", "chb02 03.edf").encode())
+    assert {r.recording_id for r in summary.parse_summaries(summary.read_summaries(spark, str(tmp_path / "chb02")))[1].collect()} == {"chb02 03", "chb01_04"}

@@ -40,6 +40,14 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(right, list(on), how)
 
 
+def exactly_one(asked: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each row of ``asked`` with its one row of ``table``; fails where there is none or more."""
+    counted = table.groupBy(*on).agg(F.count("*").alias("__n"))
+    found = asked.join(counted, list(on), "left")
+    found = found.where(F.assert_true(F.coalesce("__n", F.lit(0)) == 1, F.lit(f"not exactly one row: {', '.join(on)}")).isNull()).drop("__n")
+    return found.join(table, list(on))
+
+
 def violations(df: DataFrame, rule: str, severity: str, key: Column, bad: Column, details: Column | None = None) -> DataFrame:
     """(rule_id, severity, key, details) of the rows that break a rule; an unknown outcome
     breaks it too."""

@@ -16,6 +16,11 @@ def guarded_ratio(num: Column, den: Column, empty: Column | None = None) -> Colu
     return F.when(den > 0, num / den).otherwise(F.lit(None).cast("double") if empty is None else empty)
 
 
+def percent(part: Column) -> Column:
+    """A fraction in per cent, to two decimals."""
+    return F.round(part * 100, 2)
+
+
 def nan_to_null(x: Column) -> Column:
     return F.when(F.isnan(x), None).otherwise(x)
 
@@ -164,3 +169,8 @@ def array_diff(values: Column) -> Column:
     """x[i + 1] - x[i]."""
     n = F.size(values)
     return F.when(n > 1, F.zip_with(F.slice(values, 2, F.greatest(n - 1, F.lit(0))), F.slice(values, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)).otherwise(F.filter(values, lambda x: F.lit(False)))
+
+
+def repeated_names(names: Column) -> Column:
+    """The names that occur more than once in an array, sorted."""
+    return F.array_sort(F.filter(F.array_distinct(names), lambda x: F.size(F.filter(names, lambda y: y == x)) > 1))

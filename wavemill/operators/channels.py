@@ -14,7 +14,7 @@ from ..functions.scalars import guarded_ratio, normalize_channel_name, reasons
 PRIMARY_17 = ["FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FZ-CZ", "CZ-PZ", "FP2-F4", "F4-C4", "C4-P4", "P4-O2", "FP2-F8", "F8-T8", "P8-O2"]
 CHANNEL_SETS = {
     "primary_17": PRIMARY_17,
-    "extended_18": [*PRIMARY_17[:-1], "T8-P8", PRIMARY_17[-1]],
+    "extended_18": ["FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FZ-CZ", "CZ-PZ", "FP2-F4", "F4-C4", "C4-P4", "P4-O2", "FP2-F8", "F8-T8", "T8-P8", "P8-O2"],
     "temporal_8": ["FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP2-F8", "F8-T8", "T8-P8", "P8-O2"],
     "parasagittal_8": ["FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FP2-F4", "F4-C4", "C4-P4", "P4-O2"],
 }
@@ -31,7 +31,7 @@ def canonicalize(channels: DataFrame, rules: DataFrame) -> DataFrame:
     named = channels.withColumn("normalized_name", normalize_channel_name(F.col("original_name")))
     valid = rules.where(F.col("validation_status").isin(*VALID_STATUSES)).select("rule_order", F.col("normalized_name").alias("r_name"), "canonical_name", F.col("recording_id").alias("r_recording"))
     fits = (F.col("normalized_name") == F.col("r_name")) & (F.col("r_recording").isNull() | (F.col("r_recording") == F.col("recording_id")))
-    joined = named.join(F.broadcast(valid), fits, "left")
+    joined = named.join(valid, fits, "left")
     first = joined.groupBy("recording_id", "channel_index").agg(F.any_value("original_name").alias("original_name"), F.any_value("normalized_name").alias("normalized_name"), F.min_by("canonical_name", "rule_order").alias("alias"))
     return first.select("recording_id", "channel_index", "original_name", "normalized_name", F.coalesce("alias", "normalized_name").alias("canonical_name"), F.when(F.col("alias").isNotNull(), "applied").otherwise("none").alias("alias_status"))
 
@@ -98,6 +98,19 @@ def channel_orders(signed: DataFrame) -> DataFrame:
     return signed.groupBy("unordered_signature").agg(F.count_distinct("ordered_signature").alias("n_orders"), F.count("*").alias("n_files")).where("n_orders > 1")
 
 
+def extreme_files(channels: DataFrame, key: str) -> DataFrame:
+    """Files with the fewest and with the most channels."""
+    counted = channels.groupBy(key).agg(F.count("*").alias("n_channels"))
+    ends = counted.agg(F.min("n_channels").alias("__lo"), F.max("n_channels").alias("__hi"))
+    both = counted.crossJoin(F.broadcast(ends)).where("n_channels = __lo OR n_channels = __hi")
+    return both.select(key, "n_channels", F.when(F.col("n_channels") == F.col("__lo"), "fewest").otherwise("most").alias("extreme"))
+
+
+def missing_patterns(covered: DataFrame) -> DataFrame:
+    """How often each pattern of missing channels occurs, by channel set."""
+    return covered.where("NOT complete").groupBy("channel_set", "missing").agg(F.count("*").alias("n_files"))
+
+
 def duplicate_comparison(samples: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Two channels' samples side by side: identical, close, correlation, differences."""
     x, y = F.col(a), F.col(b)

@@ -1,8 +1,8 @@
 """Evaluation of scored windows: exact ranking metrics, confusion metrics, thresholds.
 
 Rows are first aggregated per distinct score.  Cumulative counts then run within (keys);
-without keys, scores are dealt to ranges first and each range starts from the totals of the
-ranges above it, so that no single task has to order everything.
+scores are dealt to ranges of about as many distinct scores first, and each range starts from
+the totals of the ranges above it, so that no single task has to order everything.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ def check_scores(df: DataFrame, label: str = "label", score: str = "score") -> D
     return df.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("score outside [0, 1] or label not binary")).isNull())
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], label: str, score: str, ranges: int = 1024) -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str], label: str, score: str, ranges: int = 256) -> DataFrame:
     """Per distinct score: its positives and negatives (p, q), the same of all higher scores
-    (p_above, q_above), and the totals (p_all, q_all)."""
+    (p_above, q_above), and the totals (p_all, q_all).  Ranges end at quantiles of the
+    distinct scores, so that they hold about as many, however the scores are distributed."""
     points = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    ends = points.groupBy(*keys).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"), F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
+    parts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    ends = points.groupBy(*keys).agg(F.percentile_approx(score, parts, F.lit(20 * ranges)).alias("__cuts"), F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
     joined = points.join(ends, list(keys)) if keys else points.crossJoin(F.broadcast(ends))
-    at = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (ranges - 1))).otherwise(0)
-    joined = joined.withColumn("__range", at.cast("int"))
+    joined = joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
     sums = joined.groupBy(*keys, "__range").agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
     above = W.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(*keys, "__range", F.coalesce(F.sum("__p").over(above), F.lit(0)).alias("__pa"), F.coalesce(F.sum("__q").over(above), F.lit(0)).alias("__qa"))
@@ -124,6 +125,20 @@ def stability(runs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return runs.groupBy(key).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in how.items()])
 
 
+def spread_over_folds(runs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Mean, sample deviation, median and quartiles of columns across folds."""
+    how = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "q25": lambda c: F.percentile(c, 0.25), "q75": lambda c: F.percentile(c, 0.75)}
+    return runs.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in how.items()])
+
+
+def crossfit_prevalence(df: DataFrame, fold: str = "fold", label: str = "label") -> DataFrame:
+    """Each row's ``score``: the share of positives among all other folds' rows."""
+    own = df.groupBy(fold).agg(F.sum(F.col(label).cast("double")).alias("__p"), F.count(label).alias("__n"))
+    all_of_them = own.agg(F.sum("__p").alias("__all_p"), F.sum("__n").alias("__all_n"))
+    rest = own.crossJoin(F.broadcast(all_of_them)).select(fold, ((F.col("__all_p") - F.col("__p")) / F.nullif(F.col("__all_n") - F.col("__n"), F.lit(0))).alias("score"))
+    return df.drop("score").join(rest, fold)
+
+
 def prevalence_baseline(development: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
     """The development set's share of positives as everybody's score."""
     share = development.agg(F.avg(F.col(label).cast("double")).alias("score"))
@@ -132,5 +147,5 @@ def prevalence_baseline(development: DataFrame, test: DataFrame, label: str = "l
 
 def outer_predictions(scored: DataFrame, frozen: DataFrame, key: str = "outer_fold") -> DataFrame:
     """Predicted labels at each outer fold's frozen threshold."""
-    joined = scored.join(F.broadcast(frozen.select(key, "threshold")), key)
+    joined = scored.join(frozen.select(key, "threshold"), key)
     return joined.withColumn("predicted_label", (F.col("score") >= F.col("threshold")).cast("int"))

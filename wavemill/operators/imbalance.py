@@ -34,6 +34,19 @@ def sample_weights(windows: DataFrame) -> DataFrame:
     return windows.join(F.broadcast(counts), "binary_label").withColumn("weight", 1 / F.col("__n")).drop("__n")
 
 
+def resampled(windows: DataFrame, weight: str, total: int, key: str, seed: int = 42, most: int = 64) -> DataFrame:
+    """Rows drawn with replacement in proportion to ``weight``, about ``total`` in all: each
+    row's number of draws, ``copies``, is a Poisson draw (up to ``most``) from a hash of its
+    key, as no task could order one common sequence of draws."""
+    sums = windows.agg(F.sum(weight).alias("__w"))
+    mean = F.col(weight) * total / F.col("__w")
+    u = F.conv(F.substring(draw_order(key, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), (acc["c"] + acc["p"] * mean / k).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).alias("n"))
+    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
+    copies = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step)["n"]
+    return windows.crossJoin(F.broadcast(sums)).withColumn("copies", copies).where("copies > 0").drop("__w")
+
+
 def negative_sample(windows: DataFrame, subject: str, key: str, ratio: float, minimum: int, seed: int = 42) -> DataFrame:
     """All positives, and negatives to ``ratio`` a positive: the first ``minimum`` of each
     subject in its draw order, topped up by a common draw, trimmed likewise if that is too
@@ -42,8 +55,10 @@ def negative_sample(windows: DataFrame, subject: str, key: str, ratio: float, mi
     positives = known.where("binary_label = 1")
     target = positives.agg(F.ceil(F.count("*") * ratio).cast("bigint").alias("__target"))
     negatives = known.where("binary_label = 0").withColumn("__draw", draw_order(key, seed))
+    # A filter on the rank keeps few rows of a subject before they are shuffled.
     rank = F.row_number().over(W.partitionBy(subject).orderBy("__draw", key))
-    first = negatives.withColumn("__floor", rank <= minimum)
+    floor = negatives.withColumn("__r", rank).where(F.col("__r") <= minimum).drop("__r")
+    first = floor.withColumn("__floor", F.lit(True)).unionByName(negatives.join(floor.select(key), key, "left_anti").withColumn("__floor", F.lit(False)))
     # The common draw goes by hash, with the per-subject floor ahead.  Only as many rows as
     # a bucket count says are ranked globally: every bucket before the last is taken whole.
     place = F.conv(F.substring("__draw", 1, 3), 16, 10).cast("int") + F.when(F.col("__floor"), 0).otherwise(4096)

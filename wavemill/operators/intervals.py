@@ -56,6 +56,23 @@ def tumbling_chunks(recordings: DataFrame, n: str, length: int, minimum: int) ->
     return fixed_windows(recordings, n, length, length, drop_incomplete=False).where(F.col("window_end") - F.col("window_start") >= minimum)
 
 
+def statistics_blocks(recordings: DataFrame, n: str, length: int) -> DataFrame:
+    """Blocks side by side, the tail included however short it is."""
+    return tumbling_chunks(recordings, n, length, 1)
+
+
+def interval_status(df: DataFrame, start: str, end: str, length: str, rate: Column) -> Column:
+    """The first check that an interval fails, or ``valid``: its recording's metadata, its
+    times, and its samples (from the floor of its start to the ceiling of its end)."""
+    first, last, total = F.floor(F.col(start) * rate), F.ceil(F.col(end) * rate), F.floor(F.col(length) * rate)
+    return (
+        F.when(F.col(length).isNull() | rate.isNull(), "missing_metadata")
+        .when(~F.coalesce((F.col(start) >= 0) & (F.col(end) > F.col(start)) & (F.col(end) <= F.col(length)), F.lit(False)), "invalid_time")
+        .when((first < 0) | (last > total) | (last <= first), "invalid_sample")
+        .otherwise("valid")
+    )
+
+
 def window_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Windows with ``overlap`` (over merged intervals), ``nearest`` (null without any) and
     ``n_intervals``, by an equi-join on ``keys``; one row a window.

@@ -48,7 +48,7 @@ def fold_scalers(stats: DataFrame, roles: DataFrame, fold_keys: Sequence[str], c
     """All folds' scalers in one job: ``stats`` (subject, channel, n, mean, m2) of the
     training subjects of each fold (``roles``: fold keys, subject, role), merged.  The scale
     is 1 where the deviation is below ``minimum_std``."""
-    train = stats.join(F.broadcast(roles.where("role = 'train'").drop("role")), subject)
+    train = stats.join(roles.where("role = 'train'").drop("role"), subject)
     out = with_deviation(combine(train.select(*fold_keys, channel, "n", "mean", "m2"), [*fold_keys, channel]))
     return out.withColumn("scale", F.when((F.col("std") >= minimum_std) & ~F.isnan("std"), F.col("std")).otherwise(1.0))
 
@@ -62,7 +62,7 @@ def missing_statistics(stats: DataFrame, roles: DataFrame, channels: int, subjec
 
 def apply_scaler(blocks: DataFrame, scalers: DataFrame, on: Sequence[str], unit: float = 1e6, limit: float | None = None) -> DataFrame:
     """``scaled`` samples: (x * unit - mean) / scale by channel."""
-    joined = blocks.join(F.broadcast(scalers.select(*on, "mean", "scale")), list(on))
+    joined = blocks.join(scalers.select(*on, "mean", "scale"), list(on))
     return joined.withColumn("scaled", z_score(F.col("samples"), F.col("mean"), F.col("scale"), unit, limit)).drop("mean", "scale")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,24 +40,28 @@ def band_pass(blocks: DataFrame, low: float = 0.5, high: float = 45.0, **disable
     """Zero-phase band-pass of the block table, block by block: each block comes with as
     many samples of its neighbours as half the filter is long, so blocks need no other.
 
-    Expects blocks no shorter than half the filter, except the last one.  Notch, resample
+    Fails on a block shorter than half the filter that isn't the last one.  Notch, resample
     and reference options are not offered; asking for one raises NotImplementedError.
     """
     if any(disabled.values()):
         raise NotImplementedError(f"not offered: {', '.join(k for k, v in disabled.items() if v)}")
     columns = blocks.columns
     order = W.partitionBy("recording_id", "channel_index").orderBy("block_index")
-    near = blocks.withColumns({"__before": F.lag("samples").over(order), "__after": F.lead("samples").over(order)})
+    # Of the neighbours, only what the filter reaches goes to Python.
+    half = half_taps(F.col("sampling_rate_hz"), low, high)
+    before, after = F.lag("samples").over(order), F.lead("samples").over(order)
+    near = blocks.withColumns({"__before": before, "__after": after})
+    long_enough = F.col("__after").isNull() | (F.size("samples") >= half)
+    near = near.where(F.assert_true(long_enough, F.lit("block shorter than half the filter")).isNull())
+    size = F.size("__before")
+    near = near.withColumns({"__before": F.slice("__before", F.greatest(F.lit(1), size - half + 1), half), "__after": F.slice("__after", F.lit(1), half)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for rate, x, before, after in zip(b["sampling_rate_hz"], b["samples"], b.pop("__before"), b.pop("__after")):
-                taps = kernels.band_pass_taps(rate, low, high)
-                half = (len(taps) - 1) // 2
-                left = np.asarray(before, np.float64)[-half:] if before is not None else np.zeros(0)
-                right = np.asarray(after, np.float64)[:half] if after is not None else np.zeros(0)
-                full = kernels.fir_filter(np.concatenate((left, np.asarray(x, np.float64), right)), taps)
+            for rate, x, left, right in zip(b["sampling_rate_hz"], b["samples"], b.pop("__before"), b.pop("__after")):
+                left, right = (np.asarray(y, np.float64) if y is not None else np.zeros(0) for y in (left, right))
+                full = kernels.fir_filter(np.concatenate((left, np.asarray(x, np.float64), right)), kernels.band_pass_taps(rate, low, high))
                 out.append(full[len(left) : len(left) + len(x)].astype(np.float32))
             b["samples"] = out
             yield b[columns]
@@ -65,6 +69,31 @@ def band_pass(blocks: DataFrame, low: float = 0.5, high: float = 45.0, **disable
     return near.mapInPandas(run, blocks.schema)
 
 
+def half_taps(rate: Column, low: float, high: float) -> Column:
+    """Samples on either side that the band-pass of ``kernels.band_pass_taps`` reaches."""
+    narrow = F.least(F.lit(min(max(0.25 * low, 2.0), low)), F.lit(max(0.25 * high, 2.0)), rate / 2 - high)
+    return F.floor(F.ceil(F.lit(3.3) / narrow * rate) / 2).cast("int")
+
+
+def preprocessing_rows(before: DataFrame, after: DataFrame, annotations_before: DataFrame, annotations_after: DataFrame, target_channels: int) -> DataFrame:
+    """One row a recording: channels, rate, seconds and annotations before and after a step,
+    and whether all samples of its output are finite.  A recording without output has nulls."""
+
+    def measured(blocks: DataFrame, name: str) -> DataFrame:
+        per = blocks.groupBy("recording_id", "channel_index").agg(F.max("sampling_rate_hz").alias("r"), F.sum(F.size("samples")).alias("n"))
+        return per.groupBy("recording_id").agg(F.count("*").alias(f"{name}_channels"), F.max("r").alias(f"{name}_rate"), F.max(F.col("n") / F.col("r")).alias(f"{name}_seconds"))
+
+    def annotated(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("recording_id").agg(F.count("*").alias(f"{name}_annotations"))
+
+    whole = after.groupBy("recording_id").agg(F.bool_and(F.forall("samples", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).alias("finite"))
+    out = measured(before, "before")
+    for part in (measured(after, "after"), whole, annotated(annotations_before, "before"), annotated(annotations_after, "after")):
+        out = out.join(part, "recording_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("before_annotations", "after_annotations")}
+    return out.withColumns(counts).withColumn("target_channels", F.lit(target_channels))
+
+
 def window_samples(windows: DataFrame, blocks: DataFrame, block_samples: int) -> DataFrame:
     """Windows with their samples by channel: an equi-join on (recording, block number), a
     window meeting the two or more blocks it touches, and a slice of what they hold."""

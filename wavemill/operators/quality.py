@@ -138,3 +138,29 @@ def medians_by_label(chunks: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def review_worklist(chunks: DataFrame) -> DataFrame:
     """Review counts by recording, channel and label, the busiest first."""
     return chunks.where("needs_review").groupBy("recording_id", "channel_name", "annotation_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "recording_id", "channel_name")
+
+
+def spectrum_db(blocks: DataFrame, seconds: float = 4.0, low: float = 0.1, high: float = 100.0) -> DataFrame:
+    """The power density of every block in decibels, one row a frequency within [low, high];
+    blocks shorter than a segment, or without power at a frequency, have no row there."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                x, n = np.asarray(r.samples, np.float64), round(seconds * r.sampling_rate_hz)
+                if n < 2 or len(x) < n:
+                    continue
+                f, p = kernels.welch(x, r.sampling_rate_hz, n)
+                inside = (f >= low) & (f <= high) & (p > 0)
+                yield pd.DataFrame({"recording_id": r.recording_id, "channel_index": r.channel_index, "block_index": r.block_index, "frequency_hz": f[inside], "power_db": 10 * np.log10(p[inside])})
+
+    columns = blocks.select("recording_id", "channel_index", "block_index", "sampling_rate_hz", "samples")
+    return columns.mapInPandas(run, "recording_id string, channel_index int, block_index bigint, frequency_hz double, power_db double")
+
+
+def spectrum_change(before: DataFrame, after: DataFrame, **how: float) -> DataFrame:
+    """Mean power in decibels by recording, channel and frequency, before and after a step."""
+    keys = ["recording_id", "channel_index", "frequency_hz"]
+    a, b = (spectrum_db(x, **how).groupBy(*keys).agg(F.avg("power_db").alias(n)) for x, n in ((before, "before_db"), (after, "after_db")))
+    return a.join(b, keys).withColumn("change_db", F.col("after_db") - F.col("before_db"))

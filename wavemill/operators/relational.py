@@ -140,3 +140,26 @@ def early_stopping(history: DataFrame, keys: Sequence[str], epoch: str, metric:
         )
 
     return rows.withColumn("__r", F.aggregate("__h", first, step)).select(*keys, F.col("__r.best_epoch").alias("best_epoch"), F.col("__r.best").alias("best_value"), F.nullif(F.col("__r.stop"), F.lit(0)).alias("stopped_at"))
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed where they are there."""
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
+
+
+def transposed(df: DataFrame, key: str, columns: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row a column of ``columns``, one column a value of ``key``; for small results."""
+    long = df.unpivot([key], list(columns), "measure", "value")
+    return long.groupBy("measure").pivot(key, list(values)).agg(F.any_value("value"))
+
+
+def metric_differences(df: DataFrame, keys: Sequence[str], name: str, metrics: Sequence[str], a: str, b: str) -> DataFrame:
+    """Metrics of the models ``a`` and ``b`` side by side, and how much ``a`` is above ``b``."""
+    of = {(m, x): F.max(F.when(F.col(name) == x, F.col(m))) for m in metrics for x in (a, b)}
+    out = df.groupBy(*keys).agg(*[c.alias(f"{m}_{x}") for (m, x), c in of.items()])
+    return out.withColumns({f"{m}_difference": F.col(f"{m}_{a}") - F.col(f"{m}_{b}") for m in metrics})
+
+
+def contiguous(windows: DataFrame, path: str, order: Sequence[str]) -> DataFrame:
+    """All rows of a path in one partition, in order: each signal is then read once, onward."""
+    return windows.repartition(path).sortWithinPartitions(path, *order)

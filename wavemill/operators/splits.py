@@ -2,7 +2,7 @@
 
 Only per-subject class counts decide the folds; they are a few rows a thousand subjects.
 The greedy assignment runs on the driver over at most ``MAX_SUBJECTS`` of them and goes
-back as a table, which is broadcast to the windows.
+back as a table.
 """
 
 from __future__ import annotations
@@ -93,14 +93,14 @@ def nested_roles(windows: DataFrame, subject: str = "subject_id", outer: int = 5
 
 
 def fold_summary(windows: DataFrame, roles: DataFrame, keys: Sequence[str], subject: str = "subject_id") -> DataFrame:
-    """Counts of all folds and roles in one plan: the assignment is broadcast."""
-    joined = windows.join(F.broadcast(roles), subject)
+    """Counts of all folds and roles in one plan."""
+    joined = windows.join(roles, subject)
     return joined.groupBy(*keys).agg(F.count_distinct(subject).alias("n_subjects"), F.count("*").alias("n_windows"), F.count_if(F.col("binary_label") == 0).alias("n_negative"), F.count_if(F.col("binary_label") == 1).alias("n_positive"))
 
 
 def select_role(windows: DataFrame, roles: DataFrame, outer: int, inner: int, role: str, subject: str = "subject_id") -> DataFrame:
     own = roles.where((F.col("outer_fold") == outer) & (F.col("inner_fold") == inner) & (F.col("role") == role)).select(subject)
-    return windows.where(F.col("binary_label").isNotNull()).join(F.broadcast(own), subject, "left_semi")
+    return windows.where(F.col("binary_label").isNotNull()).join(own, subject, "left_semi")
 
 
 def eligibility(windows: DataFrame) -> DataFrame:

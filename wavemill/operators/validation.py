@@ -104,7 +104,7 @@ def scalers(table: DataFrame, channels: int) -> DataFrame:
 def baseline(predictions: DataFrame, frozen: DataFrame) -> DataFrame:
     """Predictions against the frozen configuration."""
     key = F.col("window_id")
-    joined = predictions.join(F.broadcast(frozen.select("outer_fold", F.col("threshold").alias("__t"))), "outer_fold", "left")
+    joined = predictions.join(frozen.select("outer_fold", F.col("threshold").alias("__t")), "outer_fold", "left")
     return report([
         duplicates(predictions, "unique_prediction", "window_id"), violations(predictions, "score_range", "error", key, ~F.col("score").between(0, 1)),
         violations(joined, "frozen_threshold", "error", key, F.col("threshold") != F.col("__t")), violations(predictions, "label", "error", key, (F.col("score") >= F.col("threshold")).cast("int") != F.col("predicted_label")),

@@ -1,14 +1,15 @@
 """EDF files: decoder, writer, and a Spark data source.
 
-``spark.dataSource.register(EdfDataSource)`` makes ``spark.read.format("edf")`` available.
-Files are listed and opened through Hadoop's ``binaryFile`` scan (``read_signals``,
-``read_headers``), which reads any store that Spark reads; the data source itself is for
-paths that executors can open as files.
+``read_signals`` and ``read_headers`` list and open files through Hadoop's ``binaryFile``
+scan, which reads any store that Spark reads.  ``spark.dataSource.register(EdfDataSource)``
+makes ``spark.read.format("edf")`` available: it reads ranges of records, takes filters on
+recording, channel and time, and opens paths and URIs through Arrow's file systems.  The
+driver only lists files; headers are read in tasks.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan
 
 from .. import schemas
 from ..functions.scalars import case_id, normalize_channel_name, path_stem, remove_duplicate_suffix
@@ -91,28 +92,29 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.edf") -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
-HEADER = "ok boolean, error_type string, error_message string, path string, file_size bigint, sampling_rate_hz double, n_times bigint, names array<string>"
+HEADER = "ok boolean, error_type string, error_message string, path string, file_size bigint, sha256 string, sampling_rate_hz double, n_times bigint, names array<string>"
+HEADER_SCHEMA = pa.schema([("ok", pa.bool_()), ("error_type", pa.string()), ("error_message", pa.string()), ("path", pa.string()), ("file_size", pa.int64()), ("sha256", pa.string()), ("sampling_rate_hz", pa.float64()), ("n_times", pa.int64()), ("names", pa.list_(pa.string()))])
 
 
-def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(file inventory, channel rows, failures) of all EDF files below ``path``."""
+def headers_of(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(file inventory, channel rows, failures) of files with columns path and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for r in b.to_pylist():
+                known = {"path": r["path"], "file_size": r["length"], "sha256": r["sha256"]}
                 try:
                     head = parse_header(r["head"])
                     own = [s for s in head["signals"] if s["label"] != ANNOTATIONS]
                     top = max(own, key=lambda s: s["rate"]) if own else None
-                    rows.append({"ok": True, "path": r["path"], "file_size": r["length"], "sampling_rate_hz": top["rate"] if top else None, "n_times": head["records"] * top["samples"] if top else 0, "names": [s["name"] for s in own]})
+                    rows.append(known | {"ok": True, "sampling_rate_hz": top["rate"] if top else None, "n_times": head["records"] * top["samples"] if top else 0, "names": [s["name"] for s in own]})
                 except (ValueError, UnicodeDecodeError) as e:
-                    rows.append({"ok": False, "error_type": type(e).__name__, "error_message": str(e), "path": r["path"], "file_size": r["length"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("ok", pa.bool_()), ("error_type", pa.string()), ("error_message", pa.string()), ("path", pa.string()), ("file_size", pa.int64()), ("sampling_rate_hz", pa.float64()), ("n_times", pa.int64()), ("names", pa.list_(pa.string()))]))
+                    rows.append(known | {"ok": False, "error_type": type(e).__name__, "error_message": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=HEADER_SCHEMA)
 
-    # Only the header goes to Python: 256 bytes for the file and for each of up to 511 signals.
-    files = binary_files(spark, path).select("path", "length", F.substring("content", 1, 131_072).alias("head"), F.sha2("content", 256).alias("sha256"))
-    found = files.select("path", "length", "head").mapInArrow(run, HEADER).join(files.select("path", "sha256"), "path")
+    # One scan; only the header goes to Python: 256 bytes for the file and for each of up to 511 signals.
+    found = files.select("path", F.octet_length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 131_072).alias("head")).mapInArrow(run, HEADER)
     good = found.where("ok").withColumn("recording_id", path_stem(F.col("path")))
     base = F.transform("names", lambda x: normalize_channel_name(x))
     inventory = good.select(
@@ -125,6 +127,11 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return inventory, channels, failures
 
 
+def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(file inventory, channel rows, failures) of all EDF files below ``path``."""
+    return headers_of(binary_files(spark, path))
+
+
 def block_rows(recording: str, data: bytes, seconds: float, first: int = 0, last: int | None = None) -> Iterator[dict]:
     """Block rows of a file: ``seconds`` of one channel each, the tail included."""
     head, signals = decode(data, first, last)
@@ -139,73 +146,118 @@ def block_rows(recording: str, data: bytes, seconds: float, first: int = 0, last
 BLOCK_SCHEMA = pa.schema([("recording_id", pa.string()), ("channel_index", pa.int32()), ("channel_name", pa.string()), ("block_index", pa.int64()), ("start_sample", pa.int64()), ("sampling_rate_hz", pa.float64()), ("samples", pa.list_(pa.float32()))])
 
 
-def read_signals(spark: SparkSession, path: str, block_seconds: float = 60.0) -> DataFrame:
-    """The block table of all readable EDF files below ``path``; files that can't be decoded
-    are the failures of ``read_headers``."""
+def stem(path: str) -> str:
+    return posixpath.splitext(posixpath.basename(path))[0]
+
+
+def signals_of(files: DataFrame, block_seconds: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """(block table, failures) of files with columns path and content, one file at a time."""
+    schema = pa.schema([*BLOCK_SCHEMA, ("item", pa.string()), ("error_type", pa.string()), ("error_message", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                held: list[dict] = []
                 try:
-                    rows = block_rows(os.path.splitext(os.path.basename(r["path"]))[0], r["content"], block_seconds)
-                    held: list[dict] = []
-                    for row in rows:
+                    for row in block_rows(stem(r["path"]), r["content"], block_seconds):
                         held.append(row)
                         if len(held) == 256:
-                            yield pa.RecordBatch.from_pylist(held, schema=BLOCK_SCHEMA)
+                            yield pa.RecordBatch.from_pylist(held, schema=schema)
                             held = []
-                    if held:
-                        yield pa.RecordBatch.from_pylist(held, schema=BLOCK_SCHEMA)
-                except (ValueError, UnicodeDecodeError):
-                    continue
+                except (ValueError, UnicodeDecodeError) as e:
+                    held.append({"item": r["path"], "error_type": type(e).__name__, "error_message": str(e)})
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+    out = files.select("path", "content").mapInArrow(run, f"{schemas.SIGNAL_BLOCKS}, {schemas.FAILURES}")
+    return out.where("item IS NULL").drop("item", "error_type", "error_message"), out.where("item IS NOT NULL").select("item", "error_type", "error_message")
 
-    return binary_files(spark, path).select("path", "content").mapInArrow(run, schemas.SIGNAL_BLOCKS)
 
+def read_signals(spark: SparkSession, path: str, block_seconds: float = 60.0) -> tuple[DataFrame, DataFrame]:
+    """(block table, failures) of all EDF files below ``path``."""
+    return signals_of(binary_files(spark, path), block_seconds)
 
-class RecordRange(InputPartition):
-    """Data records [first, last) of one file."""
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+class FilePart(InputPartition):
+    """Part ``part`` of the ``parts`` equal ranges of data records of one file."""
+
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class EdfReader(DataSourceReader):
-    def __init__(self, path: str, block_seconds: float, records: int):
-        self.path, self.block_seconds, self.records = path, block_seconds, records
-
-    def files(self) -> list[str]:
-        if os.path.isfile(self.path):
-            return [self.path]
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.lower().endswith(".edf"))
-
-    def partitions(self) -> list[RecordRange]:
-        out = []
-        for f in self.files():
-            with open(f, "rb") as h:
-                head = parse_header(h.read(131_072))
-            whole = max(1, round(self.block_seconds / head["record_seconds"]))
-            step = max(whole, self.records // whole * whole)
-            out += [RecordRange(f, a, min(a + step, head["records"])) for a in range(0, max(1, head["records"]), step)]
-        return out
-
-    def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as h:
-            first = h.read(131_072)
-            head = parse_header(first)
+    """Takes these filters: equality with, or membership in, recordings and channels, and
+    bounds of ``start_sample``.  Other recordings are not opened, other records not read,
+    other channels not turned into rows.  Spark applies all filters again."""
+
+    def __init__(self, path: str, block_seconds: float, part_bytes: int):
+        self.path, self.block_seconds, self.part_bytes = path, block_seconds, part_bytes
+        self.wanted: dict[str, set] = {}
+        self.first, self.end = 0, None
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, (EqualTo, In)) and name in ("recording_id", "channel_index", "channel_name"):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[name] = self.wanted.get(name, values) & values
+            elif isinstance(f, GreaterThanOrEqual) and name == "start_sample":
+                self.first = max(self.first, f.value)
+            elif isinstance(f, LessThan) and name == "start_sample":
+                self.end = f.value if self.end is None else min(self.end, f.value)
+            yield f
+
+    def keeps(self, name: str, value: object) -> bool:
+        return name not in self.wanted or value in self.wanted[name]
+
+    def store(self) -> tuple:
+        """Arrow's file system for the path, and the path in it."""
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+
+    def partitions(self) -> list[FilePart]:
+        from pyarrow import fs
+
+        store, root = self.store()
+        info = store.get_file_info(root)
+        found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
+        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".edf") and self.keeps("recording_id", stem(f.path)))
+        return [FilePart(p, i, parts) for p, size in files for parts in [max(1, -(-size // self.part_bytes))] for i in range(parts)]
+
+    def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        store, _ = self.store()
+        with store.open_input_file(partition.path) as h:
+            start = h.read(131_072)
+            head = parse_header(start)
             size = 2 * head["record_samples"]
-            h.seek(head["header_bytes"] + partition.first * size)
-            body = h.read((partition.last - partition.first) * size)
-        name = os.path.splitext(os.path.basename(partition.path))[0]
-        rows = list(block_rows(name, first[: head["header_bytes"]] + body, self.block_seconds))
-        for r in rows:
-            step = max(1, round(self.block_seconds * r["sampling_rate_hz"]))
-            r["start_sample"] += round(partition.first * head["record_seconds"] * r["sampling_rate_hz"])
-            r["block_index"] = r["start_sample"] // step
-        yield pa.RecordBatch.from_pylist(rows, schema=BLOCK_SCHEMA)
+            stored = max(0, h.size() - head["header_bytes"]) // size
+            count = stored if head["records"] < 0 else min(stored, head["records"])
+            # Parts begin where blocks do.
+            whole = max(1, round(self.block_seconds / head["record_seconds"]))
+            blocks = -(-count // whole)
+            first, last = (min(count, blocks * j // partition.parts * whole) for j in (partition.part, partition.part + 1))
+            rates = [s["rate"] for s in head["signals"]]
+            if self.first:
+                first = max(first, min(last, int(self.first / max(rates) / head["record_seconds"]) // whole * whole))
+            if self.end is not None:
+                last = min(last, max(first, -(-(int(self.end / min(rates) / head["record_seconds"]) + 1) // whole) * whole))
+            # A block of rows a read, so that a task holds no more.
+            for at in range(first, last, whole):
+                h.seek(head["header_bytes"] + at * size)
+                body = h.read((min(last, at + whole) - at) * size)
+                rows = [r for r in block_rows(stem(partition.path), start[: head["header_bytes"]] + body, self.block_seconds) if self.keeps("channel_index", r["channel_index"]) and self.keeps("channel_name", r["channel_name"])]
+                for r in rows:
+                    r["start_sample"] += round(at * head["record_seconds"] * r["sampling_rate_hz"])
+                    r["block_index"] = r["start_sample"] // max(1, round(self.block_seconds * r["sampling_rate_hz"]))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=BLOCK_SCHEMA)
 
 
 class EdfDataSource(DataSource):
-    """Options: ``path``, ``blockSeconds`` (60) and ``records`` a partition (600)."""
+    """Options: ``path`` (or a URI), ``blockSeconds`` (60) and ``partBytes`` (64 MB) a
+    partition.  Filters are pushed down if ``spark.sql.python.filterPushdown.enabled``."""
 
     @classmethod
     def name(cls) -> str:
@@ -215,4 +267,4 @@ class EdfDataSource(DataSource):
         return schemas.SIGNAL_BLOCKS
 
     def reader(self, schema) -> EdfReader:
-        return EdfReader(self.options["path"], float(self.options.get("blockSeconds", 60)), int(self.options.get("records", 600)))
+        return EdfReader(self.options["path"], float(self.options.get("blockSeconds", 60)), int(self.options.get("partBytes", 64 << 20)))

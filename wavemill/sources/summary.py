@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import case_id, clock_duration, path_stem
 
-#: The line patterns.
-FILE_LINE = r"(?i)^\s*File Name:\s*(\S+)\s*$"
+#: The line patterns; units of seconds may be short or left out.
+FILE_LINE = r"(?i)^\s*File Name:\s*(.+?\.edf)\s*$"
 START_CLOCK = r"(?i)^\s*File Start Time:\s*(\S+)\s*$"
 END_CLOCK = r"(?i)^\s*File End Time:\s*(\S+)\s*$"
 COUNT_LINE = r"(?i)^\s*Number of Seizures in File:\s*(\d+)\s*$"
@@ -24,10 +24,10 @@ CHANNEL_LINE = r"(?i)^\s*Channel\s+(\d+):\s*(.+?)\s*$"
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of all files whose name holds ``summary``; bytes that are not UTF-8 stay in the string and
-    match no pattern."""
+    """(path, text) of all files whose name holds ``summary``; bytes that are not UTF-8 are
+    replaced by U+FFFD."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*[sS][uU][mM][mM][aA][rR][yY]*.[tT][xX][tT]").load(path)
-    return files.select("path", F.col("content").cast("string").alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def group(line: Column, pattern: str, n: int) -> Column:

@@ -29,14 +29,36 @@ def export_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> None:
-    """Keyed upsert of a Parquet table: written beside it, then put in its place."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = files.getFileSystem(spark._jsc.hadoopConfiguration())
-    full = upsert(spark.read.parquet(path), new, keys) if store.exists(files) else new
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    """Keyed upsert of a Parquet table: written beside it, then put in its place by two
+    renames.  The old table goes last; a run that was cut short between them is mended by
+    the next one."""
+    at, beside, before = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at) and store.exists(before):
+        store.rename(before, at)
+    there = store.exists(at)
+    full = upsert(spark.read.parquet(path), new, keys) if there else new
     full.write.mode("overwrite").parquet(f"{path}.new")
-    store.delete(files, True)
-    store.rename(beside, files)
+    store.delete(before, True)
+    if there and not store.rename(at, before) or not store.rename(beside, at):
+        raise OSError(f"could not put {path}.new in place")
+    store.delete(before, True)
+
+
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str], overwrite: bool = False) -> None:
+    """Files in the order of the keys, and rows in order within them."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def write_signals(spark: SparkSession, blocks: DataFrame, path: str) -> DataFrame:
+    """Writes a block table by recording; what comes back are its files' sizes and hashes."""
+    blocks.repartition("recording_id").sortWithinPartitions("recording_id", "channel_index", "block_index").write.mode("errorifexists").parquet(path)
+    return file_inventory(spark, path, "*.parquet")
+
+
+def first_files(files: DataFrame, n: int, path: str = "path") -> DataFrame:
+    """The first ``n`` files in path order."""
+    return files.orderBy(path).limit(n)
 
 
 def write_partitions(df: DataFrame, path: str, partition: str) -> None:

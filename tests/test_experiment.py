@@ -98,3 +98,35 @@ def test_model_contract(spark):
     assert scored.where("(score > 0.5) = (binary_label = 1)").count() > 55
     with pytest.raises(ValueError):
         model.fit_windows(df, "f", weight="w", sampled=True)
+
+
+def test_scores_close_together(spark):
+    """Scores of which 99 in 100 are in one hundredth of the range are dealt evenly, and the
+    metrics are exact."""
+    rng = np.random.default_rng(5)
+    s = np.where(rng.random(4000) < 0.99, rng.random(4000) / 100, rng.random(4000))
+    y = (rng.random(4000) < s + 0.01).astype(int)
+    df = spark.createDataFrame(list(zip(y.tolist(), s.tolist())), "label int, score double")
+    row = evaluation.ranking_metrics(df).first()
+    order = np.argsort(-s)
+    hits = np.cumsum(y[order])
+    assert abs(row.average_precision - (hits / np.arange(1, 4001) * y[order]).sum() / y.sum()) < 1e-9
+    p, q = s[y == 1], s[y == 0]
+    assert abs(row.roc_auc - (p[:, None] > q).mean()) < 1e-9
+    ends = df.agg(F.percentile_approx("score", F.array(*[F.lit(i / 256) for i in range(1, 256)]), 5120).alias("c")).first().c
+    assert np.bincount(np.searchsorted(ends, s), minlength=256).max() < 40
+
+
+def test_draws_with_replacement(spark):
+    df = spark.range(4000).withColumn("w", F.when(F.col("id") < 400, 9.0).otherwise(1.0))
+    got = imbalance.resampled(df, "w", 3600, "id").collect()
+    assert abs(sum(r.copies for r in got) - 3600) < 250
+    assert abs(sum(r.copies for r in got if r.id < 400) - 1800) < 180 and max(r.copies for r in got) > 6
+
+
+def test_exactly_one(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
+    assert checks.exactly_one(a, b, ["k"]).count() == 2
+    for broken in (b.where("k <> 2"), b.unionByName(b.where("k = 1"))):
+        with pytest.raises(Exception, match="not exactly one"):
+            checks.exactly_one(a, broken, ["k"]).collect()

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wavemill.functions import kernels as k
 from wavemill.operators import preprocess, quality
@@ -65,3 +67,11 @@ def test_quality_and_flags(spark):
     x = np.concatenate((np.zeros(2048), np.random.default_rng(3).normal(0, 20, 2048)))
     rows = quality.add_flags(quality.chunk_quality(blocks(spark, x, 2048), "block_index")).orderBy("chunk_index").collect()
     assert rows[0].flag_near_constant and rows[0].flag_zero_heavy and not rows[1].flag_near_constant
+
+
+def test_short_blocks_fail(spark):
+    x = np.random.default_rng(1).normal(0, 20, 4096)
+    with pytest.raises(Exception, match="shorter than half the filter"):
+        preprocess.band_pass(blocks(spark, x, 512)).collect()
+    half = spark.range(1).select(*[preprocess.half_taps(F.lit(r), a, b).alias(f"x{i}") for i, (r, a, b) in enumerate(((256.0, 0.5, 45.0), (100.0, 5.0, 20.0), (512.0, 1.0, 70.0)))]).first()
+    assert list(half) == [(len(k.band_pass_taps(r, a, b)) - 1) // 2 for r, a, b in ((256.0, 0.5, 45.0), (100.0, 5.0, 20.0), (512.0, 1.0, 70.0))]

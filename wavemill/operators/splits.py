@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import default_subject
@@ -40,8 +40,13 @@ def class_counts(windows: DataFrame, subject: str) -> tuple[list, np.ndarray]:
     rows = windows.where(F.col("binary_label").isNotNull() & F.col(subject).isNotNull()).groupBy(subject).agg(F.count_if(F.col("binary_label") == 0).alias("n0"), F.count_if(F.col("binary_label") == 1).alias("n1")).limit(MAX_SUBJECTS + 1).collect()
     if len(rows) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    return sorted_counts(rows)
+
+
+def sorted_counts(rows: Sequence[tuple]) -> tuple[list, np.ndarray]:
+    """Subjects in order, and their class counts, of rows (subject, n0, n1)."""
     rows = sorted(rows, key=lambda r: r[0])
-    counts = np.array([[r["n0"], r["n1"]] for r in rows], dtype=float).reshape(-1, 2)
+    counts = np.array([list(r[1:3]) for r in rows], dtype=float).reshape(-1, 2)
     if not len(rows) or (counts.sum(axis=0) == 0).any():
         raise ValueError("both classes are needed")
     return [r[0] for r in rows], counts
@@ -62,8 +67,7 @@ def grouped_folds(counts: np.ndarray, k: int, seed: int) -> np.ndarray:
             held[f] += counts[g]
             spread, n = float(np.mean(np.std(held / total, axis=0))), held[f].sum()
             held[f] -= counts[g]
-            tie = np.isclose(spread, least)
-            if (spread < least and not tie) or (tie and n < size):
+            if spread < least or (np.isclose(spread, least) and n < size):
                 best, least, size = f, spread, n
         held[best] += counts[g]
         folds[g] = best
@@ -81,6 +85,11 @@ def outer_folds(windows: DataFrame, subject: str = "subject_id", k: int = 5, see
 def nested_roles(windows: DataFrame, subject: str = "subject_id", outer: int = 5, inner: int = 4, seed: int = 42, inner_seed: int = 4200) -> DataFrame:
     """(outer_fold, inner_fold, subject, role) with roles train, validation and test."""
     names, counts = class_counts(windows, subject)
+    return roles_of(windows.sparkSession, names, counts, f"{subject} {windows.schema[subject].dataType.simpleString()}", outer, inner, seed, inner_seed)
+
+
+def roles_of(spark: SparkSession, names: list, counts: np.ndarray, subject: str, outer: int, inner: int, seed: int, inner_seed: int) -> DataFrame:
+    """The roles of subjects by their class counts; ``subject`` is the column's DDL."""
     by, rows = grouped_folds(counts, outer, seed), []
     for o in range(outer):
         rest = np.flatnonzero(by != o)
@@ -88,8 +97,7 @@ def nested_roles(windows: DataFrame, subject: str = "subject_id", outer: int = 5
         for i in range(inner):
             rows += [(o, i, names[g], "validation" if f == i else "train") for g, f in zip(rest, own)]
             rows += [(o, i, names[g], "test") for g in np.flatnonzero(by == o)]
-    kind = windows.schema[subject].dataType.simpleString()
-    return windows.sparkSession.createDataFrame(rows, f"outer_fold int, inner_fold int, {subject} {kind}, role string")
+    return spark.createDataFrame(rows, f"outer_fold int, inner_fold int, {subject}, role string")
 
 
 def fold_summary(windows: DataFrame, roles: DataFrame, keys: Sequence[str], subject: str = "subject_id") -> DataFrame:

@@ -148,9 +148,9 @@ def join_semi_fold(spark, sf_dir):
     return load(spark, sf_dir, "orders").join(keep, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def join_anti_fold(spark, sf_dir):
-    used = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    used = load(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return load(spark, sf_dir, "customer").join(used, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -160,10 +160,10 @@ def join_self_pairs(spark, sf_dir):
     return rel.self_pairs(li, ["l_orderkey", "l_suppkey"], "l_linenumber", ["l_quantity"]).drop("l_suppkey")
 
 
-@query("WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' AS side FROM b WHERE k NOT IN (SELECT k FROM a)")
+@query("WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000) SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' AS side FROM b WHERE k NOT IN (SELECT k FROM a)")
 def set_symmetric_difference(spark, sf_dir):
-    a = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return rel.same_keys(a, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    a = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return rel.same_keys(a, load(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -407,16 +407,6 @@ def signal_blocks(spark, sf_dir, rate: float = 8.0):
     return e.select(F.col("vec_id").cast("string").alias("recording_id"), F.lit(0).alias("channel_index"), F.lit("x").alias("channel_name"), F.lit(0).cast("bigint").alias("block_index"), F.lit(0).cast("bigint").alias("start_sample"), F.lit(rate).alias("sampling_rate_hz"), F.col("embedding").alias("samples"))
 
 
-@query()
-def qc_spectral(spark, sf_dir):
-    return qc.chunk_quality(signal_blocks(spark, sf_dir), "block_index")
-
-
-@query()
-def pre_bandpass(spark, sf_dir):
-    return pp.band_pass(signal_blocks(spark, sf_dir, 100.0), 5.0, 20.0).select("recording_id", F.size("samples").alias("n"), F.array_max("samples").alias("top"))
-
-
 # Moments.
 
 
@@ -547,23 +537,29 @@ def eval_freeze_config(spark, sf_dir):
     return rounded(ev.freeze_configuration(inner_runs(spark, sf_dir)), ["threshold", "mean_ap", "std_ap", "mean_auc", "std_auc"], 9)
 
 
-@query(f"WITH {SCORES}, b AS (SELECT avg(label) AS score FROM s WHERE fold <> 0) SELECT event_id, round(b.score, 9) AS score FROM s, b WHERE fold = 0")
+@query(f"WITH {SCORES}, f AS (SELECT fold, sum(label) AS p, count(*) AS n FROM s GROUP BY 1), b AS (SELECT fold, (sum(p) OVER () - p) / CAST(sum(n) OVER () - n AS DOUBLE) AS score FROM f) SELECT event_id, fold, round(b.score, 9) AS score FROM s JOIN b USING (fold)")
 def eval_prevalence_baseline(spark, sf_dir):
-    s = su.scores(spark, sf_dir)
-    return ev.prevalence_baseline(s.where("fold <> 0"), s.where("fold = 0")).select("event_id", F.round("score", 9).alias("score"))
+    """Every fold scored by the prevalence in the other ones."""
+    return ev.crossfit_prevalence(su.scores(spark, sf_dir).drop("score")).select("event_id", "fold", F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE h AS (SELECT user_id % 20 AS run, CAST(event_id % 40 AS INTEGER) AS epoch, avg(value) AS v FROM events GROUP BY ALL), o AS (SELECT run, epoch, v, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM h),
+st AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS best, 0 AS best_epoch, 0 AS wait, 0 AS stop FROM o UNION ALL
+  SELECT run, o.i, CASE WHEN stop = 0 AND (best IS NULL OR v > best + 1e-4) THEN v ELSE best END, CASE WHEN stop = 0 AND (best IS NULL OR v > best + 1e-4) THEN epoch ELSE best_epoch END,
+  CASE WHEN stop > 0 THEN wait WHEN best IS NULL OR v > best + 1e-4 THEN 0 ELSE wait + 1 END, CASE WHEN stop > 0 THEN stop WHEN best IS NULL OR v > best + 1e-4 THEN 0 WHEN wait + 1 >= 8 THEN epoch ELSE 0 END FROM st JOIN o USING (run) WHERE o.i = st.i + 1)
+SELECT run, arg_max(best_epoch, i) AS best_epoch, round(arg_max(best, i), 9) AS best_value, nullif(arg_max(stop, i), 0) AS stopped_at FROM st GROUP BY run""")
 def eval_early_stopping(spark, sf_dir):
     h = load(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("run"), (F.col("event_id") % 40).cast("int").alias("epoch")).agg(F.avg("value").alias("metric"))
-    return rel.early_stopping(h, ["run"], "epoch", "metric", 8, 1e-4)
+    return rounded(rel.early_stopping(h, ["run"], "epoch", "metric", 8, 1e-4), ["best_value"], 9)
 
 
 @query()
 def mdl_predict(spark, sf_dir):
+    """Every row scored by the model that was fitted on the other folds."""
     e = load(spark, sf_dir, "embeddings").withColumn("binary_label", (F.col("label") == 0).cast("int"))
-    model = md.fit_windows(e.where("vec_id % 5 <> 0"), "embedding", iterations=10)
-    return md.score_windows(model, e.where("vec_id % 5 = 0"), "embedding", ["vec_id"])
+    own = F.col("vec_id") % 5
+    parts = [md.score_windows(md.fit_windows(e.where(own != f), "embedding", iterations=10), e.where(own == f), "embedding", ["vec_id"]) for f in range(5)]
+    return rel.union_all(parts)
 
 
 # Validation.

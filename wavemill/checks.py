@@ -42,10 +42,12 @@ def validated_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 def exactly_one(asked: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
     """Each row of ``asked`` with its one row of ``table``; fails where there is none or more."""
-    counted = table.groupBy(*on).agg(F.count("*").alias("__n"))
-    found = asked.join(counted, list(on), "left")
-    found = found.where(F.assert_true(F.coalesce("__n", F.lit(0)) == 1, F.lit(f"not exactly one row: {', '.join(on)}")).isNull()).drop("__n")
-    return found.join(table, list(on))
+    rest = [c for c in table.columns if c not in on]
+    one = table.groupBy(*on).agg(F.count("*").alias("__n"), *[F.any_value(c).alias(c) for c in rest])
+    # The outcome is a column of its own: a filter that fails on nulls would make the join an inner one.
+    fine = F.when(F.coalesce("__n", F.lit(0)) == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"not exactly one row: {', '.join(on)}")).cast("boolean"))
+    found = asked.join(one, list(on), "left").withColumn("__fine", fine)
+    return found.where("__fine").drop("__n", "__fine")
 
 
 def violations(df: DataFrame, rule: str, severity: str, key: Column, bad: Column, details: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import decontam, dedup, langid, license, lines, mixing, pii, sharding, substrings, topk
 
-from .cases import LOW, SCHEMA, documents, empty, frame
+from .cases import LOW, documents, empty, frame
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -383,6 +383,76 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), df).count() == 0
 
 
-def test_schema_names_are_free(spark):
-    """Extra columns of the operators' own names don't stop them."""
-    assert {"score", "copies", "spans"} <= {c.split()[0] for c in SCHEMA.split(", ")}
+CLASHES = {
+    "language": (lambda spark, df: langid.identify_languages(df, langid.train_all({"en": "the text", "fr": "le texte"})), ["lang_pred", "score", "bits"]),
+    "sharding": (lambda spark, df: sharding.assign_shards(df, ["a", "b"], slots=101), ["slot", "shard"]),
+    "lines": (lambda spark, df: lines.drop_recurring_lines(df), ["n_lines", "n_dropped", "kept_text"]),
+    "pii": (lambda spark, df: pii.find_pii(df, pii.SpanModel([], [], 2.0)), ["base_spans", "spans"]),
+    "decontam": (lambda spark, df: decontam.find_contamination(df, spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")), ["n_words", "spans", "items", "longest"]),
+    "mixing": (lambda spark, df: mixing.mix_sources(df), ["n_tokens", "weight", "block", "copies"]),
+    "licenses": (lambda spark, df: license.scan_licenses(df), [f.name for f in license.RESULT_TYPE]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CLASHES))
+def test_clashing_names(spark, name):
+    """Columns of a result's names, in any case, give way; all others stay, of any type."""
+    run, names = CLASHES[name]
+    plain = spark.createDataFrame([(i, f"one two three four {i}\nsame line here\nx", "en", "s") for i in range(7)] + [(7, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    extra = plain.withColumns({n.upper() if i % 2 else n: F.lit(f"own {n}") for i, n in enumerate(names)}).withColumns({"d": F.lit(1), "m": F.create_map(F.lit("k"), F.lit(2)), "h": F.array(F.lit(1))})
+    want = sorted(map(str, run(spark, plain).collect()))
+    got = run(spark, extra)
+    assert got.columns == [*plain.columns, "d", "m", "h", *names]
+    assert sorted(map(str, got.drop("d", "m", "h").collect())) == want
+
+
+def test_rows_only_clash(spark):
+    """Operators with results of their own don't mind what other columns are called."""
+    df = frame(spark).where("doc_id < 40")
+    extra = df.withColumns({c: F.lit("own") for c in ("__id", "k1", "k2", "set_a", "bands", "sha", "n_bytes", "kept", "component_id", "v", "id")})
+    for run in (dedup.near_duplicates, substrings.remove_repeats):
+        assert sorted(map(str, run(df).collect())) == sorted(map(str, run(extra).collect()))
+
+
+def test_ties_of_spans(spark):
+    """Of overlapping candidates with one score the first stays, the generator's order next."""
+    rows = [(1, "a 123-45-67890123 b"), (2, "x ab12cd34ef56gh78 y"), (3, "same ab12cd34ef56gh78 and ab12cd34ef56gh78")]
+    got = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows * 2, "doc_id bigint, text string"), pii.SpanModel([], [], 0.0)).collect()}
+    assert got == {1: [("secret", 2)] if got[1][0][0] == "secret" else [("number", 2)], 2: [("secret", 2)], 3: [("secret", 5), ("secret", 26)]}
+
+
+def test_ties_of_places(spark):
+    """Documents with one key have one place in the mix, and are taken together."""
+    rows = [(i % 5, f"w{i} " * 10, None, "a") for i in range(40)] + [(100, "w " * 4000, None, "b")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), max_repeats=1.5, n_blocks=4).collect()
+    copies = collections.defaultdict(set)
+    for r in got:
+        copies[r.doc_id].add(r.copies)
+    assert all(len(c) == 1 for c in copies.values()) and {c for s in copies.values() for c in s} == {1, 2}
+
+
+def test_long_inputs(spark):
+    """A text of megabytes with its licence at the end; vectors of thousands of components."""
+    long = "été word " * 300_000 + "MIT License\nSPDX-License-Identifier: ISC"
+    r = license.scan_licenses(spark.createDataFrame([(1, long)], "doc_id bigint, text string")).first()
+    assert (r.n_words, r.first_word, r.n_base) == (600_006, 600_000, 1) and {"mit", "isc"} <= set(r.labels)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.2, (40, 3000))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = topk.top_k(rows, rows.where("vec_id = 0"), k=5, block=16).orderBy("rank").collect()
+    whole = np.floor(x * 1024).astype(np.int64)
+    order = sorted(range(1, 40), key=lambda i: (-int(whole[i] @ whole[0]), i))[:5]
+    assert [r.vec_id for r in got] == order and got[0].score == int(whole[order[0]] @ whole[0])
+
+
+def test_nothing_is_machine_local(monkeypatch):
+    """Off a local master, a scratch folder has to be named."""
+    from wavemill.llm import common
+
+    class Context:
+        master = "spark://cluster:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    session = type("Session", (), {"conf": type("C", (), {"get": lambda self, k, d: None})(), "sparkContext": Context()})()
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        common.scratch_dir(session)

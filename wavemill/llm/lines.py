@@ -79,8 +79,8 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     names are replaced.
     """
     kept = drop_clashes(docs, "n_lines", "n_dropped", "kept_text")
-    gone = recurring_lines(kept, key, text, min_docs, depth, min_constant).groupBy("d").agg(F.collect_set("m").alias("__gone"))
-    joined = kept.join(gone, F.col(key).eqNullSafe(F.col("d")), "left").drop("d")
+    gone = recurring_lines(kept, key, text, min_docs, depth, min_constant).groupBy(F.col("d").alias("__d")).agg(F.collect_set("m").alias("__gone"))
+    joined = kept.join(gone, F.col(key).eqNullSafe(F.col("__d")), "left").drop("__d")
     lines = F.split(F.col(text), "\n")
     keyed = F.arrays_zip(lines.alias("x"), F.transform(masked_lines(F.col(text)), two_hashes).alias("k"))
     left = F.transform(F.filter(keyed, lambda s: ~F.array_contains(F.col("__gone"), s["k"])), lambda s: s["x"])

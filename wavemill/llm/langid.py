@@ -169,22 +169,24 @@ def count_phrases(docs: list[np.ndarray], model: LanguageModel) -> np.ndarray:
     # Steps up to which at least TOGETHER documents are parsed side by side.
     steps = int(ordered[TOGETHER - 1]) if n >= TOGETHER else 0
     active = np.searchsorted(-ordered, -np.arange(steps), side="left")
+    # All languages step together: their automata are in one table.
+    state = np.tile(model.roots.astype(model.table.dtype), (n, 1))
+    count = np.zeros((n, k), dtype=np.int64)
+    for t, m in enumerate(active.tolist()):
+        step = model.table[state[:m] + flat[starts[:m] + t, None]]
+        count[:m] += step & 1
+        state[:m] = step >> 1
     cells, symbols = memoryview(model.table), memoryview(flat)
-    for lang in range(k):
-        state = np.full(n, model.roots[lang], dtype=model.table.dtype)
-        count = np.zeros(n, dtype=np.int64)
-        for t, m in enumerate(active.tolist()):
-            step = model.table[state[:m] + flat[starts[:m] + t]]
-            count[:m] += step & 1
-            state[:m] = step >> 1
-        for lane in range(int(np.searchsorted(-ordered, -steps, side="left"))):
-            s, found = int(state[lane]), 0
-            for c in symbols[int(starts[lane]) + steps : int(starts[lane] + ordered[lane])]:
+    for lane in range(int(np.searchsorted(-ordered, -steps, side="left"))):
+        rest = symbols[int(starts[lane]) + steps : int(starts[lane] + ordered[lane])].tolist()
+        for lang in range(k):
+            s, found = int(state[lane, lang]), 0
+            for c in rest:
                 x = cells[s + c]
                 found += x & 1
                 s = x >> 1
-            count[lane] += found
-        out[order, lang] = count
+            count[lane, lang] += found
+    out[order] = count
     return out
 
 

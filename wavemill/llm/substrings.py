@@ -527,7 +527,8 @@ def sharing_texts(spoken: DataFrame, sure: DataFrame, held: DataFrame, passage:
     """(k1, k2, shares) of the texts that have a passage of another text."""
     heard = stored(held.where("words IS NOT NULL").select(F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("w.*").distinct())
     met = heard.join(heard.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"), "w", "left_semi").select("h", "c")
-    return spoken.join(met.unionByName(sure).distinct(), ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
+    # Stored: a join whose one side is an aggregate could not split a frequent passage's rows.
+    return spoken.join(stored(met.unionByName(sure).distinct()), ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

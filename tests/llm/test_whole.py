@@ -109,6 +109,9 @@ def test_substrings_of_long_texts(spark, monkeypatch, chunk):
     part, few = noise(900), " ".join(rng.choice("abcdefgh") for _ in range(60))
     texts = [noise(rng.randint(0, 60)) + part[rng.randint(0, 300) : rng.randint(500, 900)] + noise(rng.randint(0, 60)) for _ in range(70)]
     texts += [noise(300) + " " + few[:110] + " " + noise(200), noise(50) + " " + few.upper() + "\n" + noise(90), noise(30) + " " + few[:90] + " x", few[:80]]
+    # A passage twice in one text only, between different words.
+    alone = " ".join(rng.choice("stuvwxyz") + str(i % 7) for i in range(55))
+    texts += [noise(80) + " " + alone + " " + noise(30) + " " + alone + " " + noise(70)]
     if chunk > 1000:
         long = noise(1 << 19)
         texts += [long + part, noise(5000) + long[-300_000:] + noise(4000), long[(1 << 18) - 500 : (1 << 18) + 700]]

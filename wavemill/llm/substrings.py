@@ -525,8 +525,11 @@ def word_segments(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def sharing_texts(spoken: DataFrame, sure: DataFrame, held: DataFrame, passage: int, gram: int) -> DataFrame:
     """(k1, k2, shares) of the texts that have a passage of another text."""
-    heard = stored(held.where("words IS NOT NULL").select(F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("w.*").distinct())
-    met = heard.join(heard.groupBy("w").agg(F.count("*").alias("m")).where("m > 1").select("w"), "w", "left_semi").select("h", "c")
+    heard = stored(held.where("words IS NOT NULL").select("k1", "k2", F.explode(passage_udf(passage, gram)("text", "words")).alias("w")).select("k1", "k2", "w.*"))
+    # A form in several texts stands here for the one that it was taken from: that one is sure anyway.
+    text = F.struct("k1", "k2")
+    often = heard.groupBy("w").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("w")
+    met = heard.join(often, "w", "left_semi").select("h", "c")
     # Stored: a join whose one side is an aggregate could not split a frequent passage's rows.
     return spoken.join(stored(met.unionByName(sure).distinct()), ["h", "c"], "left_semi").select("k1", "k2").distinct().withColumn("shares", F.lit(True))
 

@@ -360,6 +360,8 @@ def test_licenses(spark):
         assert r.base_labels == sorted({h[1] for h in hits}) and set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
     assert got[5].labels == ["apache-2.0", "gpl-2.0-only", "mit"] and got[5].expressions == ["MIT OR Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0"]
     assert "lgpl" in got[4].labels
+    notices = {"Licensed under CC BY-NC 4.0.": ["cc-by-nc"], "Creative Commons Attribution ShareAlike": ["cc-by-sa"], "creative commons attribution": ["cc-by"], "Apache License, Version 2.0": ["apache", "apache-2.0"]}
+    assert all(license.scan_text(t, license.automaton({**license.BASE_PHRASES, **license.MORE_PHRASES}))["labels"] == want for t, want in notices.items())
 
 
 @pytest.mark.parametrize("text,want", [("MIT", "MIT"), ("A AND B OR C", "A AND B OR C"), ("(A OR B) AND C", "(A OR B) AND C"), ("A OR B words follow", "A OR B"), ("A AND", "A"), ("(A", None), ("", None), ("OR A", None), ("((A))", "A")])

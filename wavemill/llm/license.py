@@ -50,7 +50,8 @@ MORE_PHRASES = {
     "creative commons attribution": "cc-by",
     "creative commons attribution sharealike": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
-    "licensed under cc by": "cc-by",
+    "cc by 2 0": "cc-by",
+    "cc by 3 0": "cc-by",
     "cc by 4 0": "cc-by",
     "cc by sa": "cc-by-sa",
     "cc by nc": "cc-by-nc",
@@ -202,12 +203,15 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> dict:
     if not words:
         return out
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    base, labels, required, ranks, counted, at = set(), set(), set(), [], 0, 0
+    base, labels, required, ranks, longest, counted, at = set(), set(), set(), [], {}, 0, 0
     for end, (_, phrase, label) in machine.iter(joined):
-        labels.add(label)
-        if phrase in BASE_PHRASES:
+        start = end - len(phrase) - 1
+        if phrase not in BASE_PHRASES:
+            # Of phrases that begin together, the longest says what the notice is.
+            longest[start] = max(longest.get(start, (0, "")), (len(phrase), label))
+        else:
             # The words before a match are counted from the last match on.
-            start = end - len(phrase) - 1
+            labels.add(label)
             counted += joined.count(" ", at, start)
             at = start
             out["n_base"] += 1
@@ -221,7 +225,7 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> dict:
                 required |= got.required
                 ranks.append(got.rank)
                 out["expressions"].append(written(got.form))
-    labels -= {""}
+    labels |= {label for _, label in longest.values()} - {""}
     evidence = len(labels) + 2 * len(out["expressions"])
     # All expressions of a text hold side by side.
     strict = STRICTNESS[max(ranks)] if ranks else None

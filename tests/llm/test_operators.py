@@ -173,6 +173,17 @@ def test_lines(spark):
     assert lines.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_rows_without_a_key(spark):
+    """All rows without a key are one document when documents are counted, as are rows that
+    share one; each of them is cut."""
+    line = "served from cache node{} in ms"
+    rows = [(None, f"{line.format(i)}\nonly {'abcdefghij'[i % 10]} text") for i in range(40)] + [(7, line.format(77))] * 3
+    few = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.n_dropped for r in lines.drop_recurring_lines(few).collect()} == {0}
+    more = few.unionByName(spark.createDataFrame([(i, line.format(i)) for i in range(3)], few.schema))
+    assert {r.n_dropped for r in lines.drop_recurring_lines(more).collect()} == {1}
+
+
 def test_templates_generalise_words(spark):
     """A field of words becomes a wildcard where each value is rare."""
     rows = [(i, f"the service restarted by {name} after a failure\nown text {name} {i}") for i, name in enumerate("anna ben carl dora emil fred gina".split())]

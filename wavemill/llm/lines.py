@@ -42,14 +42,15 @@ def two_hashes(x: Column) -> Column:
 
 
 def recurring_lines(docs: DataFrame, key: str, text: str, min_docs: int, depth: int, min_constant: float) -> DataFrame:
-    """(key, m): the masked lines of each document whose template recurs."""
-    lines = docs.select(F.col(key).alias("d"), F.explode(masked_lines(F.col(text))).alias("s")).where("s <> ''")
+    """(t, m): the masked lines of each text, by its hash, whose template recurs.  Whether a
+    line goes doesn't depend on its document, so that texts of one hash can share a list."""
+    lines = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("t"), F.explode(masked_lines(F.col(text))).alias("s")).where("s <> ''")
     # The path is cut from the line's start; only its count looks at all of it.
     path = F.xxhash64(F.length("s") - F.length(F.replace("s", F.lit(" "))), F.substring_index("s", " ", depth))
-    placed = lines.select("d", two_hashes(F.col("s")).alias("m"), path.alias("leaf"), "s")
-    held = stored(placed.select("leaf", "m", "d").distinct())
+    placed = lines.select("d", "t", two_hashes(F.col("s")).alias("m"), path.alias("leaf"), "s")
+    held = stored(placed.select("leaf", "m", "d", "t").distinct())
     leaves = stored(held.select("leaf", "d").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
-    counts = held.join(leaves, "leaf", "left_semi").groupBy("leaf", "m").agg(F.count("*").alias("docs"))
+    counts = held.join(leaves, "leaf", "left_semi").select("leaf", "m", "d").distinct().groupBy("leaf", "m").agg(F.count("*").alias("docs"))
     texts = placed.join(leaves, "leaf", "left_semi").groupBy("leaf", "m").agg(F.any_value("s").alias("s"))
     forms = stored(counts.join(texts, ["leaf", "m"]))
     # A line that recurs as it stands has support for all its tokens.
@@ -61,9 +62,9 @@ def recurring_lines(docs: DataFrame, key: str, text: str, min_docs: int, depth:
     general = general.select("m", F.transform("ts", lambda x: x["t"]).alias("ts"), "leaf")
     general = general.select("m", two_hashes(F.concat_ws(" ", F.col("leaf").cast("string"), F.array_join("ts", " "))).alias("template"), constant_share(F.col("ts")).alias("share"))
     named = stored(plain.unionByName(general).where(F.col("share") >= min_constant))
-    known = held.select("d", "m").join(named.select("m", "template"), "m")
+    known = held.select("d", "t", "m").join(named.select("m", "template"), "m")
     often = known.select("template", "d").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    return known.join(often, "template", "left_semi").select("d", "m")
+    return known.join(often, "template", "left_semi").select("t", "m")
 
 
 def constant_share(tokens: Column) -> Column:
@@ -79,8 +80,9 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     names are replaced.
     """
     kept = drop_clashes(docs, "n_lines", "n_dropped", "kept_text")
-    gone = recurring_lines(kept, key, text, min_docs, depth, min_constant).groupBy(F.col("d").alias("__d")).agg(F.collect_set("m").alias("__gone"))
-    joined = kept.join(gone, F.col(key).eqNullSafe(F.col("__d")), "left").drop("__d")
+    gone = recurring_lines(kept, key, text, min_docs, depth, min_constant).groupBy(F.col("t").alias("__t")).agg(F.collect_set("m").alias("__gone"))
+    # Stored: the rows of a frequent text can then be split among tasks.
+    joined = kept.join(stored(gone), F.xxhash64(text) == F.col("__t"), "left").drop("__t")
     lines = F.split(F.col(text), "\n")
     keyed = F.arrays_zip(lines.alias("x"), F.transform(masked_lines(F.col(text)), two_hashes).alias("k"))
     left = F.transform(F.filter(keyed, lambda s: ~F.array_contains(F.col("__gone"), s["k"])), lambda s: s["x"])

@@ -124,6 +124,19 @@ def test_substrings_of_long_texts(spark, monkeypatch, chunk):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.shares_passage) == (*want[i], shares[i]), i
 
 
+def test_runs_fill_all_ranges():
+    """Anchors are the least of many hashes; their runs are dealt evenly all the same."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    found = substrings.segments_of([text.encode()], 400, 128)
+    marks = [{"h": h, "lo": lo, "n": n, "off": off} for h, lo, n, off in zip(*(found[c].tolist() for c in ("h", "lo", "n", "off")))]
+    batch = pa.RecordBatch.from_pylist([{"k1": 1, "k2": 2, "text": text, "marks": marks}])
+    sizes = {r["r"]: len(r["lcps"]) for b in substrings.write_runs(400, 16)([batch]) for r in b.to_pylist()}
+    assert len(marks) > 1000 and len(sizes) == 16 and max(sizes.values()) < 2 * len(marks) / 16
+
+
 def test_classes_by_common_prefixes():
     """Large classes give the windows that comparing pair by pair gives."""
     rng = random.Random(4)

@@ -279,7 +279,7 @@ SPAN = "k1 long, k2 long, start long, end long"
 
 def write_runs(length: int, ranges: int, flush_bytes: int = 8 << 20):
     """Rows (k1, k2, text, marks) into one front-coded sorted run a range and flush.  A key is
-    the anchor's hash, whose leading bits choose the range evenly, and the suffix there."""
+    the anchor's mixed hash, whose leading bits choose the range, and the suffix there."""
 
     def runs_of(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[0])
@@ -297,11 +297,13 @@ def write_runs(length: int, ranges: int, flush_bytes: int = 8 << 20):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 data = raw(row["text"])
-                for m in row["marks"]:
+                # Anchors have small hashes, being the least of many: mixed again, they fill all ranges evenly.
+                names = mix(np.array([m["h"] for m in row["marks"]], dtype=np.int64).view(np.uint64)).tolist()
+                for m, name in zip(row["marks"], names):
                     lo, at = m["lo"], m["lo"] + m["off"]
                     suffix = data[at : lo + m["n"] - 1 + length]
                     left = data[lo:at][::-1]
-                    held.append(((m["h"] % (1 << 64)).to_bytes(8, "big") + suffix, left, row["k1"], row["k2"], lo, m["off"]))
+                    held.append((name.to_bytes(8, "big") + suffix, left, row["k1"], row["k2"], lo, m["off"]))
                     size += len(suffix) + len(left)
                 if size > flush_bytes:
                     yield from runs_of(held)

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup, lines, topk
+from . import decontam, dedup, filters, lines, topk
+from .blocks import op11_blocks
 from .decontam import op7_decontam
 from .dedup import op1_neardup
+from .filters import op12_filters
 from .langid import op2_langid
 from .license import op9_licenses
 from .lines import op4_lines
@@ -17,6 +19,7 @@ from .pii import op6_pii
 from .sharding import op3_sharding
 from .substrings import op5_substrings
 from .topk import op10_topk
+from .whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
+    "op11_blocks": op11_blocks,
+    "op12_filters": op12_filters,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op1_neardup": dedup.ORACLE, "op4_lines": lines.ORACLE, "op7_decontam": decontam.ORACLE, "op10_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_neardup": dedup.ORACLE, "op4_lines": lines.ORACLE, "op7_decontam": decontam.ORACLE, "op10_topk": topk.ORACLE, "op12_filters": filters.ORACLE}

@@ -49,7 +49,7 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("held", [1 << 21, 50])
+@pytest.mark.parametrize("held", [1 << 19, 50])
 def test_passages(spark, monkeypatch, held):
     """Few entries held: tasks settle what they have again and again."""
     monkeypatch.setattr(blocks, "HELD", held)

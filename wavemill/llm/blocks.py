@@ -33,7 +33,7 @@ from .dedup import _BASE, _BLANK, _BYTE, _INVERSE, constants, mix, powers
 
 WINDOW = 13
 #: Entries that a task holds before it settles them, and bytes of text a receiving task.
-HELD, BUCKET_BYTES = 1 << 21, 16 << 20
+HELD, BUCKET_BYTES = 1 << 19, 4 << 20
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 Arrays = dict[str, np.ndarray]

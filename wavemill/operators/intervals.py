@@ -7,12 +7,18 @@ skip nulls and would make an unmatched row overlap fully.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+from . import sweep as sw
+
+#: Intervals or windows of a recording that one row may hold or meet as pairs.
+DENSE = 4_096
+
 
 def validate_intervals(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """``df``, failing on a negative start or an end that isn't beyond the start."""
@@ -73,13 +79,34 @@ def interval_status(df: DataFrame, start: str, end: str, length: str, rate: Colu
     )
 
 
-def window_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+def many(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """The keys that have more than ``most`` rows, stored; None if there are none."""
+    found = kept(rows.where(sw.all_set(keys)).groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*keys))
+    return None if found.isEmpty() else found
+
+
+def in_two(few: Callable[..., DataFrame], lots: Callable[..., DataFrame], asked: DataFrame, other: DataFrame, keys: Sequence[str], dense: int) -> DataFrame:
+    """``few(asked, other)`` for keys with at most ``dense`` rows of ``other``, ``lots`` for the
+    rest: the same results, by arrays of a bounded length or by a sweep."""
+    busy = many(other, keys, dense)
+    if busy is None:
+        return few(asked, other)
+    on = list(keys)
+    return few(asked.join(busy, on, "left_anti"), other.join(busy, on, "left_anti")).unionByName(lots(asked.join(busy, on, "left_semi"), other.join(busy, on, "left_semi")))
+
+
+def window_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str], dense: int = DENSE) -> DataFrame:
     """Windows with ``overlap`` (over merged intervals), ``nearest`` (null without any) and
-    ``n_intervals``, by an equi-join on ``keys``; one row a window.
+    ``n_intervals``, one row a window.
 
-    Merged intervals are gathered to one array a recording first, so that the join adds no
-    rows and windows aren't shuffled again to be put back together.
+    Merged intervals of a recording are gathered to one array, so that the equi-join adds no
+    rows and windows aren't shuffled again to be put back together; a recording with more
+    than ``dense`` intervals is swept instead.
     """
+    return in_two(lambda w, i: listed_overlaps(w, i, keys), lambda w, i: sw.swept_overlaps(w, i, keys), windows, intervals.where(F.col("end") > F.col("start")), keys, dense)
+
+
+def listed_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     merged = merge_intervals(intervals, keys)
     lists = merged.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__all"))
     s, e = F.col("window_start"), F.col("window_end")
@@ -105,20 +132,30 @@ def label_windows(df: DataFrame, threshold: float, near: int, clean: int) -> Dat
     })
 
 
-def chunk_annotation(chunks: DataFrame, intervals: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+def chunk_annotation(chunks: DataFrame, intervals: DataFrame, keys: Sequence[str], threshold: float = 0.5, dense: int = DENSE) -> DataFrame:
     """``overlap_fraction`` (the most that any single, unmerged interval covers) and
-    ``annotation_label`` of each chunk."""
-    lists = intervals.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__all"))
-    s, e = F.col("window_start"), F.col("window_end")
-    most = F.array_max(F.transform("__all", lambda x: F.greatest(F.lit(0).cast("bigint"), F.least(e, x["end"]) - F.greatest(s, x["start"]))))
-    joined = chunks.join(lists, list(keys), "left")
-    out = joined.withColumn("overlap_fraction", F.coalesce(most / (e - s), F.lit(0.0))).drop("__all")
+    ``annotation_label`` of each chunk.  A recording with more than ``dense`` intervals is
+    swept; its chunks must not overlap."""
+
+    def listed(c: DataFrame, i: DataFrame) -> DataFrame:
+        lists = i.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("__all"))
+        s, e = F.col("window_start"), F.col("window_end")
+        most = F.array_max(F.transform("__all", lambda x: F.greatest(F.lit(0).cast("bigint"), F.least(e, x["end"]) - F.greatest(s, x["start"]))))
+        return c.join(lists, list(keys), "left").withColumn("most", most).drop("__all")
+
+    found = in_two(listed, lambda c, i: sw.swept_most(c, i, keys), chunks, intervals.where(F.col("end") > F.col("start")), keys, dense)
+    out = found.withColumn("overlap_fraction", F.coalesce(F.col("most") / (F.col("window_end") - F.col("window_start")), F.lit(0.0))).drop("most")
     return out.withColumn("annotation_label", F.when(F.col("overlap_fraction") <= 0, "non_ictal").when(F.col("overlap_fraction") >= threshold, "ictal").otherwise("boundary"))
 
 
-def interval_coverage(intervals: DataFrame, windows: DataFrame, keys: Sequence[str], interval_id: str) -> DataFrame:
+def interval_coverage(intervals: DataFrame, windows: DataFrame, keys: Sequence[str], interval_id: str, dense: int = DENSE) -> DataFrame:
     """For each interval: windows that overlap it, by label; intervals without a window stay.
-    The theta-join has the recording as its equi-key."""
+    The recording is the equi-key of a theta-join; a recording with more than ``dense``
+    windows is swept."""
+    return in_two(lambda i, w: joined_coverage(i, w, keys, interval_id), lambda i, w: sw.swept_coverage(i, w, keys, interval_id), intervals, windows, keys, dense)
+
+
+def joined_coverage(intervals: DataFrame, windows: DataFrame, keys: Sequence[str], interval_id: str) -> DataFrame:
     i, w = intervals.alias("i"), windows.alias("w")
     match = [F.col(f"i.{k}") == F.col(f"w.{k}") for k in keys] + [F.col("w.window_start") < F.col("i.end"), F.col("w.window_end") > F.col("i.start")]
     condition = match[0]

@@ -120,6 +120,27 @@ def win_constant_stride(spark, sf_dir):
     return ivl.constant_stride(su.windows(spark, sf_dir), ["user_id", "day"], "window_start", su.STRIDE)
 
 
+# The same by sweeps, whatever the number of intervals.
+
+
+@query(ORACLES["win_sliding_label"])
+def win_swept_label(spark, sf_dir):
+    out = su.labelled(spark, sf_dir, dense=0).groupBy("user_id", "label_name")
+    return out.agg(F.count("*").alias("n_windows"), F.sum("overlap").alias("overlap_us"), F.sum("nearest").alias("nearest_us"))
+
+
+@query(ORACLES["ivl_chunk_annotation"])
+def ivl_swept_chunks(spark, sf_dir):
+    chunks = ivl.tumbling_chunks(su.recordings(spark, sf_dir), "n", 420 * su.MINUTE, 60 * su.MINUTE)
+    out = ivl.chunk_annotation(chunks, su.error_intervals(spark, sf_dir).select("user_id", "day", "start", "end"), ["user_id", "day"], 0.25, dense=0)
+    return out.select("user_id", "day", F.col("window_index").cast("bigint").alias("chunk_index"), F.round("overlap_fraction", 9).alias("overlap_fraction"), "annotation_label")
+
+
+@query(ORACLES["win_seizure_coverage"])
+def win_swept_coverage(spark, sf_dir):
+    return ivl.interval_coverage(su.error_intervals(spark, sf_dir), su.labelled(spark, sf_dir), ["user_id", "day"], "event_id", dense=0)
+
+
 # Joins and sets.
 
 

@@ -41,9 +41,9 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivl.fixed_windows(recordings(spark, sf_dir), "n", WINDOW, STRIDE)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, dense: int = ivl.DENSE) -> DataFrame:
     keys = ["user_id", "day"]
-    found = ivl.window_overlaps(windows(spark, sf_dir), error_intervals(spark, sf_dir).select(*keys, "start", "end"), keys)
+    found = ivl.window_overlaps(windows(spark, sf_dir), error_intervals(spark, sf_dir).select(*keys, "start", "end"), keys, dense)
     return ivl.label_windows(found, THRESHOLD, NEAR, NEAR)
 
 

@@ -141,14 +141,17 @@ class Pool:
 
     def add(self, x: Arrays) -> Iterator[Arrays]:
         """Yields what is found once the pool is full; what is kept stays."""
-        n = len(x["key"])
-        if n:
-            self.parts.append(x)
-            self.size += n
-        if self.size >= self.limit:
+        if self.put(x):
             yield from self.settled()
             self.limit = max(HELD, 2 * self.size)
 
+    def put(self, x: Arrays) -> bool:
+        """Whether the pool is full with these."""
+        if len(x["key"]):
+            self.parts.append(x)
+            self.size += len(x["key"])
+        return self.size >= self.limit
+
     def settled(self) -> Iterator[Arrays]:
         if self.parts:
             found, kept = self.settle({c: np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]})
@@ -181,48 +184,80 @@ def dealt(x: Arrays, sizes: dict[str, int], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), done, *columns], ["bucket", "done", *sizes])
 
 
-def told(x: Arrays, kind: str, sizes: dict[str, int]) -> pa.RecordBatch:
-    """What is found, as one row a text: for blocks the low half of their keys, for windows
-    where they begin.  The text's number deals out these rows."""
+def told(x: Arrays, kind: str, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """What is found, packed by the bucket of its text: texts, and for blocks the low half of
+    their keys, for windows where they begin."""
     order = np.argsort(x["text"], kind="stable")
     text, what = x["text"][order], x["key" if kind == "blocks" else "at"][order].astype(np.uint32)
-    first, _ = groups(text)
-    edges = np.append(first, len(order))
-    rows = {"text": [text[a].tobytes() for a in first], "key": [what[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]}
-    columns = [pa.array(rows.get(c, [None] * len(first)), pa.binary()) for c in sizes]
-    return pa.RecordBatch.from_arrays([pa.array((text[first] >> _U(8)).astype(np.int64)), pa.array([True] * len(first)), *columns], ["bucket", "done", *sizes])
+    # Of a text's number, bits that its packed form has.
+    bucket = ((text & _U(0xFFFFFF)) * _U(buckets) >> _U(24)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, edges = np.unique(bucket[order], return_index=True)
+    edges = np.append(edges, len(order))
+    text, what = text[order], what[order]
+    return [(-1 - n, text[a:b].tobytes(), what[a:b].tobytes()) for n, a, b in zip(own.tolist(), edges[:-1], edges[1:])]
+
+
+def found_rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["bucket", "text", "found"])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a text, with all that is found in it, in order."""
+    texts, finds, size = [], [], 0
+
+    def distinct() -> tuple[np.ndarray, np.ndarray]:
+        text, found = np.concatenate(texts), np.concatenate(finds)
+        order = np.lexsort((found, text))
+        text, found = text[order], found[order]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (found[1:] != found[:-1])
+        return text[new], found[new]
+
+    limit = HELD
+    for batch in batches:
+        for t, f in zip(batch.column("text"), batch.column("found")):
+            texts.append(np.frombuffer(t.as_py(), np.uint64)), finds.append(np.frombuffer(f.as_py(), np.uint32))
+            size += len(texts[-1])
+            if size >= limit:
+                text, found = distinct()
+                texts, finds, size = [text], [found], len(text)
+                limit = max(HELD, 2 * size)
+    if not size:
+        return
+    text, found = distinct()
+    first = np.append(groups(text)[0], len(text))
+    for at in range(0, len(first) - 1, 1000):
+        own = first[at : at + 1001]
+        yield pa.RecordBatch.from_arrays([pa.array(text[own[:-1]].view(np.int64)), pa.array([found[a:b].tobytes() for a, b in zip(own[:-1], own[1:])], pa.binary())], ["text", "found"])
 
 
 def found_in(entries: DataFrame, kind: str, settle, buckets: int) -> DataFrame:
-    """(text, found) of what packed entries and rows of finds tell, several rows a text."""
+    """(text, found), one row a text, of what packed entries and rows of finds tell."""
     sizes = SIZES[kind]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool(settle)
-
-        def rows(found: Arrays) -> pa.RecordBatch:
-            made = told(found, kind, sizes)
-            texts = np.frombuffer(b"".join(made.column("text").to_pylist()), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(texts), made.column("key")], ["text", "found"])
-
         for batch in batches:
             done = batch.filter(batch.column("done"))
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(done.column("text").to_pylist()), np.int64)), done.column("key")], ["text", "found"])
-            for r in batch.filter(pc.invert(batch.column("done"))).to_pylist():
-                x = {c: unpacked(r[c], n) for c, n in sizes.items()}
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("bucket", "text", "key")], ["bucket", "text", "found"])
+            rows = batch.filter(pc.invert(batch.column("done")))
+            for i in range(rows.num_rows):
+                x = {c: unpacked(rows.column(c)[i].as_py(), n) for c, n in sizes.items()}
                 if kind == "blocks":
                     # The bucket stands for the key's leading bits.
-                    x["key"] |= _U(r["bucket"] & 0xFFFF) << _U(48)
+                    x["key"] |= _U(rows.column("bucket")[i].as_py() & 0xFFFF) << _U(48)
                     x["block"] = x["block"] == 1
                 else:
                     x["id"] = x["id"].view(np.int64)
                 for found in pool.add(x):
-                    yield rows(found)
+                    yield found_rows(told(found, kind, buckets))
         for found in pool.settled():
-            yield rows(found)
+            yield found_rows(told(found, kind, buckets))
 
-    return entries.repartition(buckets, "bucket").mapInArrow(meet, "text long, found binary")
+    met = entries.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, text binary, found binary")
+    return met.repartition(buckets, "bucket").mapInArrow(gather, "text long, found binary")
 
 
 def packed_schema(kind: str) -> str:
@@ -233,19 +268,25 @@ def entries_of(docs: DataFrame, kind: str, make: Callable[[pa.RecordBatch], Iter
     """Packed entries of what ``make`` tells of each batch, and the finds that need no more."""
     sizes = SIZES[kind]
 
+    def done(found: Arrays) -> pa.RecordBatch:
+        rows = told(found, kind, buckets)
+        columns = {"bucket": pa.array([r[0] for r in rows], pa.int64()), "done": pa.array([True] * len(rows)), "text": pa.array([r[1] for r in rows], pa.binary()), "key": pa.array([r[2] for r in rows], pa.binary())}
+        names = ["bucket", "done", *sizes]
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(rows), pa.binary()) for c in names], names)
+
+    def handed_on(pool: Pool) -> Iterator[pa.RecordBatch]:
+        for found in pool.settled():
+            yield done(found)
+        if (kept := pool.taken()) is not None:
+            yield dealt(kept, sizes, buckets)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool(settle)
         for batch in batches:
             for x in make(batch):
-                for found in pool.add(x):
-                    yield told(found, kind, sizes)
-                    if (kept := pool.taken()) is not None:
-                        yield dealt(kept, sizes, buckets)
-                    pool.limit = HELD
-        for found in pool.settled():
-            yield told(found, kind, sizes)
-        if (kept := pool.taken()) is not None:
-            yield dealt(kept, sizes, buckets)
+                if pool.put(x):
+                    yield from handed_on(pool)
+        yield from handed_on(pool)
 
     return docs.mapInArrow(deal, packed_schema(kind))
 
@@ -277,7 +318,7 @@ def window_entries(window: int) -> Callable[[pa.RecordBatch], Iterator[Arrays]]:
             chosen = []
             for i, own in enumerate(hits):
                 a, b = int(at[i]), int(at[i + 1])
-                places = a + np.flatnonzero(np.isin(low[a : b - size + 1], np.frombuffer(b"".join(own), np.uint32)))
+                places = a + np.flatnonzero(np.isin(low[a : b - size + 1], np.frombuffer(own, np.uint32)))
                 near = (places[:, None] - np.arange(window - size + 1)).ravel()
                 near = np.unique(near[(near >= a) & (near + window <= b)])
                 chosen.append((i, near))
@@ -291,10 +332,6 @@ def window_entries(window: int) -> Callable[[pa.RecordBatch], Iterator[Arrays]]:
     return make
 
 
-def by_text(found: DataFrame) -> DataFrame:
-    return found.groupBy("text").agg(F.collect_list("found").alias("found"))
-
-
 def written(df: DataFrame) -> DataFrame:
     """``stored``, with the shuffles that led to the table removed as soon as it is written."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -321,7 +358,7 @@ def cut_udf(window: int):
             for text, own in ((t, m) for x, y in text_lists(texts, also=(found,)) for t, m in zip(x, y)):
                 words, spans = text.encode("utf-8", "surrogatepass").split(), []
                 if own:
-                    starts = np.unique(np.frombuffer(b"".join(own), np.uint32)).astype(np.int64)
+                    starts = np.frombuffer(own, np.uint32).astype(np.int64)
                     new = np.flatnonzero(np.concatenate(([True], np.diff(starts) > window)))
                     spans = list(zip(starts[new].tolist(), (starts[np.append(new[1:], len(starts)) - 1] + window).tolist()))
                 edges = [0, *(x for s in spans for x in s), len(words)]
@@ -352,10 +389,10 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     n = some.agg(F.sum(F.octet_length("__text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-n // BUCKET_BYTES))
     blocks = entries_of(some.select("__row", "__text"), "blocks", block_entries(window), settle_blocks, buckets)
-    hits = written(by_text(found_in(blocks, "blocks", settle_blocks, buckets)))
+    hits = written(found_in(blocks, "blocks", settle_blocks, buckets))
     near = some.join(hits, F.col("__row").bitwiseAND((1 << 48) - 1) == F.col("text")).select("__id", "__row", "__text", "found")
     windows = entries_of(near, "windows", window_entries(window), settle_windows, buckets)
-    gone = written(by_text(found_in(windows, "windows", settle_windows, buckets)))
+    gone = written(found_in(windows, "windows", settle_windows, buckets))
     # A null key's row may have the number of another one: it takes no finds.
     gone = gone.select(F.col("text").alias("__of"), F.col("found").alias("__found"))
     out = held.join(gone, (F.col("__row") == F.col("__of")) & F.col(key).isNotNull(), "left").withColumn("__cut", cut_udf(window)("__text", "__found"))

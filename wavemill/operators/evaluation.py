@@ -22,11 +22,23 @@ def check_scores(df: DataFrame, label: str = "label", score: str = "score") -> D
     return df.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("score outside [0, 1] or label not binary")).isNull())
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], label: str, score: str, ranges: int = 256) -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str], label: str, score: str, ranges: int = 256, few: int = 100_000) -> DataFrame:
     """Per distinct score: its positives and negatives (p, q), the same of all higher scores
-    (p_above, q_above), and the totals (p_all, q_all).  Ranges end at quantiles of the
-    distinct scores, so that they hold about as many, however the scores are distributed."""
+    (p_above, q_above), and the totals (p_all, q_all).  Where a key has more than ``few``
+    distinct scores, these are dealt to ranges, which end at quantiles of the distinct scores
+    and so hold about as many, however the scores are distributed."""
     points = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    most = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if most <= few:
+        # No key has more scores than rows.
+        by = W.partitionBy(*keys)
+        above = by.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
+        sums = {f"{c}_above": F.coalesce(F.sum(c).over(above), F.lit(0)) for c in "pq"} | {f"{c}_all": F.sum(c).over(by) for c in "pq"}
+        return points.withColumns(sums).select(*keys, score, "p", "q", "p_above", "q_above", "p_all", "q_all")
+    return ranged_cumulative(points, keys, score, ranges)
+
+
+def ranged_cumulative(points: DataFrame, keys: Sequence[str], score: str, ranges: int) -> DataFrame:
     parts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     ends = points.groupBy(*keys).agg(F.percentile_approx(score, parts, F.lit(20 * ranges)).alias("__cuts"), F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
     joined = points.join(ends, list(keys)) if keys else points.crossJoin(F.broadcast(ends))

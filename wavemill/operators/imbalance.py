@@ -34,17 +34,31 @@ def sample_weights(windows: DataFrame) -> DataFrame:
     return windows.join(F.broadcast(counts), "binary_label").withColumn("weight", 1 / F.col("__n")).drop("__n")
 
 
-def resampled(windows: DataFrame, weight: str, total: int, key: str, seed: int = 42, most: int = 64) -> DataFrame:
+#: The mean of one Poisson draw, and the most copies it can come to: beyond, the distribution
+#: has less left than a draw's 52 bits can tell.
+DRAW_MEAN, DRAW_MOST = 16, 80
+
+
+def resampled(windows: DataFrame, weight: str, total: int, key: str, seed: int = 42) -> DataFrame:
     """Rows drawn with replacement in proportion to ``weight``, about ``total`` in all: each
-    row's number of draws, ``copies``, is a Poisson draw (up to ``most``) from a hash of its
-    key, as no task could order one common sequence of draws."""
+    row's number of draws, ``copies``, is a Poisson draw from a hash of its key, as no task
+    could order one common sequence of draws.  A row with a large mean gets the sum of
+    several draws of a part of it each, which has the same distribution."""
     sums = windows.agg(F.sum(weight).alias("__w"))
     mean = F.col(weight) * total / F.col("__w")
-    u = F.conv(F.substring(draw_order(key, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), (acc["c"] + acc["p"] * mean / k).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).alias("n"))
-    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
-    copies = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step)["n"]
-    return windows.crossJoin(F.broadcast(sums)).withColumn("copies", copies).where("copies > 0").drop("__w")
+    parts = F.greatest(F.lit(1), F.ceil(mean / DRAW_MEAN)).cast("int")
+
+    def drawn(j: Column) -> Column:
+        own = F.when(j == 1, F.lit(str(seed))).otherwise(F.concat_ws("/", F.lit(str(seed)), j.cast("string")))
+        u = F.conv(F.substring(draw_order(key, own), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        m = F.col("__mean") / F.col("__parts")
+        step = lambda acc, k: F.struct((acc["p"] * m / k).alias("p"), (acc["c"] + acc["p"] * m / k).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).alias("n"))
+        first = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DRAW_MOST)), first, step)["n"]
+
+    known = windows.crossJoin(F.broadcast(sums)).withColumns({"__mean": mean, "__parts": parts})
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__parts")), drawn), F.lit(0), lambda a, x: a + x)
+    return known.withColumn("copies", copies).where("copies > 0").drop("__w", "__mean", "__parts")
 
 
 def negative_sample(windows: DataFrame, subject: str, key: str, ratio: float, minimum: int, seed: int = 42) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.scalars import array_diff
+from .quantiles import FEW, quantiles
 
 #: Thresholds of the provisional flags.
 THRESHOLDS = {
@@ -130,9 +131,10 @@ def roll_up_recordings(channels: DataFrame, keys: Sequence[str] = ("case_id", "r
     return out.withColumn("reviewed_channel_fraction", F.col("reviewed_channel_count") / F.col("channel_count")).withColumn("recording_needs_review", F.col("reviewed_channel_count") > 0)
 
 
-def medians_by_label(chunks: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Medians of the metrics by annotation label."""
-    return chunks.groupBy("annotation_label").agg(*[F.median(m).alias(m) for m in metrics])
+def medians_by_label(chunks: DataFrame, metrics: Sequence[str], few: int = FEW) -> DataFrame:
+    """Medians of the metrics by annotation label: few labels over all chunks, so that a label
+    with more than ``few`` of them is narrowed."""
+    return quantiles(chunks, ["annotation_label"], {m: (m, 0.5) for m in metrics}, few)
 
 
 def review_worklist(chunks: DataFrame) -> DataFrame:

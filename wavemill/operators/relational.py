@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import FEW, null_safe, quantiles
+
 
 def outer_with_status(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Full outer join with ``status``: matched, left_only or right_only."""
@@ -71,12 +73,14 @@ def rank_signatures(signed: DataFrame, key: str) -> DataFrame:
     return grouped.withColumn("signature_id", F.format_string("SIG-%03d", rank))
 
 
-def describe_by(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """count, mean, sample deviation, minimum, exact quartiles and maximum."""
-    x = F.col(column)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("q25"), F.median(x).alias("median"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("max")
-    )
+def describe_by(df: DataFrame, keys: Sequence[str], column: str, few: int = FEW) -> DataFrame:
+    """count, mean, sample deviation, minimum, exact quartiles and maximum.  Quartiles of
+    groups with more than ``few`` rows are found by narrowing."""
+    x, quartiles = F.col(column), {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    moments = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    found = quantiles(df, keys, {n: (column, p) for n, p in quartiles.items()}, few).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    out = moments.join(found, null_safe(keys, [f"__k_{k}" for k in keys]))
+    return out.select(*keys, "n", "mean", "std", "min", *quartiles, "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

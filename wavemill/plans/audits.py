@@ -25,7 +25,7 @@ from ..operators import validation as val
 from ..sources import edf
 from ..sources.tables import load, split_failures
 from . import surrogates as su
-from .queries import DRAW, EVENTS, FLAG_SQL, LABELS, MERGED, ROWS, RUNS, SCORES, flag_rows, inner_runs, query, rounded, signal_blocks, subject_windows
+from .queries import DRAW, EVENTS, FLAG_SQL, LABELS, MERGED, ORACLES, ROWS, RUNS, SCORES, flag_rows, inner_runs, query, rounded, signal_blocks, subject_windows
 
 
 def bad(rule: str, severity: str, key: str, condition: str, source: str, details: str = "''") -> str:
@@ -184,7 +184,7 @@ def val_baseline(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     fold = F.col("user_id") % 5
     p = e.select((F.col("event_id") % 9000).cast("string").alias("window_id"), fold.alias("outer_fold"), (F.col("value") / 450).alias("score"), F.when(F.col("user_id") % 10 == 7, 0.4).otherwise(fold / 10).alias("threshold"), (F.col("value") / 450 >= 0.5).cast("int").alias("predicted_label"))
-    frozen = spark.range(4).select(F.col("id").alias("outer_fold"), (F.col("id") / 10).alias("threshold"))
+    frozen = spark.range(5).select(F.col("id").alias("outer_fold"), (F.col("id") / 10).alias("threshold"))
     return val.baseline(p, frozen)
 
 
@@ -332,6 +332,12 @@ def qc_medians_by_label(spark, sf_dir):
     return rounded(qc.medians_by_label(flag_rows(spark, sf_dir), names), names, 9)
 
 
+@query(ORACLES["qc_medians_by_label"])
+def qc_medians_narrowed(spark, sf_dir):
+    names = ["rms_uv", "std_uv", "peak_to_peak_uv", "line_noise_ratio"]
+    return rounded(qc.medians_by_label(flag_rows(spark, sf_dir), names, few=200), names, 9)
+
+
 @query(f"WITH {FLAG_SQL} SELECT recording_id, channel_name, CASE WHEN l_quantity < 10 THEN 'ictal' WHEN l_quantity < 20 THEN 'boundary' ELSE 'non_ictal' END AS annotation_label, count(*) AS n FROM fl WHERE flag_count > 0 GROUP BY ALL")
 def qc_review_worklist(spark, sf_dir):
     return qc.review_worklist(qc.add_flags(flag_rows(spark, sf_dir)))
@@ -449,9 +455,9 @@ def stat_missing(spark, sf_dir):
     return mo.missing_statistics(stats, roles, 64).select("subject_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {ROWS}, m AS (SELECT label, avg(x) AS m, CASE WHEN stddev_pop(x) >= 1e-6 THEN stddev_pop(x) ELSE 1 END AS s FROM x WHERE label < 5 GROUP BY 1), z AS (SELECT label, (x - m) / s AS z FROM x JOIN m USING (label)) SELECT label, count(*) AS n, abs(round(avg(z), 6)) AS mean, round(avg(z * z) - avg(z) * avg(z), 6) AS variance FROM z GROUP BY 1")
+@query(f"WITH {ROWS}, m AS (SELECT label, avg(x) AS m, CASE WHEN stddev_pop(x) >= 1e-6 THEN stddev_pop(x) ELSE 1 END AS s FROM x GROUP BY 1), z AS (SELECT label, (x - m) / s AS z FROM x JOIN m USING (label)) SELECT label, count(*) AS n, abs(round(avg(z), 6)) AS mean, round(avg(z * z) - avg(z) * avg(z), 6) AS variance FROM z GROUP BY 1")
 def stat_check_scaled(spark, sf_dir):
-    m = mo.with_deviation(mo.row_moments(su.samples(spark, sf_dir).where("label < 5"), ["label"], "x")).withColumn("scale", F.col("std"))
+    m = mo.with_deviation(mo.row_moments(su.samples(spark, sf_dir), ["label"], "x")).withColumn("scale", F.col("std"))
     scaled = mo.apply_scaler(load(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "samples"), m, ["label"], unit=1.0)
     out = mo.check_scaled(scaled, "label")
     return out.select("label", F.col("n").cast("bigint").alias("n"), F.abs(F.round("mean", 6)).alias("mean"), F.round("variance", 6).alias("variance"))
@@ -485,9 +491,9 @@ def spl_fold_counts(spark, sf_dir):
     return sp.fold_summary(w.where("binary_label IS NOT NULL"), sp.outer_folds(w), ["outer_fold"])
 
 
-@query("WITH t AS (SELECT fold, score, label, CASE fold WHEN 4 THEN NULL ELSE round(0.1 * fold + 0.2, 9) END AS threshold FROM s) SELECT fold AS outer_fold, threshold, count(*) AS n, count_if(score >= threshold) AS n_predicted FROM t WHERE threshold IS NOT NULL GROUP BY ALL".replace("WITH t", f"WITH {SCORES}, t"))
+@query("WITH t AS (SELECT fold, score, label, round(0.1 * fold + 0.2, 9) AS threshold FROM s) SELECT fold AS outer_fold, threshold, count(*) AS n, count_if(score >= threshold) AS n_predicted FROM t GROUP BY ALL".replace("WITH t", f"WITH {SCORES}, t"))
 def eval_outer_predictions(spark, sf_dir):
-    frozen = spark.range(4).select(F.col("id").alias("outer_fold"), F.round(0.1 * F.col("id") + 0.2, 9).alias("threshold"))
+    frozen = spark.range(5).select(F.col("id").alias("outer_fold"), F.round(0.1 * F.col("id") + 0.2, 9).alias("threshold"))
     out = ev.outer_predictions(su.scores(spark, sf_dir).withColumnRenamed("fold", "outer_fold"), frozen)
     return out.groupBy("outer_fold", "threshold").agg(F.count("*").alias("n"), F.sum("predicted_label").alias("n_predicted"))
 

@@ -254,6 +254,11 @@ def agg_describe(spark, sf_dir):
     return rounded(rel.describe_by(load(spark, sf_dir, "events"), ["event_type"], "value"), ["mean", "std", "q25", "median", "q75"])
 
 
+@query(ORACLES["agg_describe"])
+def agg_describe_narrowed(spark, sf_dir):
+    return rounded(rel.describe_by(load(spark, sf_dir, "events"), ["event_type"], "value", few=200), ["mean", "std", "q25", "median", "q75"])
+
+
 @query("WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS BIGINT) AS bin, count(*) AS n FROM events, m GROUP BY 1")
 def agg_histogram(spark, sf_dir):
     return rel.histogram(load(spark, sf_dir, "events"), "value", 40)
@@ -525,9 +530,10 @@ def eval_global_ranking(spark, sf_dir):
     return rounded(ev.ranking_metrics(su.scores(spark, sf_dir)).select("average_precision", "roc_auc"), ["average_precision", "roc_auc"], 9)
 
 
-@query(f"WITH {SCORES.replace('user_id % 5', 'user_id')}, {RANKED} SELECT fold AS user_id, round(sum(p / pa * tp / (tp + fp)), 9) AS average_precision, round(sum(q * (tp - p + p / 2)) / (max(pa) * max(qa)), 9) AS roc_auc FROM c GROUP BY 1 HAVING max(pa) > 0 AND max(qa) > 0")
+@query(f"WITH {SCORES.replace('user_id % 5', 'user_id')}, {RANKED} SELECT fold AS user_id, CASE WHEN max(pa) > 0 AND max(qa) > 0 THEN round(sum(p / nullif(pa, 0) * tp / (tp + fp)), 9) END AS average_precision, CASE WHEN max(pa) > 0 AND max(qa) > 0 THEN round(sum(q * (tp - p + p / 2)) / nullif(max(pa) * max(qa), 0), 9) END AS roc_auc FROM c GROUP BY 1")
 def eval_per_subject(spark, sf_dir):
-    out = ev.ranking_metrics(su.scores(spark, sf_dir), ["user_id"]).where("roc_auc IS NOT NULL")
+    """Users with one class only have nulls."""
+    out = ev.ranking_metrics(su.scores(spark, sf_dir), ["user_id"])
     return rounded(out.select("user_id", "average_precision", "roc_auc"), ["average_precision", "roc_auc"], 9)
 
 

@@ -252,12 +252,13 @@ def found_in(entries: DataFrame, kind: str, settle, buckets: int) -> DataFrame:
                 else:
                     x["id"] = x["id"].view(np.int64)
                 for found in pool.add(x):
-                    yield found_rows(told(found, kind, buckets))
+                    yield found_rows(told(found, kind, -(-buckets // 4)))
         for found in pool.settled():
-            yield found_rows(told(found, kind, buckets))
+            yield found_rows(told(found, kind, -(-buckets // 4)))
 
     met = entries.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, text binary, found binary")
-    return met.repartition(buckets, "bucket").mapInArrow(gather, "text long, found binary")
+    # Finds are smaller than entries, and each task here writes a file.
+    return met.repartition(-(-buckets // 4), "bucket").mapInArrow(gather, "text long, found binary")
 
 
 def packed_schema(kind: str) -> str:
@@ -269,7 +270,7 @@ def entries_of(docs: DataFrame, kind: str, make: Callable[[pa.RecordBatch], Iter
     sizes = SIZES[kind]
 
     def done(found: Arrays) -> pa.RecordBatch:
-        rows = told(found, kind, buckets)
+        rows = told(found, kind, -(-buckets // 4))
         columns = {"bucket": pa.array([r[0] for r in rows], pa.int64()), "done": pa.array([True] * len(rows)), "text": pa.array([r[1] for r in rows], pa.binary()), "key": pa.array([r[2] for r in rows], pa.binary())}
         names = ["bucket", "done", *sizes]
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(rows), pa.binary()) for c in names], names)

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -56,6 +57,53 @@ def violations(df: DataFrame, rule: str, severity: str, key: Column, bad: Column
     return df.where(~F.coalesce(~bad, F.lit(False))).select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), key.cast("string").alias("key"), (details if details is not None else F.lit("")).cast("string").alias("details"))
 
 
+class Rule(NamedTuple):
+    """A rule on rows: what breaks it; an unknown outcome does, too."""
+
+    name: str
+    bad: Column
+    severity: str = "error"
+    details: Column | None = None
+
+
+class Unique(NamedTuple):
+    """The rule that no two rows have the same ``keys``."""
+
+    name: str
+    keys: tuple[str, ...]
+
+
+def inspected(df: DataFrame, key: Column, rules: Sequence[Rule], unique: Sequence[Unique] = ()) -> DataFrame:
+    """(rule_id, severity, key, details) of all that break a rule, in one scan of ``df``: each
+    row tells the rules that it breaks and its keys, and all keys are counted in one
+    aggregate, whichever rule they are for."""
+    text = F.lit(None).cast("array<string>")
+    told = [
+        F.when(
+            ~F.coalesce(~r.bad, F.lit(False)),
+            F.struct(F.lit(r.name).alias("rule_id"), F.lit(r.severity).alias("severity"), key.cast("string").alias("key"), (r.details if r.details is not None else F.lit("")).cast("string").alias("details"), text.alias("parts")),
+        )
+        for r in rules
+    ]
+    none = F.lit(None).cast("string")
+    told += [F.struct(F.lit(u.name).alias("rule_id"), F.lit("error").alias("severity"), none.alias("key"), none.alias("details"), F.array(*[F.col(k).cast("string") for k in u.keys]).alias("parts")) for u in unique]
+    facts = df.select(F.explode(F.array_compact(F.array(*told))).alias("f"))
+    counted = facts.groupBy("f").agg(F.count("*").alias("n")).where(F.col("f.parts").isNull() | (F.col("n") > 1))
+    # A key is one finding, with its count; rows that break a rule alike are one each.
+    each = F.explode(F.when(F.col("f.parts").isNull(), F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(F.array(F.lit(1).cast("long"))))
+    is_key = F.col("f.parts").isNotNull()
+    return counted.select("f", "n", each.alias("i")).select(
+        "f.rule_id", "f.severity", F.when(is_key, F.array_join("f.parts", "/")).otherwise(F.col("f.key")).alias("key"), F.when(is_key, F.col("n").cast("string")).otherwise(F.col("f.details")).alias("details")
+    )
+
+
+def observed(found: DataFrame, rules: Sequence[str], name: str = "violations") -> tuple[DataFrame, Observation]:
+    """``found`` with counts by rule that are taken while it is used (written, say): the
+    observation has them afterwards, without another pass."""
+    seen = Observation(name)
+    return found.observe(seen, F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("rule_id") == r).alias(r) for r in rules]), seen
+
+
 def report(rules: Sequence[DataFrame]) -> DataFrame:
     """All violations as one table."""
     return reduce(DataFrame.unionByName, rules)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_clashes, stored, text_lists
+from .common import drop_clashes, text_lists, written
 from .dedup import _BASE, _BLANK, _BYTE, _INVERSE, constants, mix, powers
 
 WINDOW = 13
@@ -333,17 +333,6 @@ def window_entries(window: int) -> Callable[[pa.RecordBatch], Iterator[Arrays]]:
     return make
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``stored``, with the shuffles that led to the table removed as soon as it is written."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        return stored(df)
-    finally:
-        conf.set(key, before)
-
-
 CUT = "struct<n_words:long,n_removed:long,spans:array<struct<start:long,end:long>>,kept_sha256:string,kept:string>"
 
 

@@ -41,6 +41,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``stored``, with the shuffles that led to the table removed as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df)
+    finally:
+        conf.set(key, before)
+
+
 def drop_clashes(df: DataFrame, *made: str) -> DataFrame:
     """``df`` without input columns that an operator is about to write (any case)."""
     low = {m.lower() for m in made}

@@ -12,8 +12,9 @@ so that documents are counted once, under partial aggregation, for all 120 order
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count, permutations
 from math import factorial
 
@@ -23,21 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TEXT_BLOCK, stored, text_lists
+from .common import TEXT_BLOCK, text_lists, written
 
 #: The filters' letters; filter i fails a document by bit i of its mask.
 LETTERS = "ABCDE"
 #: Fewest words, least percentage of distinct words, most percentage of
 #: capitals, and the symbols that no document may hold.
-MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, r"[#$%&*|]"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, b"#$%&*|"
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text and number of rows that fill a shard; a longer text is a shard alone.
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 20_000
-#: Words that one task numbers.
+SHARD_BYTES, SHARD_ROWS = 16 << 20, 20_000
+#: Terms of shards that one task numbers.
 TERMS_A_TASK = 1_000_000
 
-SHARD = "shard string, terms array<string>, rows array<struct<{row}>>, starts binary, columns binary, counts binary, narrow string"
+SHARD = "shard long, n_terms int, terms array<string>, rows array<struct<{row}>>, starts binary, columns binary, counts binary, narrow string"
 
 
 def pieces(data: bytes, size: int = TEXT_BLOCK) -> Iterator[bytes]:
@@ -59,17 +59,18 @@ def narrowest(x: np.ndarray) -> np.ndarray:
 class ShardBuilder:
     """Rows of word counts, with the words numbered as they come."""
 
-    def __init__(self, name: str):
-        self.name, self.rows, self.size = name, [], 0
+    def __init__(self, number: int, more: dict[str, Callable[[bytes], object]]):
+        self.number, self.more, self.rows, self.size = number, more, [], 0
         self.vocab: dict[bytes, int] = defaultdict(count().__next__)
         self.columns, self.counts, self.lengths = [], [], []
 
     def add(self, text: str | None, row: dict) -> None:
         data = text.encode("utf-8", "surrogatepass") if text else b""
         number = self.vocab.__getitem__
-        ids = [np.fromiter(map(number, p.split()), dtype=np.int64) for p in pieces(data)]
-        columns, counts = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.int64), return_counts=True)
-        self.columns.append(columns), self.counts.append(counts), self.lengths.append(len(columns)), self.rows.append(row)
+        ids = [np.fromiter(map(number, p.split()), dtype=np.uint32) for p in pieces(data)]
+        columns, counts = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.uint32), return_counts=True)
+        self.columns.append(columns), self.counts.append(narrowest(counts)), self.lengths.append(len(columns))
+        self.rows.append(row | {name: of(data) for name, of in self.more.items()})
         self.size += len(data)
 
     def full(self) -> bool:
@@ -79,44 +80,52 @@ class ShardBuilder:
         starts = np.concatenate(([0], np.cumsum(self.lengths))).astype(np.int64)
         columns, counts = narrowest(np.concatenate(self.columns)), narrowest(np.concatenate(self.counts))
         terms = [w.decode("utf-8", "surrogatepass") for w in self.vocab]
-        return {"shard": self.name, "terms": terms, "rows": self.rows, "starts": starts.tobytes(), "columns": columns.tobytes(), "counts": counts.tobytes(), "narrow": f"{columns.dtype.str} {counts.dtype.str}"}
+        return {"shard": self.number, "n_terms": len(terms), "terms": terms, "rows": self.rows, "starts": starts.tobytes(), "columns": columns.tobytes(), "counts": counts.tobytes(), "narrow": f"{columns.dtype.str} {counts.dtype.str}"}
 
 
-def local_shards(docs: DataFrame, text: str) -> DataFrame:
+#: A further column of a document: its SQL type, its Arrow type, and how it follows from the text's bytes.
+Derived = tuple[str, pa.DataType, Callable[[bytes], object]]
+
+
+def local_shards(docs: DataFrame, text: str, more: dict[str, Derived]) -> DataFrame:
     """``docs`` as shards of the matrix, with the words numbered in each by itself; ``rows``
-    has the other columns."""
+    has the other columns and ``more``."""
     others = [c for c in docs.columns if c != text]
-    row = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
-    schema = SHARD.format(row=row)
+    fields = [f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.select(*others).schema.fields]
+    schema = SHARD.format(row=",".join(fields + [f"`{n}`:{sql}" for n, (sql, _, _) in more.items()]))
+    kinds, derive = [pa.field(n, kind) for n, (_, kind, _) in more.items()], {n: of for n, (_, _, of) in more.items()}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, built = TaskContext.get().partitionId(), 0
-        shard, fields = ShardBuilder(f"{part}-{built}"), None
+        # A task's shards have numbers of their own; the table that is written from here keeps them.
+        first, built, shard, names = TaskContext.get().partitionId() << 32, 0, None, None
         for batch in batches:
             rest = batch.select(others)
-            fields = fields or pa.schema([("shard", pa.string()), ("terms", pa.list_(pa.string())), ("rows", pa.list_(pa.struct(list(rest.schema)))), *[(c, pa.binary()) for c in ("starts", "columns", "counts")], ("narrow", pa.string())])
+            row = pa.struct([*rest.schema, *kinds])
+            names = pa.schema([("shard", pa.int64()), ("n_terms", pa.int32()), ("terms", pa.list_(pa.string())), ("rows", pa.list_(row)), *[(c, pa.binary()) for c in ("starts", "columns", "counts")], ("narrow", pa.string())])
             for texts, rows in text_lists(batch.column(text), also=(rest.to_struct_array(),)):
                 for t, r in zip(texts, rows):
+                    shard = shard or ShardBuilder(first + built, derive)
                     shard.add(t, r)
                     if shard.full():
-                        yield pa.RecordBatch.from_pylist([shard.record()], fields)
-                        built += 1
-                        shard = ShardBuilder(f"{part}-{built}")
-        if shard.rows:
-            yield pa.RecordBatch.from_pylist([shard.record()], fields)
+                        yield pa.RecordBatch.from_pylist([shard.record()], names)
+                        built, shard = built + 1, None
+        if shard:
+            yield pa.RecordBatch.from_pylist([shard.record()], names)
 
     return docs.mapInArrow(build, schema)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(term, id) of all terms of the shards: ids are different and from 0 on, though not
-    without gaps; each task numbers about ``TERMS_A_TASK`` terms."""
-    terms = stored(shards.select(F.explode("terms").alias("term")).distinct())
-    parts = max(1, -(-terms.count() // TERMS_A_TASK))
-    held = terms.withColumn("p", F.pmod(F.xxhash64("term"), F.lit(parts)))
-    return held.select("term", ((F.row_number().over(W.partitionBy("p").orderBy("term")) - 1).cast("long") * parts + F.col("p")).alias("id"))
+def numbered_terms(shards: DataFrame) -> DataFrame:
+    """(shard, pos, term, id) of every shard's terms.  The ids are those of the global
+    dictionary: different, from 0 on, though not without gaps.  Terms are dealt to parts of
+    about ``TERMS_A_TASK`` rows by hash, and a part's terms have its number in their ids, so
+    that no task sees the whole dictionary."""
+    parts = max(1, -(-(shards.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0) // TERMS_A_TASK))
+    each = shards.select("shard", F.posexplode("terms").alias("pos", "term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    rank = F.dense_rank().over(W.partitionBy("part").orderBy("term"))
+    return each.select("shard", "pos", "term", ((rank - 1).cast("long") * parts + F.col("part")).alias("id"))
 
 
 def csr(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,37 +134,36 @@ def csr(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(r["starts"], np.int64), np.frombuffer(r["columns"], kinds[0]), np.frombuffer(r["counts"], kinds[1])
 
 
-def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def document_term_matrix(docs: DataFrame, text: str = "text", more: dict[str, Derived] | None = None) -> tuple[DataFrame, DataFrame]:
     """The matrix of word counts of ``docs`` and its dictionary (term, id).
 
     A word is a maximal run of characters other than ASCII blanks, case and all; null is an
     empty text, whose row is empty.  Each row of the matrix is a shard: ``rows`` (the other
-    columns of its documents), ``starts`` (where each document begins in the next two, and
-    their length at last), ``columns`` (ids, rising in each document) and ``counts``, as
-    arrays of numbers in binary form whose types ``narrow`` tells (``starts`` are longs).
+    columns of its documents, and ``more``), ``starts`` (where each document begins in the
+    next two, and their length at last), ``columns`` (ids, rising in each document) and
+    ``counts``, as arrays of numbers in binary form whose types ``narrow`` tells (``starts``
+    are longs).
     """
-    shards = stored(local_shards(docs, text))
-    terms = stored(dictionary(shards))
-    named = shards.select("shard", F.posexplode("terms").alias("pos", "term")).join(terms, "term")
-    ids = named.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).getField("id").alias("ids"))
-    # A shard without a word has no ids.
-    both = shards.drop("terms").join(ids, "shard", "left")
-    names = [c for c in both.columns if c != "ids"]
-    schema = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in names)
-
-    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                r = {c: one.column(c)[0].as_py() for c in ("starts", "columns", "counts", "narrow")}
-                starts, columns, counts = csr(r)
-                own = one.column("ids")[0]
-                ids = own.values.to_numpy(zero_copy_only=False).astype(np.int64)[columns] if own.is_valid else np.zeros(0, np.int64)
-                order = np.lexsort((ids, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-                made = {"columns": pa.array([ids[order].tobytes()], pa.binary()), "counts": pa.array([counts[order].tobytes()], pa.binary()), "narrow": pa.array([f"{ids.dtype.str} {counts.dtype.str}"])}
-                yield pa.RecordBatch.from_arrays([made.get(c, one.column(c)) for c in names], names)
-
-    return both.mapInArrow(recode, schema), terms
+    shards = written(local_shards(docs, text, more or {}))
+    terms = numbered_terms(shards)
+    ids = written(terms.select("shard", "pos", "id"))
+    left = shards.drop("terms", "n_terms")
+    names = left.columns
+    schema = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names)
+
+    def recode(shard: pa.Table, ids: pa.Table) -> pa.Table:
+        if not shard.num_rows:
+            return shard
+        r = {c: shard.column(c)[0].as_py() for c in ("starts", "columns", "counts", "narrow")}
+        starts, columns, counts = csr(r)
+        own = np.zeros(ids.num_rows, dtype=np.int64)
+        own[ids.column("pos").to_numpy()] = ids.column("id").to_numpy()
+        new = own[columns]
+        order = np.lexsort((new, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        made = {"columns": pa.array([new[order].tobytes()], pa.binary()), "counts": pa.array([counts[order].tobytes()], pa.binary()), "narrow": pa.array([f"{new.dtype.str} {counts.dtype.str}"])}
+        return pa.table({c: made.get(c, shard.column(c)) for c in names})
+
+    return left.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(recode, schema), terms.select("term", "id").distinct()
 
 
 def row_totals(matrix: DataFrame) -> DataFrame:
@@ -177,17 +185,26 @@ def row_totals(matrix: DataFrame) -> DataFrame:
     return matrix.select("rows", "starts", "columns", "counts", "narrow").mapInArrow(total, schema)
 
 
+def too_many_capitals(data: bytes) -> bool:
+    """Whether too many of the code points are A to Z."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    capitals, points = np.count_nonzero((x >= 65) & (x <= 90)), np.count_nonzero((x & 0xC0) != 0x80)
+    return bool(100 * capitals > MAX_CAPITALS * points)
+
+
+def has_symbol(data: bytes) -> bool:
+    return any(s in data for s in SYMBOLS)
+
+
 def document_masks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, part, mask of A to D, sha, good, toxic) of every document.  A document is good
     or toxic if any row of ``labels`` with its key says so; one with a null key is neither."""
-    full = F.coalesce(F.col(text), F.lit(""))
-    capitals = F.length("__t") - F.length(F.translate("__t", CAPITALS, ""))
-    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("part"), full.alias("__t"))
-    own = own.select("k", "part", (100 * capitals > MAX_CAPITALS * F.length("__t")).alias("c"), F.col("__t").rlike(SYMBOLS).alias("d"), F.unhex(F.sha2(F.col("__t").cast("binary"), 256)).alias("sha"), "__t")
-    totals = row_totals(document_term_matrix(own, "__t")[0])
+    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("part"), F.col(text).alias("__t"))
+    more = {"c": ("boolean", pa.bool_(), too_many_capitals), "d": ("boolean", pa.bool_(), has_symbol), "sha": ("binary", pa.binary(), lambda data: hashlib.sha256(data).digest())}
+    totals = row_totals(document_term_matrix(own, "__t", more)[0])
     fails = (F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"), F.col("c"), F.col("d"))
     mask = sum((f.cast("int") * (1 << i) for i, f in enumerate(fails[1:], 1)), fails[0].cast("int"))
-    masked = totals.select("k", "part", "sha", mask.alias("mask"))
+    masked = written(totals.select("k", "part", "sha", mask.alias("mask")))
     said = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     # Rows without a key would meet in one task of the join.
     none = masked.where("k IS NULL").withColumns({"good": F.lit(False), "toxic": F.lit(False)})

@@ -147,3 +147,27 @@ def test_classes_by_common_prefixes():
     for x in range(60):
         want = {i for i in range(len(lefts[x]) + 1) for y in range(60) if y != x and len(lefts[y]) >= i and lefts[x][:i] == lefts[y][:i] and len(rights[x]) >= 10 - i and len(rights[y]) >= 10 - i and rights[x][: 10 - i] == rights[y][: 10 - i]}
         assert {i for a, b in got[x] for i in range(a, b + 1)} == want
+
+
+def test_substrings_of_rows_that_repeat(spark, monkeypatch):
+    """Thousands of rows with one text, and one id or none, are one text to look at."""
+    seen = []
+    whole = substrings.stored
+
+    def spy(df):
+        out = whole(df)
+        if "text" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "stored", spy)
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(1500))
+    other = text[300:900] + " end"
+    rows = [(None, text)] * 2000 + [(5, text)] * 500 + [(6, other)] * 300 + [(7, "x" * 450), (8, text[:399])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = substrings.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed").collect()
+    assert len(got) == len(rows) and max(seen) <= 8
+    assert all(r.n_removed == r.n_bytes for r in got if r.doc_id in (None, 5, 6))
+    # One letter, 450 times: its windows repeat in the text itself.
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (7, 8)} == {7: 450, 8: 0}

@@ -473,14 +473,20 @@ def remove_repeats(
     looked = unsure.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c")).alias("words"))
     counts = found.where(F.col("n_bytes") >= length).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     worded = found.where(F.size("p") > 0).groupBy("k1", "k2").agg((F.count("*") > 1).alias("spoken_twice"))
-    reps = found.groupBy("k1", "k2").agg(F.min("__id").alias("__id"))
+    # A text's row is that of its smallest id; where several rows have it, they are one again below.
+    ids = found.groupBy("k1", "k2", "__id").agg(F.count("*").alias("n"))
+    least = ids.groupBy("k1", "k2").agg(F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "n")).alias("r"))
+    reps = least.select("k1", "k2", "r.__id", (F.col("r.n") > 1).alias("again"))
     info = stored(marks.join(looked, ["k1", "k2"], "full").join(counts, ["k1", "k2"], "left").join(reps, ["k1", "k2"]))
     # A text is needed if it stands for a kind of segments, or loses something of its own.
     wanted = F.col("words").isNotNull() | F.exists("marks", lambda m: ~m["whole"]) | (F.col("copies") == 1)
-    leads = info.where(wanted).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("__id").alias("rep"), "marks", "words", (F.col("copies") == 1).alias("alone"))
+    leads = info.where(wanted).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("__id").alias("rep"), "again", "marks", "words", (F.col("copies") == 1).alias("alone"))
     # The id is one of the keys, so that the copies of a text don't meet in one task.
     own = (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")) & F.col("__id").eqNullSafe(F.col("rep"))
-    held = stored(base.select("__id", "k1", "k2", "text").join(leads, own).drop("__id", "rep", "l1", "l2"))
+    met = base.select("__id", "k1", "k2", "text").join(leads, own).drop("__id", "rep", "l1", "l2")
+    # Rows that repeat with one id, or without one, come one by one: most go before they are shuffled.
+    single = met.where("again").dropDuplicates(["k1", "k2"])
+    held = stored(met.where("NOT again").unionByName(single).drop("again"))
     kinds = held.where("marks IS NOT NULL").select("k1", "k2", "text", F.filter("marks", lambda m: ~m["whole"]).alias("marks")).where(F.size("marks") > 0)
     narrow = kinds.withColumn("marks", F.filter("marks", lambda m: ~m["wide"])).where(F.size("marks") > 0)
     n = narrow.agg(F.sum(F.size("marks")).alias("n")).first()["n"] or 0

@@ -15,6 +15,7 @@ scan: no shuffle, no explode, no Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -45,6 +46,8 @@ RANKS = {k: i for i, k in enumerate([*BASE, *MORE])}
 #: Words that announce a secret or a personal number right before it.
 CUES = r"(?i)(?:token|password|passwd|secret|api[_-]?key|access[_-]?key|ssn|iban|account|phone|tel|card)[\"']?\s*[=:]?\s*[\"']?$"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,text:string,before:string,after:string>>"
+#: Numbers of an array that are summed up in one go.
+BLOCK = 32
 FEATURES = ("length", "digits", "letters", "uppers", "separators", "distinct", "changes", "quoted", "spaced")
 
 
@@ -80,27 +83,83 @@ def with_spans(docs: DataFrame, text: str) -> DataFrame:
 
     def placed(kind: str) -> Column:
         matches, gaps = F.col(f"__m_{kind}"), F.col(f"__g_{kind}")
-        near = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("h")))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["g"])
-            end = start + F.length(x["m"])
-            span = F.struct(
-                start.alias("start"), F.lit(RANKS[kind]).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"), F.right(x["g"], F.lit(24)).alias("before"), F.left(x["h"], F.lit(4)).alias("after")
+        steps = F.transform(matches, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+
+        def spans(ends: Column) -> Column:
+            return F.transform(
+                matches,
+                lambda m, i: F.struct(
+                    (F.get(ends, i) - F.length(m)).alias("start"), F.lit(RANKS[kind]).alias("rank"), F.get(ends, i).alias("end"), F.lit(kind).alias("kind"), m.alias("text"), F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(4)).alias("after")
+                ),
             )
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.when((F.size(matches) > 0) & (F.size(gaps) > 0), F.aggregate(near, first, step)["out"]).otherwise(F.array().cast(SPAN))
+        return F.when((F.size(matches) > 0) & (F.size(gaps) > 0), let(running(steps, lambda a, x: a + x), spans)).otherwise(F.array()).cast(SPAN)
 
     placed_all = cut.withColumns({f"__s_{k}": placed(k) for k in patterns})
     return placed_all.drop(*[f"__{x}_{k}" for x in "mg" for k in patterns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], depth: int = 3) -> Column:
+    """Running sums, maxima and the like of an array of whole numbers.  An array that grows
+    by one is copied each time, so that it is done in short blocks, whose last values are
+    then carried on alike."""
+
+    def plain(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(combine(F.get(acc, F.size(acc) - 1), x), x))))
+
+    def joined_up(blocks: Column) -> Column:
+        upto = running(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)), combine, depth - 1)
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(upto, F.lit(1), F.size(blocks) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, o: F.when(o.isNull(), b).otherwise(F.transform(b, lambda x: combine(o, x)))))
+
+    def blockwise(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: plain(F.slice(v, i * BLOCK + 1, F.lit(BLOCK))))
+        return F.when(F.size(v) <= BLOCK, plain(v)).otherwise(let(cut, joined_up))
+
+    return let(values, blockwise if depth else plain)
+
+
 def apart(a: Column, b: Column) -> Column:
     return (a["end"] <= b["start"]) | (b["end"] <= a["start"])
 
 
+def free_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others.  All stand in one order: the others by their
+    starts, a span by its end, before what starts there.  A span is hit if the furthest end so
+    far is beyond its start."""
+    point = "struct<at:int,other:boolean,far:int,span:struct<start:int,rank:int,end:int,kind:string,text:string,before:string,after:string>>"
+    asked = F.transform(spans, lambda c: F.struct(c["end"].alias("at"), F.lit(False).alias("other"), F.lit(0).alias("far"), c.alias("span")).cast(point))
+    met = F.transform(others, lambda b: F.struct(b["start"].alias("at"), F.lit(True).alias("other"), b["end"].alias("far"), F.lit(None).alias("span")).cast(point))
+
+    def tell(points: Column) -> Column:
+        far = running(F.transform(points, lambda p: p["far"]), F.greatest)
+        marked = F.zip_with(points, far, lambda p, f: F.struct(p["span"].alias("span"), (p["other"] | (f > p["span"]["start"])).alias("gone")))
+        return F.transform(F.filter(marked, lambda m: ~m["gone"]), lambda m: m["span"])
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(F.array_sort(F.concat(asked, met)), tell))
+
+
+def clusters(spans: Column) -> Column:
+    """Spans (with their fields in ``s``) in groups, by start, so that those of different groups
+    are apart."""
+
+    def cut(ordered: Column) -> Column:
+        far = running(F.transform(ordered, lambda c: c["s"]["end"]), F.greatest)
+
+        def parts(ends: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: F.coalesce(F.get(ends, i - 1) <= F.get(ordered, i)["s"]["start"], F.lit(True)))
+            return let(first, lambda at: F.transform(at, lambda a, i: F.slice(ordered, a + 1, F.coalesce(F.get(at, i + 1), F.size(ordered)) - a)))
+
+        return let(far, parts)
+
+    return F.when(F.size(spans) == 0, F.array()).otherwise(let(F.array_sort(spans), cut))
+
+
 def features(span: Column) -> list[Column]:
     """Format and neighbourhood of a candidate, in the order of FEATURES."""
     text = span["text"]
@@ -165,8 +224,10 @@ def fit_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_d
     marked = with_spans(near.select(F.col(key).alias("__id"), F.col(text).alias("__t")), "__t")
     base = F.filter(F.concat(*[F.col(f"__s_{k}") for k in BASE]), passes)
     marked = marked.select("__id", base.alias("base"), F.concat(*[F.col(f"__s_{k}") for k in MORE]).alias("more"))
-    rows = marked.where(F.size("more") > 0).select("__id", "base", F.explode("more").alias("c"))
-    touches = F.exists("base", lambda b: ~apart(b, F.col("c")))
+    free = marked.where(F.size("more") > 0).withColumn("free", free_of(F.col("more"), F.col("base")))
+    told = [F.transform(x, lambda c, t=t: F.struct(c.alias("c"), F.lit(t).alias("touches"))) for x, t in ((F.col("free"), False), (F.array_except("more", "free"), True))]
+    rows = free.select("__id", F.explode(F.concat(*told)).alias("x")).select("__id", "x.c", "x.touches")
+    touches = F.col("touches")
     hit = touches | F.col("c.before").rlike(CUES) | (F.col("c.kind") == "handle")
     rows = rows.select(hit.cast("double").alias("label"), F.col("c.kind").alias("kind"), touches.alias("touches"), F.array(*features(F.col("c"))).alias("v"), unit_hash(F.col("__id").cast("string"), F.col("c.start").cast("string")).alias("u"))
     rows = stored(rows.orderBy("u", "v", "kind").limit(sample_spans).coalesce(1))
@@ -202,7 +263,8 @@ def find_pii(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame
     kept = drop_clashes(docs, "base_spans", "spans")
     marked = with_spans(kept.withColumn("__text", F.coalesce(F.col(text), F.lit(""))), "__text")
     base = marked.withColumn("base_spans", F.array_sort(F.filter(F.concat(*[F.col(f"__s_{k}") for k in BASE]), passes)))
-    more = F.filter(F.concat(*[F.col(f"__s_{k}") for k in MORE]), lambda c: F.forall(F.col("base_spans"), lambda b: apart(b, c)))
+    base = base.withColumn("__more", free_of(F.concat(*[F.col(f"__s_{k}") for k in MORE]), F.col("base_spans")))
+    more = F.col("__more")
     valued = base.withColumn("__c", F.transform(more, lambda c: F.struct(c.alias("s"), F.array(*features(c)).alias("v"))))
     scored = valued.withColumn("__p", F.filter(F.transform("__c", lambda c: F.struct(c["s"].alias("s"), model.score(c["v"]).alias("p"))), lambda c: c["p"] >= model.threshold(c["s"]["kind"])))
 
@@ -213,10 +275,11 @@ def find_pii(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame
         return c["s"]["kind"]
 
     short = scored.withColumn("__long", F.filter("__p", lambda c: kind(c) == "long_number")).withColumn("__p", F.filter("__p", lambda c: kind(c) != "long_number"))
-    chosen = short.withColumn("__p", F.filter("__p", lambda c: F.forall("__p", lambda o: apart(o["s"], c["s"]) | ~beats(o, c))))
-    chosen = chosen.withColumn("__long", F.filter("__long", lambda c: F.forall("__p", lambda o: apart(o["s"], c["s"]) | (kind(o) == "number"))))
-    left = F.filter("__p", lambda c: F.forall("__long", lambda o: apart(o["s"], c["s"])))
-    return chosen.withColumn("spans", F.array_sort(F.concat("base_spans", F.transform(F.concat(left, "__long"), lambda c: c["s"])))).select(*kept.columns, "base_spans", "spans")
+    best = F.flatten(F.transform(clusters(F.col("__p")), lambda own: F.when(F.size(own) == 1, own).otherwise(F.filter(own, lambda c: F.forall(own, lambda o: apart(o["s"], c["s"]) | ~beats(o, c))))))
+    chosen = short.withColumn("__p", F.transform(best, lambda c: c["s"])).withColumn("__long", F.transform("__long", lambda c: c["s"]))
+    chosen = chosen.withColumn("__long", free_of(F.col("__long"), F.filter("__p", lambda o: o["kind"] != "number")))
+    left = free_of(F.col("__p"), F.col("__long"))
+    return chosen.withColumn("spans", F.array_sort(F.concat("base_spans", left, "__long"))).select(*kept.columns, "base_spans", "spans")
 
 
 def joined(spans: str) -> Column:

@@ -13,7 +13,7 @@ so that documents are counted once, under partial aggregation, for all 120 order
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, permutations
 from math import factorial
@@ -31,6 +31,7 @@ LETTERS = "ABCDE"
 #: Fewest words, least percentage of distinct words, most percentage of
 #: capitals, and the symbols that no document may hold.
 MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, b"#$%&*|"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text and number of rows that fill a shard; a longer text is a shard alone.
 SHARD_BYTES, SHARD_ROWS = 16 << 20, 20_000
@@ -59,18 +60,22 @@ def narrowest(x: np.ndarray) -> np.ndarray:
 class ShardBuilder:
     """Rows of word counts, with the words numbered as they come."""
 
-    def __init__(self, number: int, more: dict[str, Callable[[bytes], object]]):
+    def __init__(self, number: int, more: dict[str, Callable[[str, bytes], object]]):
         self.number, self.more, self.rows, self.size = number, more, [], 0
         self.vocab: dict[bytes, int] = defaultdict(count().__next__)
         self.columns, self.counts, self.lengths = [], [], []
 
     def add(self, text: str | None, row: dict) -> None:
-        data = text.encode("utf-8", "surrogatepass") if text else b""
-        number = self.vocab.__getitem__
-        ids = [np.fromiter(map(number, p.split()), dtype=np.uint32) for p in pieces(data)]
-        columns, counts = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.uint32), return_counts=True)
-        self.columns.append(columns), self.counts.append(narrowest(counts)), self.lengths.append(len(columns))
-        self.rows.append(row | {name: of(data) for name, of in self.more.items()})
+        text = text or ""
+        data = text.encode("utf-8", "surrogatepass")
+        words: Counter[bytes] = Counter()
+        for p in pieces(data):
+            words.update(p.split())
+        n = len(words)
+        self.columns.append(np.fromiter(map(self.vocab.__getitem__, words), dtype=np.uint32, count=n))
+        self.counts.append(np.fromiter(words.values(), dtype=np.uint32, count=n))
+        self.lengths.append(n)
+        self.rows.append(row | {name: of(text, data) for name, of in self.more.items()})
         self.size += len(data)
 
     def full(self) -> bool:
@@ -83,8 +88,9 @@ class ShardBuilder:
         return {"shard": self.number, "n_terms": len(terms), "terms": terms, "rows": self.rows, "starts": starts.tobytes(), "columns": columns.tobytes(), "counts": counts.tobytes(), "narrow": f"{columns.dtype.str} {counts.dtype.str}"}
 
 
-#: A further column of a document: its SQL type, its Arrow type, and how it follows from the text's bytes.
-Derived = tuple[str, pa.DataType, Callable[[bytes], object]]
+#: A further column of a document: its SQL type, its Arrow type, and how it follows from the text and
+#: its bytes.
+Derived = tuple[str, pa.DataType, Callable[[str, bytes], object]]
 
 
 def local_shards(docs: DataFrame, text: str, more: dict[str, Derived]) -> DataFrame:
@@ -185,22 +191,20 @@ def row_totals(matrix: DataFrame) -> DataFrame:
     return matrix.select("rows", "starts", "columns", "counts", "narrow").mapInArrow(total, schema)
 
 
-def too_many_capitals(data: bytes) -> bool:
+def too_many_capitals(text: str, data: bytes) -> bool:
     """Whether too many of the code points are A to Z."""
-    x = np.frombuffer(data, dtype=np.uint8)
-    capitals, points = np.count_nonzero((x >= 65) & (x <= 90)), np.count_nonzero((x & 0xC0) != 0x80)
-    return bool(100 * capitals > MAX_CAPITALS * points)
+    return 100 * (len(data) - len(data.translate(None, CAPITALS))) > MAX_CAPITALS * len(text)
 
 
-def has_symbol(data: bytes) -> bool:
-    return any(s in data for s in SYMBOLS)
+def has_symbol(text: str, data: bytes) -> bool:
+    return len(data.translate(None, SYMBOLS)) < len(data)
 
 
 def document_masks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, part, mask of A to D, sha, good, toxic) of every document.  A document is good
     or toxic if any row of ``labels`` with its key says so; one with a null key is neither."""
     own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("part"), F.col(text).alias("__t"))
-    more = {"c": ("boolean", pa.bool_(), too_many_capitals), "d": ("boolean", pa.bool_(), has_symbol), "sha": ("binary", pa.binary(), lambda data: hashlib.sha256(data).digest())}
+    more = {"c": ("boolean", pa.bool_(), too_many_capitals), "d": ("boolean", pa.bool_(), has_symbol), "sha": ("binary", pa.binary(), lambda text, data: hashlib.sha256(data).digest())}
     totals = row_totals(document_term_matrix(own, "__t", more)[0])
     fails = (F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < MIN_DISTINCT * F.col("n_words"), F.col("c"), F.col("d"))
     mask = sum((f.cast("int") * (1 << i) for i, f in enumerate(fails[1:], 1)), fails[0].cast("int"))

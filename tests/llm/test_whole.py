@@ -1,9 +1,12 @@
 """Inputs on which operators once did less than the whole job."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.llm import license, pii, substrings, topk
 
@@ -171,3 +174,45 @@ def test_substrings_of_rows_that_repeat(spark, monkeypatch):
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id in (None, 5, 6))
     # One letter, 450 times: its windows repeat in the text itself.
     assert {r.doc_id: r.n_removed for r in got if r.doc_id in (7, 8)} == {7: 450, 8: 0}
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 1024, 1025, 40_000])
+def test_running_values(spark, n):
+    rng = random.Random(n)
+    values = [rng.randint(-5, 9) for _ in range(n)]
+    df = spark.createDataFrame([(values,), ([],)], "v array<int>")
+    rows = df.select("v", pii.running(F.col("v"), lambda a, x: a + x).alias("s"), pii.running(F.col("v"), F.greatest).alias("m")).collect()
+    for r in rows:
+        assert r.s == list(itertools.accumulate(r.v)) and r.m == list(itertools.accumulate(r.v, max))
+
+
+def test_many_spans_in_one_text(spark):
+    """A text with thousands of spans takes time in proportion, and each is where it is."""
+    model = pii.SpanModel([["Predict: 1.0"]], [1.0], 0.5)
+    n = 20_000
+    lines = [f"user{i}@mail{i % 7}.example.org, key tok{i}en/Ab{i}xyzQ9 of 10.0.{i % 256}.7" for i in range(n)]
+    text = "\n".join(lines)
+    began = time.perf_counter()
+    row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).select("base_spans", "spans").first()
+    assert time.perf_counter() - began < 60
+    assert len(row.base_spans) == 2 * n and len(row.spans) == 3 * n
+    assert all(text[s.start : s.end] == s.text for s in row.spans)
+    assert [s.start for s in row.spans] == sorted(s.start for s in row.spans)
+
+
+def test_overlaps_by_running_maxima(spark):
+    rng = random.Random(3)
+    kind = "struct<start:int,rank:int,end:int,kind:string,text:string,before:string,after:string>"
+
+    def spans(k):
+        return [(a, i % 3, a + rng.randint(1, 12), "k", "", "", "") for i, a in enumerate(rng.randint(0, 400) for _ in range(k))]
+
+    for _ in range(4):
+        a, b = spans(60), spans(25)
+        row = spark.createDataFrame([(a, b)], f"a array<{kind}>, b array<{kind}>").select(pii.free_of(F.col("a"), F.col("b")).alias("f")).first()
+        assert sorted(tuple(s) for s in row.f) == sorted(s for s in a if all(s[2] <= o[0] or o[2] <= s[0] for o in b))
+        ps = [(s, float(i)) for i, s in enumerate(a)]
+        groups = spark.createDataFrame([(ps,)], f"p array<struct<s:{kind},p:double>>").select(pii.clusters(F.col("p")).alias("c")).first().c
+        assert sorted(tuple(x.s) for g in groups for x in g) == sorted(a)
+        ends = [(min(x.s.start for x in g), max(x.s.end for x in g)) for g in groups]
+        assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:]))

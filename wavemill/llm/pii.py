@@ -225,8 +225,9 @@ def fit_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_d
     base = F.filter(F.concat(*[F.col(f"__s_{k}") for k in BASE]), passes)
     marked = marked.select("__id", base.alias("base"), F.concat(*[F.col(f"__s_{k}") for k in MORE]).alias("more"))
     free = marked.where(F.size("more") > 0).withColumn("free", free_of(F.col("more"), F.col("base")))
-    told = [F.transform(x, lambda c, t=t: F.struct(c.alias("c"), F.lit(t).alias("touches"))) for x, t in ((F.col("free"), False), (F.array_except("more", "free"), True))]
-    rows = free.select("__id", F.explode(F.concat(*told)).alias("x")).select("__id", "x.c", "x.touches")
+    alone = F.transform("free", lambda c: F.struct(c.alias("c"), F.lit(False).alias("touches")))
+    hurt = F.transform(F.array_except("more", "free"), lambda c: F.struct(c.alias("c"), F.lit(True).alias("touches")))
+    rows = free.select("__id", F.explode(F.concat(alone, hurt)).alias("x")).select("__id", "x.c", "x.touches")
     touches = F.col("touches")
     hit = touches | F.col("c.before").rlike(CUES) | (F.col("c.kind") == "handle")
     rows = rows.select(hit.cast("double").alias("label"), F.col("c.kind").alias("kind"), touches.alias("touches"), F.array(*features(F.col("c"))).alias("v"), unit_hash(F.col("__id").cast("string"), F.col("c.start").cast("string")).alias("u"))

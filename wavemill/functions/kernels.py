@@ -142,3 +142,49 @@ def fir_filter(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     size = 1 << int(np.ceil(np.log2(len(full) + len(taps) - 1)))
     out = np.fft.irfft(np.fft.rfft(full, size) * np.fft.rfft(taps, size), size)
     return out[len(taps) - 1 : len(taps) - 1 + len(x)]
+
+
+def resample_taps(up: int, down: int) -> np.ndarray:
+    """The low-pass of a rate change by ``up`` / ``down``, at ``up`` times the rate: a sinc under
+    a Hamming window, ten periods of the slower rate to either side, with a sum of ``up``."""
+    slow = max(up, down)
+    k = np.arange(-10 * slow, 10 * slow + 1)
+    taps = np.sinc(k / slow) * (0.54 + 0.46 * np.cos(np.pi * k / (10 * slow)))
+    return taps * (up / taps.sum())
+
+
+def resample_part(x: np.ndarray, first: int, begin: int, end: int, up: int, down: int, taps: np.ndarray) -> np.ndarray:
+    """Outputs ``begin`` to ``end`` (exclusive) of a rate change, where ``x`` has the samples
+    from number ``first`` on; samples that it lacks are zeros."""
+    half = len(taps) // 2
+    m = np.arange(begin, end)[:, None]
+    n = -((half - m * down) // up) + np.arange(2 * half // up + 1)
+    at = m * down - n * up + half
+    fine = (at >= 0) & (at < len(taps)) & (n >= first) & (n < first + len(x))
+    return np.sum(np.where(fine, x[np.clip(n - first, 0, max(0, len(x) - 1))] * taps[np.clip(at, 0, len(taps) - 1)], 0.0), axis=1) if len(x) else np.zeros(end - begin)
+
+
+def notch_taps(rate: float, hz: float, quality: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numerator and denominator of a second-order notch whose width is ``hz`` / ``quality``."""
+    if not 0 < hz < rate / 2:
+        raise ValueError("the notch must be below half the rate")
+    w = 2 * np.pi * hz / rate
+    gain = 1 / (1 + np.tan(w / quality / 2))
+    return gain * np.array([1.0, -2 * np.cos(w), 1.0]), np.array([1.0, -2 * gain * np.cos(w), 2 * gain - 1])
+
+
+def biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of ``x`` through a second-order filter from its state in ``z`` (two numbers), and
+    the states at the end; the rows go side by side."""
+    y, first, second = np.empty_like(x), z[:, 0].copy(), z[:, 1].copy()
+    for i in range(x.shape[1]):
+        now = b[0] * x[:, i] + first
+        first = b[1] * x[:, i] - a[1] * now + second
+        second = b[2] * x[:, i] - a[2] * now
+        y[:, i] = now
+    return y, np.stack((first, second), axis=1)
+
+
+def biquad_map(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """What one step does to the state of ``biquad``, besides what the sample adds."""
+    return np.array([[-a[1], 1.0], [-a[2], 0.0]])

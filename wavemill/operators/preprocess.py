@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import resample as rs
 
 
 def seizure_annotations(seizures: DataFrame) -> DataFrame:
@@ -36,15 +37,23 @@ def uncontained_annotations(annotations: DataFrame, recordings: DataFrame, toler
     return joined.where((F.col("onset") < -tolerance) | (F.col("onset") + F.col("duration") > F.col("duration_seconds") + tolerance))
 
 
-def band_pass(blocks: DataFrame, low: float = 0.5, high: float = 45.0, **disabled: object) -> DataFrame:
+def preprocessed(blocks: DataFrame, low: float = 0.5, high: float = 45.0, notch_hz: float | None = None, reference: str | None = None, rate_change: tuple[int, int] | None = None) -> DataFrame:
+    """The steps of preprocessing in their order: band-pass, and, where asked for, a notch, the
+    ``average`` reference, and a change of the rate by (up, down)."""
+    if reference not in (None, "average"):
+        raise ValueError(f"unknown reference {reference}")
+    out = band_pass(blocks, low, high)
+    out = rs.notch(out, notch_hz) if notch_hz else out
+    out = rs.average_reference(out) if reference else out
+    return rs.resample(out, *rate_change) if rate_change else out
+
+
+def band_pass(blocks: DataFrame, low: float = 0.5, high: float = 45.0) -> DataFrame:
     """Zero-phase band-pass of the block table, block by block: each block comes with as
     many samples of its neighbours as half the filter is long, so blocks need no other.
 
-    Fails on a block shorter than half the filter that isn't the last one.  Notch, resample
-    and reference options are not offered; asking for one raises NotImplementedError.
+    Fails on a block shorter than half the filter that isn't the last one.
     """
-    if any(disabled.values()):
-        raise NotImplementedError(f"not offered: {', '.join(k for k, v in disabled.items() if v)}")
     columns = blocks.columns
     order = W.partitionBy("recording_id", "channel_index").orderBy("block_index")
     # Of the neighbours, only what the filter reaches goes to Python.

@@ -17,9 +17,11 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count, permutations
 from math import factorial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,15 +125,55 @@ def local_shards(docs: DataFrame, text: str, more: dict[str, Derived]) -> DataFr
     return docs.mapInArrow(build, schema)
 
 
-def numbered_terms(shards: DataFrame) -> DataFrame:
-    """(shard, pos, term, id) of every shard's terms.  The ids are those of the global
-    dictionary: different, from 0 on, though not without gaps.  Terms are dealt to parts of
-    about ``TERMS_A_TASK`` rows by hash, and a part's terms have its number in their ids, so
-    that no task sees the whole dictionary."""
-    parts = max(1, -(-(shards.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0) // TERMS_A_TASK))
-    each = shards.select("shard", F.posexplode("terms").alias("pos", "term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
-    rank = F.dense_rank().over(W.partitionBy("part").orderBy("term"))
-    return each.select("shard", "pos", "term", ((rank - 1).cast("long") * parts + F.col("part")).alias("id"))
+def dealt_terms(shards: DataFrame, parts: int) -> DataFrame:
+    """(part, shard, pos, terms): every shard's terms, with their places in it, by the part of
+    the dictionary that they belong to; a row has all of a shard that are for one part."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, own in zip(batch.column("shard").to_pylist(), batch.column("terms")):
+                terms = own.values
+                if not len(terms):
+                    continue
+                part = np.fromiter((crc32(t) % parts for t in terms.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(terms))
+                order = np.argsort(part, kind="stable")
+                numbers, first = np.unique(part[order], return_index=True)
+                edges = np.append(first, len(order))
+                pos = [order[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+                lists = pa.ListArray.from_arrays(edges.astype(np.int32), terms.take(pa.array(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([shard] * len(numbers), pa.int64()), pa.array(pos, pa.binary()), lists], ["part", "shard", "pos", "terms"])
+
+    return shards.select("shard", "terms").mapInArrow(deal, "part long, shard long, pos binary, terms array<string>")
+
+
+def numbered(dealt: DataFrame, parts: int, schema: str, tell: Callable[[list[tuple], pa.Array, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """What ``tell`` says of each part: its rows, its distinct terms, their ids, and the term of
+    each place.  A part's ids follow the order of its terms, however they come, and have its
+    number in them, so that no task sees the whole dictionary."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = defaultdict(list)
+        for batch in batches:
+            for part, shard, pos, terms in zip(batch.column("part").to_pylist(), batch.column("shard").to_pylist(), batch.column("pos"), batch.column("terms")):
+                held[part].append((shard, pos.as_py(), terms.values))
+        for part, rows in held.items():
+            coded = pa.chunked_array([t for _, _, t in rows]).combine_chunks().dictionary_encode()
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            rank = np.empty(len(coded.dictionary), dtype=np.int64)
+            rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+            yield tell(rows, coded.dictionary, rank * parts + part, coded.indices.to_numpy())
+
+    return dealt.repartition(parts, "part").mapInArrow(number, schema)
+
+
+def tell_places(rows: list[tuple], _, ids: np.ndarray, terms: np.ndarray) -> pa.RecordBatch:
+    edges = np.concatenate(([0], np.cumsum([len(t) for _, _, t in rows])))
+    coded = [ids[terms[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in rows], pa.int64()), pa.array([p for _, p, _ in rows], pa.binary()), pa.array(coded, pa.binary())], ["shard", "pos", "ids"])
+
+
+def tell_terms(_, dictionary: pa.Array, ids: np.ndarray, __) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([dictionary, pa.array(ids)], ["term", "id"])
 
 
 def csr(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +183,8 @@ def csr(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def document_term_matrix(docs: DataFrame, text: str = "text", more: dict[str, Derived] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The matrix of word counts of ``docs`` and its dictionary (term, id).
+    """The matrix of word counts of ``docs`` and its dictionary (term, id): ids are different and
+    from 0 on, though not without gaps.
 
     A word is a maximal run of characters other than ASCII blanks, case and all; null is an
     empty text, whose row is empty.  Each row of the matrix is a shard: ``rows`` (the other
@@ -151,8 +194,9 @@ def document_term_matrix(docs: DataFrame, text: str = "text", more: dict[str, De
     are longs).
     """
     shards = written(local_shards(docs, text, more or {}))
-    terms = numbered_terms(shards)
-    ids = written(terms.select("shard", "pos", "id"))
+    parts = max(1, -(-(shards.agg(F.sum("n_terms").cast("long").alias("n")).first()["n"] or 0) // TERMS_A_TASK))
+    dealt = dealt_terms(shards, parts)
+    ids = written(numbered(dealt, parts, "shard long, pos binary, ids binary", tell_places))
     left = shards.drop("terms", "n_terms")
     names = left.columns
     schema = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in names)
@@ -162,14 +206,15 @@ def document_term_matrix(docs: DataFrame, text: str = "text", more: dict[str, De
             return shard
         r = {c: shard.column(c)[0].as_py() for c in ("starts", "columns", "counts", "narrow")}
         starts, columns, counts = csr(r)
-        own = np.zeros(ids.num_rows, dtype=np.int64)
-        own[ids.column("pos").to_numpy()] = ids.column("id").to_numpy()
+        pos = np.frombuffer(b"".join(ids.column("pos").to_pylist()), np.uint32)
+        own = np.zeros(len(pos), dtype=np.int64)
+        own[pos] = np.frombuffer(b"".join(ids.column("ids").to_pylist()), np.int64)
         new = own[columns]
         order = np.lexsort((new, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
         made = {"columns": pa.array([new[order].tobytes()], pa.binary()), "counts": pa.array([counts[order].tobytes()], pa.binary()), "narrow": pa.array([f"{new.dtype.str} {counts.dtype.str}"])}
         return pa.table({c: made.get(c, shard.column(c)) for c in names})
 
-    return left.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(recode, schema), terms.select("term", "id").distinct()
+    return left.groupBy("shard").cogroup(ids.groupBy("shard")).applyInArrow(recode, schema), numbered(dealt, parts, "term string, id long", tell_terms)
 
 
 def row_totals(matrix: DataFrame) -> DataFrame:

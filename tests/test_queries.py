@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from wavemill.plans import audits, rules  # noqa: F401
+from wavemill.plans import audits, rules, signals  # noqa: F401
 from wavemill.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -36,9 +36,9 @@ MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SYMBOLS = 50, 65, 5, b"#$%&*|"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text and number of rows that fill a shard; a longer text is a shard alone.
-SHARD_BYTES, SHARD_ROWS = 16 << 20, 20_000
+SHARD_BYTES, SHARD_ROWS = 8 << 20, 10_000
 #: Terms of shards that one task numbers.
-TERMS_A_TASK = 1_000_000
+TERMS_A_TASK = 400_000
 
 SHARD = "shard long, n_terms int, terms array<string>, rows array<struct<{row}>>, starts binary, columns binary, counts binary, narrow string"
 

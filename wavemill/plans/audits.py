@@ -3,6 +3,7 @@ with its DuckDB SQL.  Imported for its registrations."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from ..operators import quality as qc
 from ..operators import relational as rel
 from ..operators import splits as sp
 from ..operators import validation as val
+from ..scratch import scratch_dir
+from ..sources import block_table as bt
 from ..sources import edf
 from ..sources.tables import load, split_failures
 from . import surrogates as su
@@ -417,18 +420,34 @@ def pre_uncontained(spark, sf_dir):
     return pp.uncontained_annotations(notes(spark, sf_dir, 120), recordings).select("recording_id", "onset", "duration", "description")
 
 
-@query("WITH w AS (SELECT vec_id, k AS start_sample, k + 16 AS stop_sample_exclusive FROM embeddings, (SELECT unnest([0, 20, 30, 48]) AS k)), x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CAST(vec_id AS VARCHAR) AS recording_id, start_sample, count(*) AS n, round(sum(x * (i - start_sample + 1)), 6) AS weighted FROM w JOIN x USING (vec_id) WHERE i >= start_sample AND i < stop_sample_exclusive GROUP BY ALL")
-def acc_window_samples(spark, sf_dir):
-    """Windows over blocks of 24 samples, most of which touch two."""
+def short_windows(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     blocks = e.select(F.col("vec_id").cast("string").alias("recording_id"), F.lit(0).alias("channel_index"), F.lit("x").alias("channel_name"), F.posexplode(F.array(*[F.slice("embedding", 24 * i + 1, 24) for i in range(3)])).alias("block_index", "samples"))
     blocks = blocks.withColumn("block_index", F.col("block_index").cast("bigint")).withColumn("start_sample", F.col("block_index") * 24)
     windows = e.select(F.col("vec_id").cast("string").alias("recording_id"), F.explode(F.array(*[F.lit(k).cast("bigint") for k in (0, 20, 30, 48)])).alias("start_sample")).withColumn("stop_sample_exclusive", F.col("start_sample") + 16)
+    return windows, blocks
+
+
+@query("WITH w AS (SELECT vec_id, k AS start_sample, k + 16 AS stop_sample_exclusive FROM embeddings, (SELECT unnest([0, 20, 30, 48]) AS k)), x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT CAST(vec_id AS VARCHAR) AS recording_id, start_sample, count(*) AS n, round(sum(x * (i - start_sample + 1)), 6) AS weighted FROM w JOIN x USING (vec_id) WHERE i >= start_sample AND i < stop_sample_exclusive GROUP BY ALL")
+def acc_window_samples(spark, sf_dir):
+    """Windows over blocks of 24 samples, most of which touch two."""
+    windows, blocks = short_windows(spark, sf_dir)
     found = pp.window_samples(windows, blocks, 24)
     weighted = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return found.select("recording_id", "start_sample", F.size("samples").cast("bigint").alias("n"), F.round(weighted, 6).alias("weighted"))
 
 
+@query(ORACLES["acc_window_samples"])
+def acc_window_table(spark, sf_dir):
+    """The same windows from a table whose blocks have a halo: no samples are shuffled."""
+    windows, blocks = short_windows(spark, sf_dir)
+    name = f"blocks_{uuid.uuid4().hex}"
+    table = bt.write_block_table(blocks, name, 15, 8, f"{scratch_dir(spark)}/{name}")
+    found = bt.read_windows(windows, table, 24)
+    weighted = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return found.select("recording_id", "start_sample", F.size("samples").cast("bigint").alias("n"), F.round(weighted, 6).alias("weighted"))
+
+
 # Intervals, moments, splits.
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from wavemill import schemas
 from wavemill.sources import edf, summary, tables
@@ -98,3 +99,55 @@ def test_bad_bytes_are_replaced(spark, tmp_path):
     assert recordings.count() == 2 and {r.channel_name for r in channels.collect()} == {"FP1-F7", "F7\ufffd"}
     write(tmp_path, "chb02/chb02-summary.txt", GOOD.replace("chb01_03.edf", "chb02 03.edf").encode())
     assert {r.recording_id for r in summary.parse_summaries(summary.read_summaries(spark, str(tmp_path / "chb02")))[1].collect()} == {"chb02 03", "chb01_04"}
+
+
+class Counted:
+    """An open file that counts what is read."""
+
+    def __init__(self, data):
+        self.data, self.at, self.n = data, 0, 0
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.data[self.at : self.at + n]
+        self.at += len(out)
+        self.n += len(out)
+        return out
+
+
+def test_bytes_fall_with_the_channels():
+    rng = np.random.default_rng(3)
+    names = [f"C{i}" for i in range(20)]
+    data = edf.encode(names, [rng.normal(0, 50, 64 * 8) for _ in names], 64)
+    counts = {}
+    for wanted in ([3], [3, 4], [0, 19], list(range(20))):
+        h = Counted(data)
+        head = edf.parse_header(edf.read_head(h))
+        assert h.n == head["header_bytes"]
+        picked = [i in wanted for i in range(20)]
+        body = edf.read_records(h, head, 2, 6, picked)
+        counts[len(wanted)] = h.n - head["header_bytes"]
+        rows = {r["channel_index"]: r["samples"] for r in edf.block_rows("r", data[: head["header_bytes"]] + body, 60)}
+        whole = {r["channel_index"]: r["samples"] for r in edf.block_rows("r", data, 60, 2, 6)}
+        assert all(np.array_equal(rows[i], whole[i]) for i in wanted)
+    record = 4 * 20 * 64 * 2
+    assert counts == {1: record // 20, 2: record // 10, 20: record}
+
+
+def test_headers_alone(spark, tmp_path):
+    many = edf.encode([f"C{i}" for i in range(600)], [np.zeros(8)] * 600, 4)
+    write(tmp_path, "chb01/chb01_01.edf", edf.encode(["A", "B"], [np.zeros(640)] * 2, 64))
+    write(tmp_path, "chb02/chb02_01.edf", many)
+    write(tmp_path, "chb03/chb03_01.edf", b"no header")
+    for read in (edf.read_headers, edf.scan_headers):
+        inventory, channels, failures = read(spark, str(tmp_path))
+        assert {(r.recording_id, r.n_channels, r.n_times) for r in inventory.collect()} == {("chb01_01", 2, 640), ("chb02_01", 600, 8)}
+        assert channels.count() == 602 and [r.error_type for r in failures.collect()] == ["ValueError"]
+    assert {r.sha256 for r in edf.scan_headers(spark, str(tmp_path))[0].collect()} == {None}
+    spark.dataSource.register(edf.EdfDataSource)
+    load = spark.read.format("edf")
+    assert load.option("onError", "skip").load(str(tmp_path)).groupBy("recording_id").count().count() == 2
+    with pytest.raises(Exception, match="not an EDF header"):
+        load.option("onError", "fail").load(str(tmp_path)).count()

@@ -96,25 +96,39 @@ HEADER = "ok boolean, error_type string, error_message string, path string, file
 HEADER_SCHEMA = pa.schema([("ok", pa.bool_()), ("error_type", pa.string()), ("error_message", pa.string()), ("path", pa.string()), ("file_size", pa.int64()), ("sha256", pa.string()), ("sampling_rate_hz", pa.float64()), ("n_times", pa.int64()), ("names", pa.list_(pa.string()))])
 
 
+def header_row(path: str, size: int, sha256: str | None, head: bytes) -> dict:
+    """One row of HEADER: what a file's first bytes say, or why they can't be read."""
+    known = {"path": path, "file_size": size, "sha256": sha256}
+    try:
+        parsed = parse_header(head)
+    except (ValueError, UnicodeDecodeError) as e:
+        return known | failed(e)
+    own = [s for s in parsed["signals"] if s["label"] != ANNOTATIONS]
+    top = max(own, key=lambda s: s["rate"]) if own else None
+    return known | {"ok": True, "sampling_rate_hz": top["rate"] if top else None, "n_times": parsed["records"] * top["samples"] if top else 0, "names": [s["name"] for s in own]}
+
+
+def failed(e: Exception) -> dict:
+    return {"ok": False, "error_type": type(e).__name__, "error_message": str(e)}
+
+
 def headers_of(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(file inventory, channel rows, failures) of files with columns path and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                known = {"path": r["path"], "file_size": r["length"], "sha256": r["sha256"]}
-                try:
-                    head = parse_header(r["head"])
-                    own = [s for s in head["signals"] if s["label"] != ANNOTATIONS]
-                    top = max(own, key=lambda s: s["rate"]) if own else None
-                    rows.append(known | {"ok": True, "sampling_rate_hz": top["rate"] if top else None, "n_times": head["records"] * top["samples"] if top else 0, "names": [s["name"] for s in own]})
-                except (ValueError, UnicodeDecodeError) as e:
-                    rows.append(known | {"ok": False, "error_type": type(e).__name__, "error_message": str(e)})
-            yield pa.RecordBatch.from_pylist(rows, schema=HEADER_SCHEMA)
+            yield pa.RecordBatch.from_pylist([header_row(r["path"], r["length"], r["sha256"], r["head"]) for r in b.to_pylist()], schema=HEADER_SCHEMA)
+
+    # One scan; only the header goes to Python: 256 bytes for the file and as many for each signal.
+    signals = F.coalesce(F.expr("try_cast(trim(CAST(substring(content, 253, 4) AS STRING)) AS INT)"), F.lit(0))
+    head = F.expr("substring(content, 1, n)")
+    sized = files.select("path", "content", (256 * (F.greatest(signals, F.lit(0)) + 1)).alias("n"))
+    found = sized.select("path", F.octet_length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("sha256"), head.alias("head")).mapInArrow(run, HEADER)
+    return header_tables(found)
+
 
-    # One scan; only the header goes to Python: 256 bytes for the file and for each of up to 511 signals.
-    found = files.select("path", F.octet_length("content").cast("bigint").alias("length"), F.sha2("content", 256).alias("sha256"), F.substring("content", 1, 131_072).alias("head")).mapInArrow(run, HEADER)
+def header_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(file inventory, channel rows, failures) from rows of HEADER."""
     good = found.where("ok").withColumn("recording_id", path_stem(F.col("path")))
     base = F.transform("names", lambda x: normalize_channel_name(x))
     inventory = good.select(
@@ -132,6 +146,13 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return headers_of(binary_files(spark, path))
 
 
+def scan_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``read_headers``, but only the headers' bytes are read, on stores that Arrow opens; the
+    hashes of the files are null."""
+    spark.dataSource.register(EdfDataSource)
+    return header_tables(spark.read.format("edf").option("path", path).option("rows", "headers").load())
+
+
 def block_rows(recording: str, data: bytes, seconds: float, first: int = 0, last: int | None = None) -> Iterator[dict]:
     """Block rows of a file: ``seconds`` of one channel each, the tail included."""
     head, signals = decode(data, first, last)
@@ -186,13 +207,55 @@ class FilePart(InputPartition):
         self.path, self.part, self.parts = path, part, parts
 
 
+class FileList(InputPartition):
+    """Files (path, size) whose headers one task reads."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+
+def read_head(h) -> bytes:
+    """The header of an open file, and not a byte more."""
+    head = h.read(256)
+    n = int(head[252:256]) if head[252:256].strip().isdigit() else 0
+    return head + h.read(256 * n)
+
+
+def record_ranges(head: dict, picked: list[bool]) -> list[tuple[int, int]]:
+    """(offset, length) in bytes of the picked signals within a record; neighbours are one."""
+    out: list[list[int]] = []
+    for s, fine in zip(head["signals"], picked):
+        if fine and out and sum(out[-1]) == 2 * s["offset"]:
+            out[-1][1] += 2 * s["samples"]
+        elif fine:
+            out.append([2 * s["offset"], 2 * s["samples"]])
+    return [(a, n) for a, n in out]
+
+
+def read_records(h, head: dict, first: int, last: int, picked: list[bool]) -> bytes:
+    """The data of records [first, last), with zeros for signals that are not picked; if most
+    of a record is not, only what is picked is read."""
+    size, ranges = 2 * head["record_samples"], record_ranges(head, picked)
+    if 2 * sum(n for _, n in ranges) >= size:
+        h.seek(head["header_bytes"] + first * size)
+        return h.read((last - first) * size)
+    body = bytearray((last - first) * size)
+    for i in range(last - first):
+        for offset, n in ranges:
+            h.seek(head["header_bytes"] + (first + i) * size + offset)
+            body[i * size + offset : i * size + offset + n] = h.read(n)
+    return bytes(body)
+
+
 class EdfReader(DataSourceReader):
     """Takes these filters: equality with, or membership in, recordings and channels, and
     bounds of ``start_sample``.  Other recordings are not opened, other records not read,
-    other channels not turned into rows.  Spark applies all filters again."""
+    and of the records only the wanted channels, if these are less than half of them.  Spark
+    applies all filters again.  A file that can't be read ends the job, or, with ``skip``, has
+    no rows."""
 
-    def __init__(self, path: str, block_seconds: float, part_bytes: int):
-        self.path, self.block_seconds, self.part_bytes = path, block_seconds, part_bytes
+    def __init__(self, path: str, block_seconds: float, part_bytes: int, skip: bool = False):
+        self.path, self.block_seconds, self.part_bytes, self.skip = path, block_seconds, part_bytes, skip
         self.wanted: dict[str, set] = {}
         self.first, self.end = 0, None
 
@@ -217,20 +280,32 @@ class EdfReader(DataSourceReader):
 
         return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
-    def partitions(self) -> list[FilePart]:
+    def files(self) -> list[tuple[str, int]]:
         from pyarrow import fs
 
         store, root = self.store()
         info = store.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".edf") and self.keeps("recording_id", stem(f.path)))
-        return [FilePart(p, i, parts) for p, size in files for parts in [max(1, -(-size // self.part_bytes))] for i in range(parts)]
+        return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".edf") and self.keeps("recording_id", stem(f.path)))
+
+    def partitions(self) -> list[FilePart]:
+        return [FilePart(p, i, parts) for p, size in self.files() for parts in [max(1, -(-size // self.part_bytes))] for i in range(parts)]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.blocks(partition)
+        except (ValueError, UnicodeDecodeError):
+            if not self.skip:
+                raise
+
+    def blocks(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
         store, _ = self.store()
         with store.open_input_file(partition.path) as h:
-            start = h.read(131_072)
+            start = read_head(h)
             head = parse_header(start)
+            picked = [s["label"] != ANNOTATIONS and self.keeps("channel_index", i) and self.keeps("channel_name", s["name"]) for i, s in enumerate(head["signals"])]
+            if not any(picked):
+                return
             size = 2 * head["record_samples"]
             stored = max(0, h.size() - head["header_bytes"]) // size
             count = stored if head["records"] < 0 else min(stored, head["records"])
@@ -245,9 +320,8 @@ class EdfReader(DataSourceReader):
                 last = min(last, max(first, -(-(int(self.end / min(rates) / head["record_seconds"]) + 1) // whole) * whole))
             # A block of rows a read, so that a task holds no more.
             for at in range(first, last, whole):
-                h.seek(head["header_bytes"] + at * size)
-                body = h.read((min(last, at + whole) - at) * size)
-                rows = [r for r in block_rows(stem(partition.path), start[: head["header_bytes"]] + body, self.block_seconds) if self.keeps("channel_index", r["channel_index"]) and self.keeps("channel_name", r["channel_name"])]
+                body = read_records(h, head, at, min(last, at + whole), picked)
+                rows = [r for r in block_rows(stem(partition.path), start[: head["header_bytes"]] + body, self.block_seconds) if picked[r["channel_index"]]]
                 for r in rows:
                     r["start_sample"] += round(at * head["record_seconds"] * r["sampling_rate_hz"])
                     r["block_index"] = r["start_sample"] // max(1, round(self.block_seconds * r["sampling_rate_hz"]))
@@ -255,16 +329,41 @@ class EdfReader(DataSourceReader):
                     yield pa.RecordBatch.from_pylist(rows, schema=BLOCK_SCHEMA)
 
 
+class HeaderReader(EdfReader):
+    """A row of HEADER for each file, from its header's bytes alone; a file that can't be read
+    is a row that says why."""
+
+    def partitions(self) -> list[FileList]:
+        files = self.files()
+        return [FileList(files[i : i + 256]) for i in range(0, len(files), 256)]
+
+    def read(self, partition: FileList) -> Iterator[pa.RecordBatch]:
+        store, _ = self.store()
+        rows = []
+        for path, size in partition.files:
+            try:
+                with store.open_input_file(path) as h:
+                    rows.append(header_row(path, size, None, read_head(h)))
+            except OSError as e:
+                rows.append({"path": path, "file_size": size} | failed(e))
+        yield pa.RecordBatch.from_pylist(rows, schema=HEADER_SCHEMA)
+
+
 class EdfDataSource(DataSource):
     """Options: ``path`` (or a URI), ``blockSeconds`` (60) and ``partBytes`` (64 MB) a
-    partition.  Filters are pushed down if ``spark.sql.python.filterPushdown.enabled``."""
+    partition, ``onError`` (fail, or skip files that can't be read), ``rows`` (blocks, or
+    headers).  Filters are pushed down if ``spark.sql.python.filterPushdown.enabled``."""
 
     @classmethod
     def name(cls) -> str:
         return "edf"
 
+    def headers(self) -> bool:
+        return self.options.get("rows", "blocks") == "headers"
+
     def schema(self):
-        return schemas.SIGNAL_BLOCKS
+        return HEADER if self.headers() else schemas.SIGNAL_BLOCKS
 
     def reader(self, schema) -> EdfReader:
-        return EdfReader(self.options["path"], float(self.options.get("blockSeconds", 60)), int(self.options.get("partBytes", 64 << 20)))
+        kind = HeaderReader if self.headers() else EdfReader
+        return kind(self.options["path"], float(self.options.get("blockSeconds", 60)), int(self.options.get("partBytes", 64 << 20)), self.options.get("onError", "fail") == "skip")

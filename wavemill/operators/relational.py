@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quantiles import FEW, null_safe, quantiles
+from .ranks import RANGE_ROWS, row_numbers
 
 
 def outer_with_status(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -65,12 +66,12 @@ def signatures(df: DataFrame, key: str, name: str, index: str) -> DataFrame:
     )
 
 
-def rank_signatures(signed: DataFrame, key: str) -> DataFrame:
+def rank_signatures(signed: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Distinct unordered signatures by descending use, with ids SIG-001, ...  The ranking
-    runs over distinct signatures, after the aggregation."""
+    runs over distinct signatures, after the aggregation, in ranges of about ``rows``."""
     grouped = signed.groupBy("unordered_signature").agg(F.count("*").alias("n_files"), F.min(key).alias("example"), F.min("n_names").alias("min_names"), F.max("n_names").alias("max_names"))
-    rank = F.row_number().over(W.orderBy(F.desc("n_files"), "unordered_signature"))
-    return grouped.withColumn("signature_id", F.format_string("SIG-%03d", rank))
+    ranked = row_numbers(grouped, [F.desc("n_files"), F.col("unordered_signature")], "__rank", rows)
+    return ranked.withColumn("signature_id", F.format_string("SIG-%03d", "__rank")).drop("__rank")
 
 
 def describe_by(df: DataFrame, keys: Sequence[str], column: str, few: int = FEW) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import preprocess as pp
 from ..operators import quality as qc
 from ..operators import relational as rel
 from ..operators import splits as sp
+from ..operators import training as tr
 from ..operators import validation as val
 from ..scratch import scratch_dir
 from ..sources import block_table as bt
@@ -629,3 +630,13 @@ def srt_contiguous(spark, sf_dir):
 def flt_finite(spark, sf_dir):
     v = F.when(F.col("vec_id") % 7 > 0, F.col("embedding")).otherwise(F.array_append("embedding", F.lit(float("nan")).cast("float")))
     return load(spark, sf_dir, "embeddings").select("vec_id", sc.all_finite(v).alias("finite"))
+
+
+@query()
+def mdl_epochs(spark, sf_dir):
+    """Scores of a model that was trained by epochs on three of five parts and stopped by a
+    fourth."""
+    e = load(spark, sf_dir, "embeddings").withColumn("binary_label", (F.col("label") % 3 == 0).cast("int"))
+    part = F.col("vec_id") % 5
+    state = tr.train(e.where(part < 3), e.where(part == 3), "vec_id", "embedding", tr.Settings(epochs=4, steps=2, patience=2))
+    return e.select("vec_id", tr.score(state.best, "embedding").alias("score"), F.lit(state.best_epoch).alias("best_epoch"))

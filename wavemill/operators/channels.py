@@ -54,12 +54,20 @@ def coverage(channels: DataFrame, sets: DataFrame, key: str, name: str) -> DataF
 
 
 def retention(covered: DataFrame, recordings: DataFrame, key: str) -> DataFrame:
-    """What each set would keep: recordings, seizures, ictal time and hours, with fractions
-    of the totals.  Recordings without metadata count as recordings only."""
+    """What each set would keep: recordings, recordings with seizures, seizures, ictal time and
+    hours, with fractions of the totals; its channels (``n_target``), and, where ``recordings``
+    have a ``case_id``, the cases of which any recording is kept.  Recordings without metadata
+    count as recordings only."""
     joined = covered.join(recordings, key, "left")
     sums = {"seizures": F.col("n_seizures"), "ictal_seconds": F.col("ictal_seconds"), "hours": F.col("duration_seconds") / 3600}
     total = [F.count("*").alias("recordings_total"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"{n}_total") for n, x in sums.items()]]
     kept = [F.count_if("complete").alias("recordings_kept"), *[F.coalesce(F.sum(F.when(F.col("complete"), x)), F.lit(0)).alias(f"{n}_kept") for n, x in sums.items()]]
+    ictal = F.col("n_seizures") > 0
+    total += [F.max("n_target").alias("n_target"), F.count_if(ictal).alias("seizure_recordings_total")]
+    kept.append(F.count_if(ictal & F.col("complete")).alias("seizure_recordings_kept"))
+    if "case_id" in recordings.columns:
+        total.append(F.count_distinct("case_id").alias("cases_total"))
+        kept.append(F.count_distinct(F.when(F.col("complete"), F.col("case_id"))).alias("cases_kept"))
     out = joined.groupBy("channel_set").agg(*total, *kept)
     return out.withColumns({f"{n}_fraction": guarded_ratio(F.col(f"{n}_kept"), F.col(f"{n}_total"), F.lit(0.0)) for n in ("recordings", *sums)})
 

@@ -368,6 +368,17 @@ def chn_retention(spark, sf_dir):
     return out.select("channel_set", "recordings_total", "recordings_kept", "seizures_total", "seizures_kept", F.round("hours_total", 6).alias("hours_total"), F.round("hours_kept", 6).alias("hours_kept"), F.round("recordings_fraction", 9).alias("recordings_fraction"))
 
 
+@query(f"""WITH {COVERED}, m AS (SELECT o_orderkey AS l_orderkey, o_custkey % 40 AS case_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS n_seizures, floor(o_totalprice) AS ictal_seconds FROM orders), j AS (SELECT * FROM cov LEFT JOIN m USING (l_orderkey))
+SELECT channel_set, max(n_target) AS n_target, count_if(n_seizures > 0) AS seizure_recordings_total, count_if(n_seizures > 0 AND complete) AS seizure_recordings_kept, count(DISTINCT case_id) AS cases_total, count(DISTINCT CASE WHEN complete THEN case_id END) AS cases_kept,
+CAST(sum(ictal_seconds) AS BIGINT) AS ictal_seconds_total, CAST(coalesce(sum(CASE WHEN complete THEN ictal_seconds END), 0) AS BIGINT) AS ictal_seconds_kept FROM j GROUP BY 1""")
+def chn_retention_cases(spark, sf_dir):
+    """Cases and recordings with seizures that each channel set would keep."""
+    o = load(spark, sf_dir, "orders")
+    meta = o.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("case_id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("n_seizures"), F.floor("o_totalprice").alias("ictal_seconds"), F.lit(60.0).alias("duration_seconds"))
+    out = ch.retention(covered(spark, sf_dir), meta, "l_orderkey")
+    return out.select("channel_set", "n_target", *[f"{n}_{x}" for n in ("seizure_recordings", "cases", "ictal_seconds") for x in ("total", "kept")])
+
+
 @query(f"WITH {CHANNELS}, f AS (SELECT count(DISTINCT l_orderkey) AS n FROM c) SELECT p_brand, count(DISTINCT l_orderkey) AS n_files, round(count(DISTINCT l_orderkey) / max(f.n), 9) AS fraction FROM c, f GROUP BY 1 HAVING count(DISTINCT l_orderkey) / max(f.n) >= 0.1")
 def chn_frequent(spark, sf_dir):
     return rounded(ch.ranked_presence(su.channel_rows(spark, sf_dir), "l_orderkey", "p_brand", 0.1), ["fraction"], 9)

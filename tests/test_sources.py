@@ -69,6 +69,22 @@ def test_summaries(spark, tmp_path):
     assert {r.error_type for r in problems.collect()} == {"index_mismatch", "no_recordings"}
 
 
+def test_summary_lines(spark):
+    """Case and outer blanks don't matter; units, inner words and single values do."""
+    lines = {
+        "File Name: chb01_03.edf": ("file_name", "chb01_03.edf"), "  FILE NAME:chb01_03.EDF\t": ("file_name", "chb01_03.EDF"), "File Name: .edf": None, "File Name: chb01.txt": None, "File Name : a.edf": None,
+        "File Start Time: 13:43:04": ("start_clock", "13:43:04"), "File Start Time: 13:43 04": None, "file end time: 24:00:00": ("end_clock", "24:00:00"), "Number of Seizures in File: 2": ("declared", 2), "Number of Seizures in File: two": None,
+        "Seizure Start Time: 12 seconds": ("start_at", 12.0), "Seizure 3 Start Time: 12.5 second": ("start_at", 12.5), "seizure\t10  End Time: 7seconds": ("end_at", 7.0), "Seizure Start Time: 12": None, "Seizure Start Time: 12 secs": None, "Seizure x Start Time: 1 seconds": None,
+        "Seizure 3Start Time: 12 seconds": None, "Seizure End Time: 1.2.3 seconds": None, "SeizureEnd Time: 1 seconds": None, "Channel 12: FP1-F7 ": ("channel_name", "FP1-F7"), "Channel: X": None, "Channels in EDF Files:": None, "Channel 5:": None, "": None,
+    }
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", *[c.alias(n) for n, c in summary.told(df["line"]).items()]).collect():
+        found = {k: v for k, v in r.asDict().items() if k != "line" and v is not None and not k.endswith(("_index", "_number"))}
+        assert found == (dict([lines[r.line]]) if lines[r.line] else {}), r.line
+    index = df.select(summary.told(df["line"])["start_index"].alias("i")).where("i IS NOT NULL").collect()
+    assert [r.i for r in index] == [3]
+
+
 def test_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.write_upsert(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])

@@ -1,6 +1,6 @@
 """Annotation summaries: text files with a channel section and one block a recording.
 
-Line kinds are told by regular expressions; a running count of ``File Name`` lines numbers
+The words before a line's colon tell its kind; a running count of ``File Name`` lines numbers
 the blocks, and starts and ends of seizures are numbered within a block and paired.  Any
 error fails the whole file, which then is in the problems table only.
 """
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import case_id, clock_duration, path_stem
 
-#: The line patterns; units of seconds may be short or left out.
-FILE_LINE = r"(?i)^\s*File Name:\s*(.+?\.edf)\s*$"
-START_CLOCK = r"(?i)^\s*File Start Time:\s*(\S+)\s*$"
-END_CLOCK = r"(?i)^\s*File End Time:\s*(\S+)\s*$"
-COUNT_LINE = r"(?i)^\s*Number of Seizures in File:\s*(\d+)\s*$"
-SEIZURE_START = r"(?i)^\s*Seizure(?:\s+(\d+))?\s+Start Time:\s*(\d+(?:\.\d+)?)\s*(?:seconds|secs?)?\s*$"
-SEIZURE_END = r"(?i)^\s*Seizure(?:\s+(\d+))?\s+End Time:\s*(\d+(?:\.\d+)?)\s*(?:seconds|secs?)?\s*$"
-CHANNEL_LINE = r"(?i)^\s*Channel\s+(\d+):\s*(.+?)\s*$"
+#: What stands before the colon of a line, in any case, and the units after a
+#: seizure's time.
+FILE_NAME, START_CLOCK, END_CLOCK, COUNT = "file name", "file start time", "file end time", "number of seizures in file"
+CHANNEL, SEIZURE, SEIZURE_START, SEIZURE_END = "channel", "seizure", "start time", "end time"
+UNITS = ("seconds", "second")
+SPACE = " \t\x0b\x0c"
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -30,21 +28,53 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def group(line: Column, pattern: str, n: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, n), F.lit(""))
+def whole(text: Column) -> Column:
+    """A whole number, null where there is another character than a digit."""
+    return F.when(F.length(text) > 0, F.when(F.translate(text, "0123456789", "") == "", text.try_cast("int")))
+
+
+def seconds(value: Column) -> Column:
+    """The number before the unit; null without either."""
+    amount = F.lit(None).cast("string")
+    for unit in UNITS:
+        amount = F.coalesce(amount, F.when(F.endswith(F.lower(value), F.lit(unit)), F.rtrim(F.left(value, F.length(value) - len(unit)), F.lit(SPACE))))
+    parts = F.split(amount, r"\.")
+    fine = (F.size(parts) <= 2) & F.forall(parts, lambda p: (F.length(p) > 0) & (F.translate(p, "0123456789", "") == ""))
+    return F.when(fine, amount.try_cast("double"))
+
+
+def numbered(key: Column, first: str, last: str) -> tuple[Column, Column]:
+    """Whether a key is ``first``, perhaps a number, and ``last``; and the number."""
+    inner = F.when(F.startswith(key, F.lit(first)) & F.endswith(key, F.lit(last)), F.substr(key, F.lit(len(first) + 1), F.length(key) - len(first) - len(last)))
+    number = F.trim(inner, F.lit(SPACE))
+    # Blanks stand on either side of what is between the words.
+    apart = (F.length(F.ltrim(inner, F.lit(SPACE))) < F.length(inner)) & ((F.length(number) == 0) | (F.lit(not last)) | (F.length(F.rtrim(inner, F.lit(SPACE))) < F.length(inner)))
+    return F.coalesce(apart & ((F.length(number) == 0) | whole(number).isNotNull()), F.lit(False)), whole(number)
+
+
+def told(line: Column) -> dict[str, Column]:
+    """What a line says: the words before its first colon tell its kind, the rest its value."""
+    colon = F.instr(line, ":")
+    key = F.when(colon > 0, F.lower(F.ltrim(F.left(line, colon - 1), F.lit(SPACE))))
+    value = F.trim(F.substr(line, colon + 1), F.lit(SPACE))
+    word = F.when((F.length(value) > 0) & (F.translate(value, SPACE, "") == value), value)
+    starts, start_index = numbered(key, SEIZURE, SEIZURE_START)
+    ends, end_index = numbered(key, SEIZURE, SEIZURE_END)
+    is_channel, channel = numbered(key, CHANNEL, "")
+    return {
+        "file_name": F.when((key == FILE_NAME) & F.endswith(F.lower(value), F.lit(".edf")) & (F.length(value) > 4), value),
+        "start_clock": F.when(key == START_CLOCK, word), "end_clock": F.when(key == END_CLOCK, word), "declared": F.when(key == COUNT, whole(value)),
+        "start_index": F.when(starts & seconds(value).isNotNull(), start_index), "start_at": F.when(starts, seconds(value)), "end_index": F.when(ends & seconds(value).isNotNull(), end_index), "end_at": F.when(ends, seconds(value)),
+        "channel_number": F.when(is_channel & (F.length(value) > 0), channel), "channel_name": F.when(is_channel & (F.length(value) > 0), value),
+    }
 
 
 def parse_summaries(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(channels, recordings, seizures, problems) of texts with columns path and text."""
     lines = texts.select("path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("n", "line"))
     order = W.partitionBy("path").orderBy("n")
-    marked = lines.withColumn("file_name", group(F.col("line"), FILE_LINE, 1)).withColumn("block", F.sum(F.col("file_name").isNotNull().cast("int")).over(order))
-    typed = marked.withColumns({
-        "start_clock": group(F.col("line"), START_CLOCK, 1), "end_clock": group(F.col("line"), END_CLOCK, 1), "declared": group(F.col("line"), COUNT_LINE, 1).cast("int"),
-        "start_index": group(F.col("line"), SEIZURE_START, 1).cast("int"), "start_at": group(F.col("line"), SEIZURE_START, 2).cast("double"),
-        "end_index": group(F.col("line"), SEIZURE_END, 1).cast("int"), "end_at": group(F.col("line"), SEIZURE_END, 2).cast("double"),
-    })
-    channels = typed.where("block = 0").select("path", group(F.col("line"), CHANNEL_LINE, 1).cast("int").alias("channel_number"), group(F.col("line"), CHANNEL_LINE, 2).alias("channel_name")).where("channel_number IS NOT NULL")
+    typed = lines.withColumns(told(F.col("line"))).withColumn("block", F.sum(F.col("file_name").isNotNull().cast("int")).over(order))
+    channels = typed.where("block = 0 AND channel_number IS NOT NULL").select("path", "channel_number", "channel_name")
     inside = typed.where("block > 0")
     starts, ends = F.count("start_at"), F.count("end_at")
     blocks = inside.groupBy("path", "block").agg(F.max("file_name").alias("edf_filename"), F.max("start_clock").alias("start_clock"), F.max("end_clock").alias("end_clock"), F.max("declared").alias("declared"), starts.alias("n_starts"), ends.alias("n_ends"))

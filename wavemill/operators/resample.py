@@ -9,13 +9,17 @@ over the runs, so that no task walks a recording sample by sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import kernels
 from ..scratch import kept
@@ -61,32 +65,46 @@ def resample(blocks: DataFrame, up: int, down: int) -> DataFrame:
     return near.withColumn("sampling_rate_hz", F.col("sampling_rate_hz").cast("double")).mapInPandas(run, schema)
 
 
+def in_order(df: DataFrame, keys: Sequence[str], order: str, walk: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+    """What ``walk`` makes of the rows, which come key by key and in order within a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = walk(r for b in batches for r in b.to_pylist())
+        while held := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_pylist(held, kind)
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def entry_states(maps: DataFrame, run: int = RUN) -> DataFrame:
     """(keys, seq, z): the state that each block finds, from ``maps`` (keys, seq, a, c): after a
     block the state is a z + c (a: 2 x 2 in rows); it is zero before the first one."""
 
-    def within(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("seq")
-        a, c, before = np.eye(2), np.zeros(2), []
-        for x, y in zip(b["a"], b["c"]):
-            before.append((a.ravel(), c))
-            x = np.reshape(x, (2, 2))
-            a, c = x @ a, x @ c + y
-        last = [False] * (len(b) - 1) + [True]
-        return pd.DataFrame({**{k: b[k] for k in KEYS}, "run": b["run"], "seq": b["seq"], "a": [x for x, _ in before], "c": [y for _, y in before], "last": last, "ta": [a.ravel()] * len(b), "tc": [c] * len(b)})
-
-    def over(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("run")
-        z, found = np.zeros(2), []
-        for a, c in zip(b["ta"], b["tc"]):
-            found.append(z)
-            z = np.reshape(a, (2, 2)) @ z + c
-        return pd.DataFrame({**{k: b[k] for k in KEYS}, "run": b["run"], "z0": found})
+    def within(rows: Iterator[dict]) -> Iterator[dict]:
+        own, map_, add = None, None, None
+        for r in rows:
+            if (key := (*(r[k] for k in KEYS), r["run"])) != own:
+                own, map_, add = key, (1.0, 0.0, 0.0, 1.0), (0.0, 0.0)
+            out = {**{k: r[k] for k in (*KEYS, "run", "seq")}, "a": map_, "c": add}
+            (p, q, u, v), (x, y), (e, f, g, h) = r["a"], r["c"], map_
+            map_, add = (p * e + q * g, p * f + q * h, u * e + v * g, u * f + v * h), (p * add[0] + q * add[1] + x, u * add[0] + v * add[1] + y)
+            yield out | {"ta": map_, "tc": add}
+
+    def over(rows: Iterator[dict]) -> Iterator[dict]:
+        own, z = None, (0.0, 0.0)
+        for r in rows:
+            if (key := tuple(r[k] for k in KEYS)) != own:
+                own, z = key, (0.0, 0.0)
+            yield {**{k: r[k] for k in (*KEYS, "run")}, "z0": z}
+            (p, q, u, v), (x, y) = r["ta"], r["tc"]
+            z = (p * z[0] + q * z[1] + x, u * z[0] + v * z[1] + y)
 
     key = ", ".join(f"{k} {maps.schema[k].dataType.simpleString()}" for k in KEYS)
     dealt = maps.withColumn("run", F.floor(F.col("seq") / run))
-    parts = kept(dealt.groupBy(*KEYS, "run").applyInPandas(within, f"{key}, run bigint, seq bigint, a array<double>, c array<double>, last boolean, ta array<double>, tc array<double>"))
-    starts = parts.where("last").groupBy(*KEYS).applyInPandas(over, f"{key}, run bigint, z0 array<double>")
+    parts = kept(in_order(dealt, [*KEYS, "run"], "seq", within, f"{key}, run bigint, seq bigint, a array<double>, c array<double>, ta array<double>, tc array<double>"))
+    ends = parts.groupBy(*KEYS, "run").agg(F.max_by(F.struct("ta", "tc"), "seq").alias("t")).select(*KEYS, "run", "t.*")
+    starts = in_order(ends, KEYS, "run", over, f"{key}, run bigint, z0 array<double>")
     row = lambda i: F.col("a")[2 * i] * F.col("z0")[0] + F.col("a")[2 * i + 1] * F.col("z0")[1] + F.col("c")[i]
     return parts.join(starts, [*KEYS, "run"]).select(*KEYS, "seq", F.array(row(0), row(1)).alias("z"))
 

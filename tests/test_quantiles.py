@@ -47,3 +47,15 @@ def test_passes_shrink(spark):
     assert left.groupBy("g").count().agg(F.max("count")).first()[0] < 200_000 * 7 / qu.PARTS
     found = {r.g.k: r.value for r in qu.order_statistics(left, asked).select("g", "value").collect()}
     assert found == {k: pytest.approx(k**0.5) for k in (100_000, 7, 199_999)}
+
+
+@pytest.mark.parametrize("few", [20, 100_000])
+def test_ranks_between_frequent_values(spark, few):
+    """Two values of half the rows each, ten of a tenth, a rare one between two: no pass
+    could part them while both ends of a bracket stayed in."""
+    halves = spark.range(4000).select(F.struct(F.lit("x").alias("k")).alias("g"), (F.col("id") % 2).cast("double").alias("v"))
+    left, _ = qu.narrow(halves, spark.createDataFrame([(("x",), 1999), (("x",), 2000)], "g struct<k string>, k bigint"))
+    assert sorted((r.g.k, r.v) for r in left.collect()) == [(1999, 0.0), (2000, 1.0)]
+    df = spark.range(4000).select(F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), c.cast("double").alias("a")) for n, c in (("two", F.col("id") % 2), ("ten", F.col("id") % 10), ("rare", F.when(F.col("id") == 7, 0.5).otherwise(F.col("id") % 2)))])).alias("x")).select("x.*")
+    got = {r.kind: (r.q, r.r) for r in qu.quantiles(df, ["kind"], {"q": ("a", 0.5), "r": ("a", 0.1)}, few).collect()}
+    assert got == {"two": (0.5, 0.0), "ten": (4.5, pytest.approx(0.9)), "rare": (0.25, 0.0)}

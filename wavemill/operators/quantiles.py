@@ -3,10 +3,11 @@
 The built-in ``percentile`` keeps all distinct values of a group in one task, which is right
 for a channel's chunks and not for three labels over a corpus.  A large group is narrowed
 instead: a sketch of bounded size gives two values with the wanted rank between them, one
-pass counts exactly what is below and between, and what is between is narrowed again until
-it is few.  Each pass leaves a hundredth of the rows or so, sums are partial before they are
-shuffled, and the outcome is exact whatever the sketch says: a pair that does not hold the
-rank is widened to the group's ends.
+pass counts exactly what is below, at and between them, and what is strictly between is
+narrowed again until it is few.  A rank at one of the two values is settled by that, so that
+a frequent value ends the search instead of coming back in every pass.  Each pass leaves a
+hundredth of the rows or so, sums are partial before they are shuffled, and the outcome is
+exact whatever the sketch says: a rank outside the pair is sought on its side of it.
 """
 
 from __future__ import annotations
@@ -41,27 +42,41 @@ def with_bounds(rows: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def narrow(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One step for ``rows`` (g, v) and ``targets`` (g, k: ranks from 0, in the group's rows):
-    what is left of both, with (g, k) as the new g and the rank among what is left."""
+    what is left of both, with (g, k) as the new g and the rank among what is left.  Of a
+    target whose value is known, one row with it is left."""
     parts = F.array(*[F.lit(i / PARTS) for i in range(PARTS + 1)])
     sketch = rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("v", parts, F.lit(ACCURACY)).alias("cuts"), F.min("v").alias("low"), F.max("v").alias("high"))
     at = F.floor(F.col("k") / F.greatest(F.col("n") - 1, F.lit(1)) * PARTS).cast("int")
     near = targets.join(sketch, "g").select("g", "k", "n", "low", "high", F.when(at < 2, F.col("low")).otherwise(F.get("cuts", at - 2)).alias("a"), F.when(at > PARTS - 3, F.col("high")).otherwise(F.get("cuts", at + 3)).alias("b"))
     near = kept(near)
-    counted = counts(rows, near, "a", "b")
-    sure = (F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("between"))
-    bounds = kept(near.join(counted, ["g", "k"]).select(
-        "g", "k", F.when(sure, F.col("a")).otherwise(F.col("low")).alias("a"), F.when(sure, F.col("b")).otherwise(F.col("high")).alias("b"), F.when(sure, F.col("below")).otherwise(0).alias("below"),
-    ))
-    lists = bounds.groupBy("g").agg(F.collect_list(F.struct("k", "a", "b")).alias("x"))
-    left = with_bounds(rows, lists).select(F.col("g").alias("was"), "v", F.explode(F.filter("x", lambda t: F.col("v").between(t["a"], t["b"]))).alias("t"))
-    return kept(left.select(F.struct("was", F.col("t.k").alias("k")).alias("g"), "v")), bounds.select(F.struct(F.col("g").alias("was"), "k").alias("g"), (F.col("k") - F.col("below")).alias("k"))
-
-
-def counts(rows: DataFrame, near: DataFrame, a: str, b: str) -> DataFrame:
-    """(g, k, below, between): rows of g below the bounds of each target and within them."""
-    lists = near.groupBy("g").agg(F.collect_list(F.struct("k", F.col(a).alias("a"), F.col(b).alias("b"))).alias("x"))
-    met = with_bounds(rows, lists).select("g", "v", F.explode(F.filter("x", lambda t: F.col("v") <= t["b"])).alias("t"))
-    return met.groupBy("g", F.col("t.k").alias("k")).agg(F.count_if(F.col("v") < F.col("t.a")).alias("below"), F.count_if(F.col("v") >= F.col("t.a")).alias("between"))
+    counted = counts(rows, near.select("g", "a", "b").distinct())
+    # Ranks that end before each piece: below a, a itself, between, b itself; beyond b is the rest.
+    ends = [F.col("below"), F.col("below") + F.col("lows"), F.col("below") + F.col("lows") + F.col("between"), F.col("below") + F.col("lows") + F.col("between") + F.col("highs")]
+    k, none = F.col("k"), F.lit(None).cast("double")
+    pieces = [(none, F.col("a"), none, F.lit(0)), (none, none, F.col("a"), k), (F.col("a"), F.col("b"), none, ends[1]), (none, none, F.col("b"), k), (F.col("b"), none, none, ends[3])]
+
+    def chosen(i: int) -> Column:
+        out = F.when(k < ends[0], pieces[0][i])
+        for end, piece in zip(ends[1:], pieces[1:]):
+            out = out.when(k < end, piece[i])
+        return out.otherwise(pieces[4][i])
+
+    bounds = kept(near.join(counted, ["g", "a", "b"]).select("g", "k", chosen(0).alias("over"), chosen(1).alias("under"), chosen(2).alias("value"), chosen(3).cast("bigint").alias("below")))
+    lists = bounds.where("value IS NULL").groupBy("g").agg(F.collect_list(F.struct("k", "over", "under")).alias("x"))
+    inside = F.filter("x", lambda t: (t["over"].isNull() | (F.col("v") > t["over"])) & (t["under"].isNull() | (F.col("v") < t["under"])))
+    left = with_bounds(rows, lists).select(F.col("g").alias("was"), "v", F.explode(inside).alias("t")).select(F.struct("was", F.col("t.k").alias("k")).alias("g"), "v")
+    known = bounds.where("value IS NOT NULL").select(F.struct(F.col("g").alias("was"), "k").alias("g"), F.col("value").alias("v"))
+    return kept(left.unionByName(known)), bounds.select(F.struct(F.col("g").alias("was"), "k").alias("g"), (F.col("k") - F.col("below")).alias("k"))
+
+
+def counts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(g, a, b, below, lows, between, highs): rows of g below a, at a, between, and at b if
+    that is another value."""
+    lists = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("x"))
+    met = with_bounds(rows, lists).select("g", "v", F.explode("x").alias("t"))
+    v, a, b = F.col("v"), F.col("t.a"), F.col("t.b")
+    each = {"below": v < a, "lows": v == a, "between": (v > a) & (v < b), "highs": (v > a) & (v == b)}
+    return met.groupBy("g", a.alias("a"), b.alias("b")).agg(*[F.count_if(c).alias(n) for n, c in each.items()])
 
 
 def order_statistics(rows: DataFrame, targets: DataFrame, few: int = FEW) -> DataFrame:

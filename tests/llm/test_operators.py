@@ -86,6 +86,27 @@ def test_large_family_in_blocks(spark, monkeypatch, most):
     assert got == {i: find(i) for i in range(120)}
 
 
+@pytest.mark.parametrize("switches", [{"small": 10_000}, {"small": 8, "block": 16}, {"small": 8, "block": 16, "most": 50}, {"small": 0, "block": 7, "most": 0}])
+def test_candidates_do_not_depend_on_a_bucket_size(spark, switches):
+    """Pairs that fit by size and sketch come out however many others are in their bucket,
+    also those that share that one band only."""
+    rng = random.Random(5)
+    near, rows = [rng.getrandbits(63) for _ in range(32)], []
+    for i in range(300):
+        n = rng.choice((3, 4, 75, 99, 100, 101, 133, 134, 400, 1000))
+        sketch = [w ^ (1 << rng.randrange(60)) if rng.random() < 0.3 else w for w in near]
+        rows.append((7, 0, i, i if rng.random() < 0.6 else 1000, n, sketch, [7] + [i * 100 + j for j in range(1, 24)], 300))
+    rest = spark.createDataFrame(rows, "band bigint, j int, rep bigint, group bigint, n bigint, sketch array<bigint>, bands array<bigint>, size bigint")
+
+    def fits(x, y):
+        ones = sum((a ^ b).bit_count() for a, b in zip(x[5], y[5]))
+        return x[3] != y[3] and x[4] * 100 >= y[4] * 75 and y[4] * 100 >= x[4] * 75 and ones <= dedup.most_xor(np.float64(x[4]), np.float64(y[4]), 75, 2048)
+
+    want = {(x[2], y[2]) for i, x in enumerate(rows) for y in rows[i + 1 :] if fits(x, y)}
+    assert len(want) > 500
+    assert {tuple(r) for r in dedup.candidates(rest, 75, 2048, **switches).collect()} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)]
     got = {r.node: r.component for r in dedup.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

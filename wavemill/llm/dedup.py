@@ -13,13 +13,14 @@ bucket first links its members to its smallest node (a star, not all pairs), and
 link a node, the closest by sketch, is confirmed.  Only nodes that are then still in
 different components are compared within buckets, by size and sketch and in bounded
 blocks, so that the pairs which come out are close to the threshold or above.  A bucket's
-largest component is compared with the others alone, not with itself, and buckets with too
-many other nodes are banded again: a pair in one has to share a second band, as similar
-pairs do (all but 4e-6 of those at similarity 0.75).
+largest component is compared with the others alone, not with itself, and buckets with
+many other nodes are divided by set size, so that pairs which can't be similar by their
+sizes never meet.  Neither changes which pairs come out, however large a bucket is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -280,14 +281,16 @@ def candidates(rest: DataFrame, percent: int, bits: int, small: int = 64, block:
     ``small`` rows are joined with themselves.  In larger ones the nodes outside the largest
     component are dealt into blocks of about ``block`` rows, and so are those of it; each
     block of the first meets all blocks, in a task's arrays.  A bucket with more than
-    ``most`` nodes outside its largest component is first divided by second bands."""
+    ``most`` nodes outside its largest component is first divided by size classes, in which
+    all pairs meet whose sizes fit: the pairs are the same for every ``small``, ``block`` and
+    ``most``."""
     low = rest.where(F.col("size") <= small)
     apart = (F.col("m.group") < F.col("o.group")) & sizes_fit("m", "o", percent) & sketches_fit("m", "o", percent, bits)
     few = low.alias("m").join(low.alias("o"), (F.col("m.band") == F.col("o.band")) & apart).select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))
-    large = with_largest(rest.where(F.col("size") > small), ["band"])
-    wide = large.where(F.col("others") > most).withColumn("second", F.explode("bands")).where("second <> bands[j]")
-    again = with_largest(wide.withColumn("band", F.xxhash64("band", "second")).drop("second", "size", "others", "largest"), ["band"])
-    dealt = large.where(F.col("others") <= most).unionByName(again.where("others > 0").select(*large.columns))
+    large = with_largest(rest.where(F.col("size") > small).withColumn("part", F.lit(0)), ["band", "part"])
+    wide = large.where(F.col("others") > most).drop("part", "size", "others", "largest").withColumn("part", F.explode(size_parts("n", percent)))
+    again = with_largest(wide, ["band", "part"]).where("others > 0")
+    dealt = large.where(F.col("others") <= most).unionByName(again)
     # The blocks of the other nodes come first; those of the largest component follow.
     first = F.ceil(F.col("others") / block).cast("int")
     blocks = first + F.ceil((F.col("size") - F.col("others")) / block).cast("int")
@@ -296,10 +299,20 @@ def candidates(rest: DataFrame, percent: int, bits: int, small: int = 64, block:
     own = F.when(inner, F.col("first") + F.pmod(place, F.col("blocks") - F.col("first"))).otherwise(F.pmod(place, F.greatest("first", F.lit(1)))).cast("int")
     dealt = dealt.withColumn("first", first).withColumn("blocks", blocks).withColumn("own", own)
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("first")).otherwise(F.col("blocks")) - 1))).withColumn("p", F.least("own", "k")).withColumn("q", F.greatest("own", "k"))
-    many = dealt.select("band", "j", "p", "q", "own", "rep", "group", "n", "sketch", "bands").groupBy("band", "p", "q").applyInArrow(block_pairs(percent, bits), "a long, b long")
+    many = dealt.select("band", "part", "j", "p", "q", "own", "rep", "group", "n", "sketch", "bands").groupBy("band", "part", "p", "q").applyInArrow(block_pairs(percent, bits), "a long, b long")
     return few.unionByName(many).distinct()
 
 
+def size_parts(n: str, percent: int) -> Column:
+    """The parts of a bucket that a set of size ``n`` is in: its size class, and the next one,
+    which holds the neighbouring classes' pairs.  Sizes that fit are at most one class apart;
+    classes are a little wider than the threshold asks, whatever the logarithm is off by."""
+    if percent >= 100:
+        return F.array(F.col(n).cast("int"))
+    own = F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-6))).cast("int")
+    return F.array(own, own + 1)
+
+
 def with_largest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the size of their bucket, its largest component, and how many rows are
     outside it."""

@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +127,26 @@ def test_draws_with_replacement(spark):
     assert abs(sum(r.copies for r in got if r.id < 400) - 1800) < 180 and max(r.copies for r in got) > 6
 
 
+def test_rows_without_a_draw_go_first(spark):
+    """The steps of a draw are taken only for rows that get one: most of a table's don't."""
+    df = spark.range(3000).withColumn("w", F.when(F.col("id") == 5, 600.0).otherwise(1.0))
+    got = imbalance.resampled(df, "w", 300, "id")
+
+    def draws(i, mean):
+        u, p, n = int(hashlib.md5(f"42/{i}".encode()).hexdigest()[:13], 16) / 2**52, math.exp(-mean), 0
+        c = p
+        while u >= c:
+            n += 1
+            p *= mean / n
+            c += p
+        return n
+
+    want = {i: draws(i, 300 / 3599) for i in range(3000) if i != 5}
+    assert {r.id: r.copies for r in got.where("id <> 5").collect()} == {i: n for i, n in want.items() if n}
+    steps = next(x.lower() for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if ("Filter" in x or "Join" in x) and "aggregate(" in x)
+    assert 0 <= steps.find(">= exp(-") < steps.find("aggregate(")
+
+
 def test_exactly_one(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
     assert checks.exactly_one(a, b, ["k"]).count() == 2

@@ -48,9 +48,11 @@ def resampled(windows: DataFrame, weight: str, total: int, key: str, seed: int =
     mean = F.col(weight) * total / F.col("__w")
     parts = F.greatest(F.lit(1), F.ceil(mean / DRAW_MEAN)).cast("int")
 
+    def uniform(own: Column) -> Column:
+        return F.conv(F.substring(draw_order(key, own), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
     def drawn(j: Column) -> Column:
-        own = F.when(j == 1, F.lit(str(seed))).otherwise(F.concat_ws("/", F.lit(str(seed)), j.cast("string")))
-        u = F.conv(F.substring(draw_order(key, own), 1, 13), 16, 10).cast("double") / float(1 << 52)
+        u = uniform(F.when(j == 1, F.lit(str(seed))).otherwise(F.concat_ws("/", F.lit(str(seed)), j.cast("string"))))
         m = F.col("__mean") / F.col("__parts")
         step = lambda acc, k: F.struct((acc["p"] * m / k).alias("p"), (acc["c"] + acc["p"] * m / k).alias("c"), F.when(u >= acc["c"], k).otherwise(acc["n"]).alias("n"))
         first = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("n"))
@@ -58,7 +60,10 @@ def resampled(windows: DataFrame, weight: str, total: int, key: str, seed: int =
 
     known = windows.crossJoin(F.broadcast(sums)).withColumns({"__mean": mean, "__parts": parts})
     copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__parts")), drawn), F.lit(0), lambda a, x: a + x)
-    return known.withColumn("copies", copies).where("copies > 0").drop("__w", "__mean", "__parts")
+    # Most rows of a small mean get none, as their one draw is below the first step: these go
+    # before the steps are taken.
+    some = known.where((F.col("__parts") > 1) | (uniform(F.lit(str(seed))) >= F.exp(-F.col("__mean"))))
+    return some.withColumn("copies", copies).where("copies > 0").drop("__w", "__mean", "__parts")
 
 
 def negative_sample(windows: DataFrame, subject: str, key: str, ratio: float, minimum: int, seed: int = 42) -> DataFrame:

@@ -84,3 +84,15 @@ def test_one_long_recording(spark):
     # Every interval is in two windows, but the first one, and the last window holds one.
     lengths = [i % 5 for i in range(n)]
     assert (got.o, got.n, got.m) == (2 * sum(lengths) - lengths[0], n, sum(x > 0 for x in lengths))
+
+
+def test_tasks_do_not_grow(spark):
+    """What a task holds is bounded by the ranges' size, not by a fixed number of partitions."""
+    n, r = 60_000, F.floor(F.col("id") / 10).alias("r")
+    windows = spark.range(n).select(r, F.col("id").alias("window_index"), (F.col("id") % 10 * 10).alias("window_start"), (F.col("id") % 10 * 10 + 20).alias("window_end"))
+    intervals = spark.range(n).select(r, (F.col("id") % 10 * 10 + 3).alias("start"), (F.col("id") % 10 * 10 + 7).alias("end"), "id")
+    swept = sweep.swept_overlaps(windows, intervals.drop("id"), ["r"], 10_000)
+    covered = sweep.swept_coverage(intervals, windows.withColumn("label_name", F.lit("ictal")), ["r"], "id", 10_000)
+    for out in (swept, covered):
+        sizes = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * n / (4 * n / 10_000)

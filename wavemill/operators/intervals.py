@@ -87,7 +87,10 @@ def many(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
 
 def in_two(few: Callable[..., DataFrame], lots: Callable[..., DataFrame], asked: DataFrame, other: DataFrame, keys: Sequence[str], dense: int) -> DataFrame:
     """``few(asked, other)`` for keys with at most ``dense`` rows of ``other``, ``lots`` for the
-    rest: the same results, by arrays of a bounded length or by a sweep."""
+    rest: the same results, by arrays of a bounded length or by a sweep.  With ``dense`` 0 all
+    keys are swept, without being parted."""
+    if dense <= 0:
+        return lots(asked, other)
     busy = many(other, keys, dense)
     if busy is None:
         return few(asked, other)

@@ -42,6 +42,14 @@ def ranged(edges: DataFrame, keys: Sequence[str], rows: int = RANGE_ROWS) -> Dat
     return kept(dealt.withColumn("__range", F.spark_partition_id()))
 
 
+def spread(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Ranged edges dealt to as many tasks as they have ranges, and that number: a task's rows
+    don't grow with the table then, as they do with a fixed number of shuffle partitions."""
+    last = edges.agg(F.max("__range").alias("n")).first()["n"]
+    parts = 1 + (last or 0)
+    return edges.repartition(parts, "__range", *keys), parts
+
+
 def carried(edges: DataFrame, keys: Sequence[str], **running: dict[str, Column]) -> DataFrame:
     """``edges`` with running values within ``keys``, by kind and name:
 
@@ -56,22 +64,24 @@ def carried(edges: DataFrame, keys: Sequence[str], **running: dict[str, Column])
     by = W.partitionBy(*keys)
     before, after = by.orderBy("__range").rowsBetween(W.unboundedPreceding, -1), by.orderBy("__range").rowsBetween(1, W.unboundedFollowing)
     brought = parts.select(
-        F.col("__range").alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keys], *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__b_{n}") for n in sums], *[F.max(n).over(before).alias(f"__b_{n}") for n in largest],
+        F.col("__range").alias("__r"), *[F.col(k).alias(f"__k_{k}") for k in keys], F.count("*").over(by).alias("__spans"), *[F.sum(n).over(before).alias(f"__b_{n}") for n in sums], *[F.max(n).over(before).alias(f"__b_{n}") for n in largest],
         *[F.min(n).over(after).alias(f"__b_{n}") for n in following], *[F.sum(n).over(by).alias(f"__b_{n}") for n in totals],
-    )
+    ).where("__spans > 1").drop("__spans")
     match = F.col("__range") == F.col("__r")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = edges.join(brought, match).drop("__r", *[f"__k_{k}" for k in keys])
+    # Only a range's first and last keys go on in other ranges: two rows a range at most.
+    joined = edges.join(F.broadcast(brought), match, "left").drop("__r", *[f"__k_{k}" for k in keys])
     order = ["__pos", "__kind", "__tie"]
-    onward, backward = (W.partitionBy("__range", *keys).orderBy(*o) for o in (order, [F.desc(c) for c in order]))
+    whole = W.partitionBy("__range", *keys)
+    onward, backward = (whole.orderBy(*o) for o in (order, [F.desc(c) for c in order]))
     upto, below = onward.rowsBetween(W.unboundedPreceding, 0), onward.rowsBetween(W.unboundedPreceding, -1)
-    made = {n: F.col(f"__b_{n}") + F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
+    made = {n: F.coalesce(F.col(f"__b_{n}"), F.lit(0)) + F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
     made |= {n: F.greatest(F.col(f"__b_{n}"), F.max(c).over(upto)) for n, c in latest.items()}
     made |= {n: F.greatest(F.col(f"__b_{n}"), F.max(c).over(below)) for n, c in earlier.items()}
     # Backwards in the reversed order: a frame that grows is cheaper than one that shrinks.
     made |= {n: F.least(F.col(f"__b_{n}"), F.min(c).over(backward.rowsBetween(W.unboundedPreceding, 0))) for n, c in following.items()}
-    made |= {n: F.col(f"__b_{n}") for n in totals}
+    made |= {n: F.coalesce(F.col(f"__b_{n}"), F.sum(c).over(whole), F.lit(0)) for n, c in totals.items()}
     return joined.withColumns(made).drop(*[f"__b_{n}" for n in made])
 
 
@@ -94,9 +104,10 @@ def together(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def put_back(points: DataFrame, **values: Column) -> DataFrame:
-    """One row for each row that was asked about, with ``values`` gathered from its points."""
-    return points.where(F.col("__kind") == POINT).groupBy("__id").agg(F.any_value("__row", ignoreNulls=True).alias("__row"), *[c.alias(n) for n, c in values.items()])
+def put_back(points: DataFrame, parts: int, **values: Column) -> DataFrame:
+    """One row for each row that was asked about, with ``values`` gathered from its points, in
+    ``parts`` tasks."""
+    return points.where(F.col("__kind") == POINT).repartition(parts, "__id").groupBy("__id").agg(F.any_value("__row", ignoreNulls=True).alias("__row"), *[c.alias(n) for n, c in values.items()])
 
 
 def at(point: str, value: Column | str) -> Column:
@@ -113,7 +124,7 @@ def swept_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str]
     Intervals whose end is not beyond their start are left out."""
     fine = intervals.where(all_set(keys) & (F.col("end") > F.col("start")))
     sides = [placed(fine, keys, "start", START, __delta=F.lit(1)), placed(fine, keys, "end", END, __delta=F.lit(-1))]
-    edges = ranged(together(points_of(windows, "window_start", "window_end", keys), *sides), keys, rows)
+    edges, parts = spread(ranged(together(points_of(windows, "window_start", "window_end", keys), *sides), keys, rows), keys)
     pos, kind, delta = F.col("__pos"), F.col("__kind"), F.coalesce("__delta", F.lit(0))
     opened = carried(edges, keys, sums={"__open": delta}, latest={"__end": F.when(kind == END, pos)}, earlier={"__from": pos}, following={"__next": F.when(kind == START, pos)})
     was_open = F.col("__open") - delta > 0
@@ -121,7 +132,7 @@ def swept_overlaps(windows: DataFrame, intervals: DataFrame, keys: Sequence[str]
     opens = (kind == START) & ~was_open & (F.col("__end").isNull() | (F.col("__end") < pos))
     marked = opened.withColumns({"__step": F.when(was_open, pos - F.col("__from")).otherwise(0), "__new": opens.cast("int")})
     covered = carried(marked, keys, sums={"__covered": F.col("__step")}, totals={"__all": F.col("__new")})
-    out = put_back(covered, overlap=at("e", "__covered") - at("s", "__covered"), before=at("s", pos - F.col("__end")), after=at("e", F.col("__next") - pos), n_intervals=F.max("__all"))
+    out = put_back(covered, parts, overlap=at("e", "__covered") - at("s", "__covered"), before=at("s", pos - F.col("__end")), after=at("e", F.col("__next") - pos), n_intervals=F.max("__all"))
     nearest = F.when(F.col("overlap") > 0, F.lit(0)).otherwise(F.least("before", "after"))
     return out.select("__row.*", "overlap", nearest.cast("long").alias("nearest"), F.col("n_intervals").cast("int").alias("n_intervals"))
 
@@ -132,10 +143,10 @@ def swept_coverage(intervals: DataFrame, windows: DataFrame, keys: Sequence[str]
     labels = ("ictal", "boundary")
     fine = windows.where(all_set(keys) & (F.col("window_end") > F.col("window_start")))
     sides = [placed(fine, keys, c, kind, label_name=F.col("label_name")) for c, kind in (("window_start", START), ("window_end", END))]
-    edges = ranged(together(points_of(intervals.select(*keys, interval_id, "start", "end"), "start", "end", keys), *sides), keys, rows)
+    edges, parts = spread(ranged(together(points_of(intervals.select(*keys, interval_id, "start", "end"), "start", "end", keys), *sides), keys, rows), keys)
     kind, named = F.col("__kind"), {"overlapping": F.lit(True), **{v: F.coalesce(F.col("label_name") == v, F.lit(False)) for v in labels}}
     counts = carried(edges, keys, sums={f"__{side}_{n}": ((kind == k) & c).cast("long") for side, k in (("started", START), ("ended", END)) for n, c in named.items()})
-    out = put_back(counts, **{f"{n}_windows": at("e", f"__started_{n}") - at("s", f"__ended_{n}") for n in named})
+    out = put_back(counts, parts, **{f"{n}_windows": at("e", f"__started_{n}") - at("s", f"__ended_{n}") for n in named})
     return out.select(*[F.col(f"__row.{c}").alias(c) for c in (*keys, interval_id)], *[f"{n}_windows" for n in named]).withColumn("has_ictal", F.col("ictal_windows") > 0)
 
 
@@ -149,13 +160,13 @@ def swept_most(chunks: DataFrame, intervals: DataFrame, keys: Sequence[str], row
     fine = intervals.where(all_set(keys) & (F.col("end") > F.col("start")))
     sides = [placed(fine, keys, c, kind, start=F.col("start"), end=F.col("end")) for c, kind in (("start", START), ("end", END))]
     points = points_of(chunks, "window_start", "window_end", keys).withColumn("__until", F.col("__row.window_end").cast("long"))
-    edges = ranged(together(points, *sides), keys, rows)
+    edges, parts = spread(ranged(together(points, *sides), keys, rows), keys)
     pos, kind = F.col("__pos"), F.col("__kind")
     # Points come before starts: an interval that starts with a chunk is inside it.
     chunk = F.struct(pos.alias("pos"), F.col("__id").alias("id"), F.col("__until").alias("until"))
     found = carried(edges, keys, latest={"__end": F.when(kind == START, F.col("end")), "__chunk": F.when(F.col("__at") == "s", chunk)}, following={"__start": F.when(kind == END, F.col("start"))})
     inside = found.where((kind == START) & (F.col("end") <= F.col("__chunk.until"))).groupBy(F.col("__chunk.id").alias("__id")).agg(F.max(F.col("end") - F.col("start")).alias("__inner"))
-    out = put_back(found, s=at("s", "__pos"), e=at("e", "__pos"), last=at("s", "__end"), first=at("e", "__start")).join(inside, "__id", "left")
+    out = put_back(found, parts, s=at("s", "__pos"), e=at("e", "__pos"), last=at("s", "__end"), first=at("e", "__start")).join(inside, "__id", "left")
     over = F.when(F.col("last").isNotNull(), F.least("last", "e") - F.col("s"))
     under = F.when(F.col("first").isNotNull(), F.col("e") - F.greatest("first", "s"))
     most = F.greatest(F.lit(0).cast("long"), over, under, "__inner")

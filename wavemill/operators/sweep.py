@@ -24,6 +24,8 @@ from ..scratch import kept
 END, POINT, START = 0, 1, 2
 #: Edges of a range.
 RANGE_ROWS = 200_000
+#: Edges of a stored file: rows that compress well would else come to a task by the ten million.
+FILE_ROWS = 50_000
 
 
 def all_set(keys: Sequence[str]) -> Column:
@@ -35,11 +37,11 @@ def all_set(keys: Sequence[str]) -> Column:
 
 def ranged(edges: DataFrame, keys: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``edges`` (keys, __pos, __kind, ...) with the number of their range, stored."""
-    held = kept(edges)
+    held = kept(edges, FILE_ROWS)
     parts = max(1, -(-held.count() // rows))
     # The last column parts what stands at one position.
     dealt = held.withColumn("__tie", F.xxhash64(*held.columns)).repartitionByRange(parts, *keys, "__pos", "__kind", "__tie")
-    return kept(dealt.withColumn("__range", F.spark_partition_id()))
+    return kept(dealt.withColumn("__range", F.spark_partition_id()), FILE_ROWS)
 
 
 def spread(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:

@@ -23,10 +23,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/wavemill-{spark.sparkContext.applicationId}"
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """``df`` written as Parquet to the scratch folder and read back: its lineage ends there,
-    so that later passes see the same rows and a lost executor costs no recomputation."""
+    so that later passes see the same rows and a lost executor costs no recomputation.  With
+    ``file_rows``, files have at most as many rows, which bounds what a later task reads."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
